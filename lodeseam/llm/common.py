@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             if batch.num_rows:
                 yield batch
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + (n or 0) > limit:
