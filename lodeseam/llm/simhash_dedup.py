@@ -103,6 +103,19 @@ class GrayIndex:
         return query, node
 
 
+def pairs_within(codes: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j), j before i, of places whose codes are at most ``bits`` apart; codes are in Gray order."""
+    if len(codes) <= 24:
+        plain = codes.tolist()
+        yield from ((i, j) for i in range(len(plain)) for j in range(i) if (plain[i] ^ plain[j]).bit_count() <= bits)
+        return
+    index = GrayIndex(codes)
+    for i in range(0, len(codes), 1024):
+        query, place = index.near(codes[i : i + 1024], bits)
+        query = query + i
+        yield from zip(query[place < query].tolist(), place[place < query].tolist())
+
+
 def forest(codes: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that join all codes of one bucket that are reachable within it: a spanning forest of places."""
     root = list(range(len(codes)))
@@ -114,20 +127,7 @@ def forest(codes: np.ndarray, bits: int) -> list[tuple[int, int]]:
         return i
 
     links = []
-    if len(codes) <= 24:
-        plain = codes.tolist()
-        found = ((i, j) for i in range(len(plain)) for j in range(i) if (plain[i] ^ plain[j]).bit_count() <= bits)
-    else:
-        index = GrayIndex(codes)
-
-        def found_in_blocks():
-            for i in range(0, len(codes), 1024):
-                query, place = index.near(codes[i : i + 1024], bits)
-                query = query + i
-                yield from zip(query[place < query].tolist(), place[place < query].tolist())
-
-        found = found_in_blocks()
-    for i, j in found:
+    for i, j in pairs_within(codes, bits):
         a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
@@ -135,8 +135,8 @@ def forest(codes: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of rows of one bucket; rows come sorted by bucket, then in Gray order."""
+def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of rows of one bucket, a forest or every pair; rows come sorted by bucket, in Gray order."""
     held: pa.Table | None = None
 
     def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -149,9 +149,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         a, b = [], []
         for i in np.flatnonzero(np.diff(cuts) > 1):
             start, stop = cuts[i], cuts[i + 1]
-            for x, y in forest(codes[start:stop], bits):
+            for x, y in (pairs_within if every else forest)(codes[start:stop], bits):
                 a.append(node[start + x])
                 b.append(node[start + y])
+                if len(a) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -172,14 +175,14 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         yield from close(held)
 
 
-def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` between the nodes of ``codes(node, fp)``, distinct fingerprints: enough to reach all that is
-    reachable by steps of at most ``bits`` (2 at most) differing bits."""
-    if not 0 <= bits <= 2:
-        raise ValueError("four blocks of 16 bits find at most two differing bits")
-    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    names = [F.lit(t).cast("long") * F.lit(1 << 32) + block(i) * F.lit(1 << 16) + block(j) for t, (i, j) in enumerate(pairs)]
+def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFrame:
+    """``codes(node, fp)`` once for each pair of equal blocks, in parts of about ``bucket`` rows that meet in pairs.
+
+    Fingerprints that differ in fewer blocks than len(widths) - 1 share a bucket."""
+    starts = [sum(widths[:i]) for i in range(len(widths))]
+    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, widths)]
+    pairs = [(i, j) for i in range(len(widths)) for j in range(i)]
+    names = [F.lit(t).cast("long") * F.lit(1 << 48) + F.shiftleft(block[i], widths[j]) + block[j] for t, (i, j) in enumerate(pairs)]
     rows = codes.select("node", "fp", F.explode(F.array(*names)).alias("bucket"))
     large = rows.groupBy("bucket").count().where(F.col("count") > bucket)
     parts = F.coalesce(F.ceil(F.col("count") / bucket), F.lit(1)).cast("int")
@@ -190,8 +193,15 @@ def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> Data
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), gray_rank(F.col("fp")).alias("rank"), "fp", "node")
     )
-    ordered = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rank")
-    return ordered.mapInArrow(lambda batches: bucket_links(batches, bits), "a long, b long")
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rank")
+
+
+def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ``codes(node, fp)``, distinct fingerprints: enough to reach all that is
+    reachable by steps of at most ``bits`` (2 at most) differing bits."""
+    if not 0 <= bits <= 2:
+        raise ValueError("four blocks of 16 bits find at most two differing bits")
+    return bucketed(codes, (16, 16, 16, 16), bucket).mapInArrow(lambda batches: bucket_links(batches, bits), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:

@@ -48,7 +48,7 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-SWAP_COST, DROP_COST, KEEP_SIGN_COST, GAP_COST = 0.5, 0.7, 12.0, 1.0
+SWAP_COST, DROP_COST, DOUBLE_COST, KEEP_SIGN_COST, GAP_COST = 0.5, 0.7, 4.0, 12.0, 1.0
 BARE = re.compile(r"^[^\w@$!|+(<€£¡*]+|[^\w@$]+$")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 SPLIT = re.compile(r"[-._*~]")
@@ -109,7 +109,9 @@ class Channel:
                 if not c.isalnum():
                     arcs.append(("", DROP_COST))
             if again and c != " ":
-                arcs = [(x, k + DROP_COST) for x, k in arcs if x] + [("", 0.0)]
+                # two of a letter are common, three are not
+                three = written[i - 2 : i - 1] == c or written[i + 1 : i + 2] == c
+                arcs = [(x, k + DROP_COST * three) for x, k in arcs if x] + [("", 0.0 if three else DOUBLE_COST)]
             out.append(arcs)
         return out
 
