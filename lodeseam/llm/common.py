@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -67,3 +68,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "label")
         if stepped.where("label <> old").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared checkpoint folder, for a table that outlives one plan."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
