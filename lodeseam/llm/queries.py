@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import divergence, exact_dedup, line_dedup, packing, secret_scan, simhash_dedup, substring_dedup, toxicity
+from lodeseam.llm import divergence, exact_dedup, line_dedup, packing, secret_scan, sentencepiece_wfst, simhash_dedup, substring_dedup, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.greatest(removed, F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_wfst.round_trip(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(documents(spark, sf_dir))
 
@@ -46,6 +50,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(documents(spark, sf_dir)).select("doc_id", "found")
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
@@ -64,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_divergence": divergence.SQL, "op5_exact_dedup": exact_dedup.SQL}
+    return {"op1_divergence": divergence.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_warc": warc.SQL}
