@@ -11,7 +11,7 @@ from lodeseam.operators import windows as W
 from lodeseam.plans.base import CHUNKS, FIRST, QUESTION, SCORED, chunks, first_vector, table, vectors
 
 K = 3
-q = F.lit(QUESTION)
+q = lambda: F.lit(QUESTION)
 
 
 def top(metric, where=None):
@@ -33,11 +33,11 @@ def candidates(s, d):
 
 
 def ranked(s, d):
-    return S.dedupe(S.with_scores(candidates(s, d), q), ("question_id",))
+    return S.dedupe(S.with_scores(candidates(s, d), q()), ("question_id",))
 
 
 def chosen(s, d):
-    return S.cited(S.diverse(S.above_threshold(ranked(s, d), q), K))
+    return S.cited(S.diverse(S.above_threshold(ranked(s, d), q()), K))
 
 
 HYBRID = f"""{SCORED}, v as (select vec_id, list_cosine_similarity(embedding::double[], {FIRST}) as vector_score from embeddings),
@@ -80,12 +80,12 @@ QUERIES = {
         r as (select *, row_number() over (partition by question_id order by vector_score desc, vector_id) as rank from x) select question_id, vector_id, rank, round(vector_score, 6) as vector_score from r where rank <= 5""",
     ),
     "hybrid_rerank": (
-        lambda s, d: S.with_scores(candidates(s, d), q).select("vector_id", "rank", *[F.round(c, 6).alias(c) for c in ("vector_score", "lexical_score", "exact_match_score", "structural_score", "score")]),
+        lambda s, d: S.with_scores(candidates(s, d), q()).select("vector_id", "rank", *[F.round(c, 6).alias(c) for c in ("vector_score", "lexical_score", "exact_match_score", "structural_score", "score")]),
         f"with {HYBRID} select vector_id, rank, {', '.join(f'round({c}, 6)::double as {c}' for c in ('vector_score', 'lexical_score', 'exact_match_score', 'structural_score', 'score'))} from h",
     ),
     "candidate_dedupe": (lambda s, d: ranked(s, d).select("vector_id", "rank"), f"with {HYBRID} select vector_id, rank from u"),
     "structural_filter": (
-        lambda s, d: S.above_threshold(ranked(s, d), q).select("vector_id", "structural_score"),
+        lambda s, d: S.above_threshold(ranked(s, d), q()).select("vector_id", "structural_score"),
         f"with {HYBRID} select vector_id, structural_score::double as structural_score from u where structural_score >= 0.45",
     ),
     "ranked_candidates": (lambda s, d: plain(s, d).select("vector_id", "place", F.round("score", 6).alias("score")), f"with {FIRST_K} select vector_id, place, round(score, 6)::double as score from c"),
@@ -93,7 +93,7 @@ QUERIES = {
     "citations": (lambda s, d: plain(s, d).select("vector_id", "citation_id"), f"with {FIRST_K} select vector_id, 'S' || place as citation_id from c"),
     "context_packing": (lambda s, d: S.evidence(plain(s, d)).select(F.length("evidence").cast("long").alias("n_chars"), F.md5("evidence").alias("evidence_md5")), f"with {PACKED} select length(evidence) as n_chars, md5(evidence) as evidence_md5 from b"),
     "prompt_text": (
-        lambda s, d: S.evidence(plain(s, d)).select(F.md5(S.prompt(q, F.col("evidence"))).alias("prompt_md5")),
+        lambda s, d: S.evidence(plain(s, d)).select(F.md5(S.prompt(q(), F.col("evidence"))).alias("prompt_md5")),
         f"with {PACKED} select md5('{S.SYSTEM_PROMPT.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || 'Question:' || chr(10) || '{QUESTION}' || chr(10) || chr(10) || 'Repository evidence:' || chr(10) || evidence) as prompt_md5 from b",
     ),
     "answer": (

@@ -13,7 +13,7 @@ from lodeseam.plans.base import CHUNKS, SCORED, chunks, expanded, sql_list, tabl
 asked = f"""a as (select item_id, text, {tokens("text")} as toks, {without(tokens("text"), T.STOP_WORDS)} as asked from benchmark),
 e as (select *, {expanded("asked")} as every from a)"""
 line = lambda c: F.array_join(F.sort_array(c), " ")
-q = F.lit("How does the food price filtering work?")
+q = lambda: F.lit("How does the food price filtering work?")
 PATHS = ("src/main/App.java", "node_modules/x/index.js", "build", "build/out.py", "docs/.env", "img/logo.PNG", "Dockerfile", "a/package-lock.json", "x/pyproject.toml", "README", "lib/a.b.ts", "web/login.jsp")
 
 
@@ -53,11 +53,11 @@ QUERIES = {
           || '-' || symbol_end_line || chr(10) || 'Source:' || chr(10) || coalesce(content, '')) as text_sha256 from chunks""",
     ),
     "lexical_score": (
-        lambda s, d: chunks(s, d).select("doc_id", F.round(T.lexical_score(q, "content", "symbol_name", "file_path"), 6).alias("lexical_score")),
+        lambda s, d: chunks(s, d).select("doc_id", F.round(T.lexical_score(q(), "content", "symbol_name", "file_path"), 6).alias("lexical_score")),
         f"with {SCORED} select doc_id, round(lexical_score, 6) as lexical_score from lex",
     ),
     "exact_score": (
-        lambda s, d: chunks(s, d).select("doc_id", F.round(T.exact_score(q, "symbol_name", "file_path"), 6).alias("exact_match_score")),
+        lambda s, d: chunks(s, d).select("doc_id", F.round(T.exact_score(q(), "symbol_name", "file_path"), 6).alias("exact_match_score")),
         f"with {SCORED} select doc_id, round(exact_match_score, 6)::double as exact_match_score from lex",
     ),
     "filter_structural_score": (
