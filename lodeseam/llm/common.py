@@ -73,3 +73,18 @@ def components(edges: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of the shared checkpoint folder, for a table that outlives one plan."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def bloom_words(keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """A Bloom filter of a column's values as ``(word, mask)``: at most bits / 64 rows, whatever the input."""
+    slot = F.xxhash64(column).bitwiseAND(F.lit(bits - 1))
+    return keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
+
+
+def maybe_in(rows: DataFrame, column: str, words: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Adds ``__maybe``: false only where the filter lacks the column's value for certain. The filter is broadcast, as its
+    size is bound; a full one costs time, never results."""
+    slot = rows.withColumn("__slot", F.xxhash64(column).bitwiseAND(F.lit(bits - 1)))
+    named = words.select(F.col("word").alias("__word"), F.col("mask").alias("__mask"))
+    hit = F.expr("coalesce(__mask & shiftleft(1L, cast(__slot & 63 as int)), 0) <> 0")
+    return slot.join(F.broadcast(named), F.shiftright("__slot", 6) == F.col("__word"), "left").withColumn("__maybe", hit).drop("__slot", "__word", "__mask")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.llm.common import components, pieces, settle
@@ -61,11 +61,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-def gray_rank(code: Column) -> Column:
-    """Place of a code in Gray order, as the bits of a long."""
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Places of codes in Gray order."""
     for step in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, step))
-    return code
+        codes = codes ^ (codes >> np.uint64(step))
+    return codes
 
 
 class GrayIndex:
@@ -135,38 +135,43 @@ def forest(codes: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of rows of one bucket, a forest or every pair; rows come sorted by bucket, in Gray order."""
-    held: pa.Table | None = None
+def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = False, ratio: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of rows of one bucket and part, which stand together: a forest, or every pair whose sizes
+    are alike enough. A run is put in Gray order first."""
+    names = ("bucket", "part")
 
     def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
-        codes, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
+        keys = [table.column(c).to_numpy() for c in names]
+        codes, node, size = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("size").to_numpy()
         change = np.zeros(len(codes), bool)
-        for column in bucket:
+        for column in keys:
             change[1:] |= column[1:] != column[:-1]
         cuts = np.concatenate(([0], np.flatnonzero(change), [len(codes)]))
         a, b = [], []
         for i in np.flatnonzero(np.diff(cuts) > 1):
-            start, stop = cuts[i], cuts[i + 1]
-            for x, y in (pairs_within if every else forest)(codes[start:stop], bits):
-                a.append(node[start + x])
-                b.append(node[start + y])
-                if len(a) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    a, b = [], []
+            own = slice(cuts[i], cuts[i + 1])
+            order = np.argsort(gray_rank(codes[own]), kind="stable")
+            code, name, large = codes[own][order], node[own][order], size[own][order]
+            for x, y in (pairs_within if every else forest)(code, bits):
+                if not every or min(large[x], large[y]) >= ratio * max(large[x], large[y]):
+                    a.append(name[x])
+                    b.append(name[y])
+            if len(a) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
-        last = [table.column(c)[table.num_rows - 1].as_py() for c in ("bucket", "low", "high")]
         same = np.ones(table.num_rows, bool)
-        for c, value in zip(("bucket", "low", "high"), last):
-            same &= table.column(c).to_numpy() == value
+        for c in names:
+            column = table.column(c).to_numpy()
+            same &= column == column[-1]
         first = int(np.argmax(same))
         if first:
             yield from close(table.slice(0, first))
@@ -175,25 +180,29 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = Fal
         yield from close(held)
 
 
+#: Buckets are told to be large from one fingerprint in SAMPLE, and at most LARGE of them are. Which rows meet doesn't
+#: depend on it, only in how many tasks.
+SAMPLE, LARGE = 64, 10_000
+
+
 def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFrame:
-    """``codes(node, fp)`` once for each pair of equal blocks, in parts of about ``bucket`` rows that meet in pairs.
+    """``codes(node, fp, size)`` once for each pair of equal blocks, in parts of about ``bucket`` rows that meet in pairs.
 
     Fingerprints that differ in fewer blocks than len(widths) - 1 share a bucket."""
     starts = [sum(widths[:i]) for i in range(len(widths))]
     block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, widths)]
     pairs = [(i, j) for i in range(len(widths)) for j in range(i)]
     names = [F.lit(t).cast("long") * F.lit(1 << 48) + F.shiftleft(block[i], widths[j]) + block[j] for t, (i, j) in enumerate(pairs)]
-    rows = codes.select("node", "fp", F.explode(F.array(*names)).alias("bucket"))
-    large = rows.groupBy("bucket").count().where(F.col("count") > bucket)
-    parts = F.coalesce(F.ceil(F.col("count") / bucket), F.lit(1)).cast("int")
-    dealt = (
-        rows.join(large, "bucket", "left")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.hash("fp"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), gray_rank(F.col("fp")).alias("rank"), "fp", "node")
-    )
-    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rank")
+    rows = codes.select("node", "fp", "size", F.explode(F.array(*names)).alias("bucket"))
+    least = max(bucket, codes.count() * len(pairs) / LARGE)
+    seen = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
+    large = F.broadcast(seen.where(F.col("about") >= least))
+    # a row of a large bucket goes to the pairs of its part with each other part
+    own = F.pmod(F.hash("fp"), F.col("parts"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other).cast("long") * F.lit(1 << 31) + F.greatest(own, other))
+    dealt = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("about") / bucket), F.lit(1)).cast("int"))
+    split = dealt.select("bucket", F.explode(F.when(F.col("parts") > 1, meet).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), "fp", "node", "size")
+    return split.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
 
 def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
@@ -201,7 +210,7 @@ def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> Data
     reachable by steps of at most ``bits`` (2 at most) differing bits."""
     if not 0 <= bits <= 2:
         raise ValueError("four blocks of 16 bits find at most two differing bits")
-    return bucketed(codes, (16, 16, 16, 16), bucket).mapInArrow(lambda batches: bucket_links(batches, bits), "a long, b long")
+    return bucketed(codes.select("node", "fp", F.lit(1).alias("size")), (16, 16, 16, 16), bucket).mapInArrow(lambda batches: bucket_links(batches, bits), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
