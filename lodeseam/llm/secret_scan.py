@@ -69,6 +69,8 @@ N_OWN = N_SETS * N_LENGTHS + 16
 PREV, PREV2, NEXT, FILE = N_OWN, N_OWN + N_SETS + 1, N_OWN + 2 * (N_SETS + 1), N_OWN + 3 * (N_SETS + 1)
 N_FILE = 4
 N_FEATURES = FILE + N_FILE
+KEY_LIKE = frozenset(map(SETS.index, ("hex", "lower_digits", "upper_digits", "mixed")))
+UNKNOWN_LENGTH = 16
 EDGE = N_SETS  # the kind beyond either end
 
 
@@ -120,7 +122,9 @@ def digits_in(text: str) -> int:
 
 
 def training_windows(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(has a secret, features of each token, tags) around secrets and around other tokens with digits."""
+    """(has a secret, features of each token, tags) around secrets and around other tokens with digits.
+
+    A window with a long token that looks like a key but matches no pattern teaches nothing, as it may be a secret."""
     spots = [m.span() for m in TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in spots]
     tags = [O] * len(tokens)
@@ -136,6 +140,8 @@ def training_windows(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
     centres += list(range(0, len(tokens), max(40, len(tokens) // 8)))
     for k in centres:
         lo, hi = max(0, k - SIDE), min(len(tokens), k + SIDE + 1)
+        if any(tags[j] == O and len(tokens[j]) >= UNKNOWN_LENGTH and kinds[j] in KEY_LIKE for j in range(lo, hi)):
+            continue
         features = [f for j in range(lo, hi) for f in token_features(kinds, j, own_features(tokens[j]), file)]
         yield int(any(tags[lo:hi])), features, tags[lo:hi]
 
@@ -326,6 +332,8 @@ def train(docs: DataFrame, docs_bound: int = TRAIN_DOCS, windows_bound: int = TR
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("positive", pa.int32()), ("features", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32()))])
     made = chosen.mapInArrow(windows, "doc_id long, n int, positive int, features array<int>, tags array<int>")
+    # about 10 windows a document, so a few tasks hold them and each sends its best to the driver
+    made = made.repartition(4)
     order = F.xxhash64("doc_id", "n")
     rows = made.withColumn("side", order).orderBy(F.desc("positive"), "side").limit(windows_bound // 2).collect()
     if len(rows) == windows_bound // 2:  # the other half without secrets
