@@ -9,7 +9,7 @@ For a BPE model the states of the lattice are (place, last piece) and an arc wei
 text gives back just these two pieces, and infinity otherwise. A sequence of pieces is what BPE's merges make of a text
 exactly if that holds for all its neighbours, so there is one path of finite weight, and it is the library's encoding.
 Where no piece holds a word sign after another character the lattice has one state at each word start, and words are
-composed one by one and remembered, up to a bound.
+composed in sorted order, each from where it leaves the one before, and remembered, up to a bound.
 
 A null text encodes to null and decodes to null; an empty one to no ids. Repeated rows are encoded alike. Empty input
 gives no rows. The path of the model is a parameter. Models with other normalisers or of other types are refused.
@@ -32,6 +32,7 @@ from lodeseam.llm.common import pieces
 SIGN = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
+START = 0
 CHUNK = re.compile(f"{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 
 
@@ -70,7 +71,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """Encodes and decodes with one model."""
 
-    KEPT = 150_000
+    KEPT = 300_000
     PAIRS = 1_000_000
 
     def __init__(self, path: str):
@@ -92,15 +93,17 @@ class Transducer:
                     raise ValueError("only the identity normaliser is supported")
                 self.prefix = bool(spec.get(3, 1))
         self.byte_values = {i: b for b, i in self.bytes_.items()}
-        self.trie: dict = {}
+        # pieces from their last character to their first
+        self.ends: dict = {}
+        self.states: dict[str, int] = {"": START}
         for name, i in self.ids.items():
             if self.merge(name) == [name]:
-                node = self.trie
-                for c in name:
+                node = self.ends
+                for c in reversed(name):
                     node = node.setdefault(c, {})
-                node[""] = (name, i)
+                node[""] = (self.state(name), name, (i,))
         self.by_word = not any(SIGN in name.lstrip(SIGN) for name in self.ids)
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.pairs: dict[int, float] = {}
         self.words: dict[str, list[int]] = {}
 
     def _piece(self, fields: dict) -> None:
@@ -130,67 +133,86 @@ class Transducer:
 
     def weight(self, last: str, piece: str) -> float:
         """Weight of an arc after another: 0 if the two stay as they are, else infinity."""
-        key = (last, piece)
-        out = self.pairs.get(key)
-        if out is None:
-            out = 0.0 if self.merge(last + piece) == [last, piece] else INFINITE
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = out
-        return out
-
-    def shortest_path(self, text: str) -> list[int]:
-        """Ids on the shortest path through the lattice of a normalised text."""
-        n = len(text)
-        # the state at each place: its weight, its last piece, the arc's ids, the place before
-        best: list = [None] * (n + 1)
-        best[0] = (0.0, "", (), -1)
-        for i in range(n):
-            state = best[i]
-            if state is None:
-                continue
-            cost, last = state[0], state[1]
-            node, j = self.trie.get(text[i]), i + 1
-            if node is None or "" not in node:  # byte fallback
-                arc = tuple(self.bytes_[b] for b in text[i].encode("utf-8")) if self.bytes_ else (self.kinds.index(UNKNOWN),)
-                total = cost + (self.weight(last, text[i]) if last else 0.0)
-                if total < INFINITE and (best[j] is None or total < best[j][0]):
-                    best[j] = (total, text[i], arc, i)
-            while node is not None:
-                if "" in node:
-                    name, piece = node[""]
-                    total = cost + (self.weight(last, name) if last else 0.0)
-                    if total < INFINITE and (best[j] is None or total < best[j][0]):
-                        best[j] = (total, name, (piece,), i)
-                if j == n:
+        return 0.0 if self.merge(last + piece) == [last, piece] else INFINITE
+
+    def state(self, name: str) -> int:
+        """The number of a lattice state's piece; characters that fall back to bytes have their own."""
+        return self.states.setdefault(name, len(self.states))
+
+    def shortest_paths(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids on the shortest path through the lattice of each normalised text. The state at a place follows from the
+        text before it alone, so what a text shares with the one before it is composed once; sorted texts share most.
+
+        Weights are 0 or infinity, so the first path of weight 0 to a place is a shortest one; long pieces come first."""
+        trie, pairs, former = self.ends, self.pairs, ""
+        # at each place: the state that reached it, its piece, the place before, the arc's ids
+        number, names, before, arcs = [START], [""], [0], [()]
+        for text in texts:
+            k, shared = 0, min(len(former), len(text))
+            while k < shared and former[k] == text[k]:
+                k += 1
+            for part in (number, names, before, arcs):
+                del part[k + 1 :]
+            former = text
+            for j in range(k, len(text)):
+                found, node, i = [], trie, j
+                while i >= 0:
+                    node = node.get(text[i])
+                    if node is None:
+                        break
+                    if "" in node:
+                        found.append((i, node[""]))
+                    i -= 1
+                while found:
+                    i, (state, name, ids) = found.pop()
+                    if i:
+                        key = number[i] << 32 | state
+                        weight = pairs.get(key)
+                        if weight is None:
+                            weight = self.weight(names[i], name)
+                            if len(pairs) >= self.PAIRS:
+                                pairs.clear()
+                            pairs[key] = weight
+                        if weight:
+                            continue
                     break
-                node, j = node.get(text[j]), j + 1
-        out, at = [], n
-        while at:
-            _, _, arc, before = best[at]
-            out.append(arc)
-            at = before
-        return [i for arc in reversed(out) for i in arc]
+                else:  # byte fallback
+                    i, c = j, text[j]
+                    state, name = self.state(c), c
+                    ids = tuple(self.bytes_[b] for b in c.encode("utf-8")) if self.bytes_ else (self.kinds.index(UNKNOWN),)
+                number.append(state)
+                names.append(name)
+                before.append(i)
+                arcs.append(ids)
+            out, at = [], len(text)
+            while at:
+                out += arcs[at][::-1]
+                at = before[at]
+            out.reverse()
+            yield out
 
     def normalise(self, text: str) -> str:
         return (SIGN if self.prefix and text else "") + text.replace(" ", SIGN)
 
-    def encode(self, text: str) -> list[int]:
-        text = self.normalise(text)
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        texts = [self.normalise(t) for t in texts]
         if not self.by_word:
-            return self.shortest_path(text)
-        out, words = [], self.words
-        for word in CHUNK.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.shortest_path(word)
-                if len(words) >= self.KEPT:
-                    words.clear()
-                if len(word) <= 64:
-                    words[word] = ids
-            out += ids
+            return list(self.shortest_paths(texts))
+        split = [CHUNK.findall(t) for t in texts]
+        if len(self.words) >= self.KEPT:
+            self.words.clear()
+        fresh = sorted({w for line in split for w in line} - self.words.keys())
+        words = self.words
+        words.update(zip(fresh, self.shortest_paths(fresh)))
+        out = [[i for w in line for i in words[w]] for line in split]
+        for w in fresh:
+            if len(w) > 64:
+                del words[w]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         """The inverse path: bytes join to characters (what is no UTF-8 becomes U+FFFD), word signs to spaces."""
         names, values = self.names, self.byte_values
@@ -222,7 +244,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = transducer(path)
         for batch in pieces(batches, "text", 2 << 20):
-            ids = [None if t is None else made.encode(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = made.encode_batch([t or "" for t in texts])
+            ids = [None if t is None else x for t, x in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id long, ids array<int>")
@@ -254,11 +278,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         low, high = min(made.byte_values, default=0), max(made.byte_values, default=-1)
         for batch in pieces(batches, "text", 2 << 20):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, made.encode_batch([t or "" for t in texts])):
                 if text is None:
                     rows.append((doc_id, None, None, None, None))
                     continue
-                ids = made.encode(text)
                 block = np.array(ids, "<u4")
                 rows.append((doc_id, len(ids), int(((block >= low) & (block <= high)).sum()), zlib.crc32(block.tobytes()), made.decode(ids) == text))
             kinds = [pa.int64()] * 4 + [pa.bool_()]

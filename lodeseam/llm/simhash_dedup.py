@@ -135,32 +135,18 @@ def forest(codes: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = False, ratio: float = 0.0) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of rows of one bucket and part, which stand together: a forest, or every pair whose sizes
-    are alike enough. A run is put in Gray order first."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each bucket and part, which stand together, as arrays; runs of one row are left out."""
     names = ("bucket", "part")
 
-    def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = [table.column(c).to_numpy() for c in names]
-        codes, node, size = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("size").to_numpy()
-        change = np.zeros(len(codes), bool)
-        for column in keys:
-            change[1:] |= column[1:] != column[:-1]
-        cuts = np.concatenate(([0], np.flatnonzero(change), [len(codes)]))
-        a, b = [], []
+    def close(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        change = np.zeros(table.num_rows, bool)
+        columns = {c: table.column(c).to_numpy() for c in table.schema.names}
+        for c in names:
+            change[1:] |= columns[c][1:] != columns[c][:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(change), [table.num_rows]))
         for i in np.flatnonzero(np.diff(cuts) > 1):
-            own = slice(cuts[i], cuts[i + 1])
-            order = np.argsort(gray_rank(codes[own]), kind="stable")
-            code, name, large = codes[own][order], node[own][order], size[own][order]
-            for x, y in (pairs_within if every else forest)(code, bits):
-                if not every or min(large[x], large[y]) >= ratio * max(large[x], large[y]):
-                    a.append(name[x])
-                    b.append(name[y])
-            if len(a) >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield {c: v[cuts[i] : cuts[i + 1]] for c, v in columns.items()}
 
     held: pa.Table | None = None
     for batch in batches:
@@ -180,6 +166,32 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bits: int, every: bool = Fal
         yield from close(held)
 
 
+def edge_batches(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    a, b = [], []
+    for x, y in found:
+        a.append(x)
+        b.append(y)
+        if len(a) >= 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links inside each bucket and part, whose rows are put in Gray order first."""
+
+    def found() -> Iterator[tuple[int, int]]:
+        for run in runs(batches):
+            codes = run["fp"].view(np.uint64)
+            order = np.argsort(gray_rank(codes), kind="stable")
+            node = run["node"][order]
+            for x, y in forest(codes[order], bits):
+                yield int(node[x]), int(node[y])
+
+    yield from edge_batches(found())
+
+
 #: Buckets are told to be large from one fingerprint in SAMPLE, and at most LARGE of them are. Which rows meet doesn't
 #: depend on it, only in how many tasks.
 SAMPLE, LARGE = 64, 10_000

@@ -144,20 +144,45 @@ def test_lines(spark):
     assert line_dedup.remove_lines(empty(spark)).count() == 0
 
 
-def test_line_pairs_by_pigeonhole(spark):
-    """Every pair within BITS bits and of like length is found, and none beyond FAR bits."""
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_line_pairs_by_pigeonhole(spark, bucket):
+    """Every pair within BITS bits and of like length is a candidate, in parts of buckets too."""
     rng = random.Random(8)
-    codes = [rng.getrandbits(63) for _ in range(60)]
-    codes += [x ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for x in codes]
-    df = spark.createDataFrame([(i, x, 10 if i % 7 else 100) for i, x in enumerate(codes)], "node long, fp long, size int")
-    got = {(r.a, r.b) for r in line_dedup.candidate_pairs(df).collect()}
+    base = rng.getrandbits(63)
+    codes = [base ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(80)] + [rng.getrandbits(63) for _ in range(40)]
+    codes = list(dict.fromkeys(codes))
+    sizes = [10 if i % 7 else 100 for i in range(len(codes))]
+    df = spark.createDataFrame([(i, x, s) for i, (x, s) in enumerate(zip(codes, sizes))], "node long, fp long, size int")
+    kind = "bucket long, part long, fp long, node long, size int"
+    got = simhash_dedup.bucketed(df, line_dedup.BLOCKS, bucket).mapInArrow(lambda b: line_dedup.partnered(b, 0.8), kind).collect()
+    met = {}
+    for r in got:
+        met.setdefault((r.bucket, r.part), set()).add(r.node)
     for i in range(len(codes)):
-        for j in range(i + 1, len(codes)):
-            far, alike = (codes[i] ^ codes[j]).bit_count(), (i % 7 == 0) == (j % 7 == 0)
-            if far <= line_dedup.BITS and alike:
-                assert (i, j) in got
-            if far > line_dedup.FAR or not alike:
-                assert (i, j) not in got
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= line_dedup.BITS and sizes[i] == sizes[j]:
+                assert any({i, j} <= nodes for nodes in met.values())
+
+
+def test_alike_links_join_what_pairs_join():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcd") for _ in range(40)) for _ in range(6)]
+    texts += [t[:i] + "z" + t[i + 1 :] for t in texts for i in rng.sample(range(40), 12)]
+    codes = np.sort(np.array([rng.getrandbits(3) for _ in texts], np.uint64))
+    rng.shuffle(texts)
+    size = np.full(len(texts), 40)
+    links = list(line_dedup.alike_links(codes, size, texts, 0.8))
+    assert len(links) < len(texts)
+    every = [(i, j) for i in range(len(texts)) for j in range(i) if line_dedup.edits(texts[i], texts[j], 8) <= 8]
+
+    def groups(edges):
+        root = list(range(len(texts)))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert groups(links) == groups(every)
 
 
 def test_groups_in_lines_are_verified(spark):
