@@ -210,6 +210,14 @@ def test_groups_in_lines_are_verified(spark):
                 assert group[i] == group[j]
 
 
+def test_line_fingerprints():
+    rng = random.Random(13)
+    lines = [[f"w{rng.randint(0, 3000)}" for _ in range(n)] for n in (5, 1, 254, 255, 256, 900, 2000, 7)]
+    for line, fp in zip(lines, line_dedup.simhash(lines).view(np.uint64)):
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in set(line)]
+        assert int(fp) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def simhash_of(line):
     return line_dedup.simhash([line.split()]).view(np.uint64)[0]
 
