@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words of one document. Its minimiser is the l
 Consecutive windows with one minimiser travel as one packed string (a super-k-mer), in a compressed block for each
 bucket and slice of input, so that a word is sent about three times and not thirteen. In its bucket the windows are
 sorted by hash and owner, and equal hashes are compared word by word. Windows that a smaller doc_id of the same slice
-has too are settled before the shuffle, so that a passage that a third of all documents share is sent once a slice.
+has too are settled before the shuffle, so that a passage that a third of all documents share is sent once a slice; all
+places at which its least owner there has it are sent, as a smaller doc_id of another slice may remove each of them.
 Minimisers above a share ``HOT_SHARE`` of a sample of the rows (fewer than 1 / HOT_SHARE values; they change only where
 windows meet, never which) hand their windows to buckets by the hash of the whole window instead.
 
@@ -141,7 +142,7 @@ def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.nd
         line = words.line[places]
         owner = doc_ids[line]
         whole = words.window_hashes(width)[places]
-        least, first = owners(words, places, whole, owner, width)
+        least, _ = owners(words, places, whole, owner, width)
         out: list[tuple[int, int, bytes]] = []
         a, b = _runs(owner > least, places)
         if len(a):
@@ -150,7 +151,7 @@ def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.nd
         key = minimisers(words, width)[places]
         if len(hot):
             key = np.where(np.isin(key, hot), whole, key)
-        a, b = _runs(first, places, key)
+        a, b = _runs(owner == least, places, key)
         bucket = (key[a] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         a, b, bucket = a[order], b[order], bucket[order]

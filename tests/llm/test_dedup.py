@@ -119,6 +119,16 @@ def test_substring(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_inside_a_document_across_slices(spark):
+    """Every place of a passage goes that a smaller doc_id in another partition holds."""
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(1, f"a1 {passage} a2", "en", "s"), (2, f"b1 {passage} b2 {passage} b3", "en", "s"), (3, f"{passage} c1 c2 {passage} {passage}", "en", "s")]
+    df = spark.createDataFrame(rows, SCHEMA).repartitionByRange(3, "doc_id")
+    assert df.rdd.getNumPartitions() == 3
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (30, "b1 b2 b3"), 3: (45, "c1 c2")}
+
+
 def test_windows_with_one_hash_are_told_apart():
     words = substring_dedup.Words([b"a b c d".split(), b"a b c e".split(), b"a b c d".split()])
     places = words.windows(4)
