@@ -15,6 +15,7 @@ for itself, in an order set by their place in the sorted partition. Empty input
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,20 +39,31 @@ HELD = "<u2"
 
 
 def vocabulary_path() -> str:
-    """The ranks of byte_bpe_50k.json, the same vocabulary: its ids are equal (tests compare them), five times as quick."""
+    """The ranks of byte_bpe_50k.json, the same vocabulary: its ids are equal (tests compare them), five times as quick.
+    The added tokens, which ranks lack, are read from the JSON beside it."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that the library finds whole wherever they stand in a text."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("an added token depends on what stands beside it")
+    return {t["content"]: t["id"] for t in added}
+
+
 def load(path: str) -> tiktoken.Encoding:
     import public_tokenizers
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-    if max(ranks.values()) > np.iinfo(HELD).max:
+    added = added_tokens(path)
+    if max([*ranks.values(), *added.values()]) > np.iinfo(HELD).max:
         raise ValueError("the vocabulary has ids above 65535")
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -99,7 +111,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, press = load(path), zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches, "text", 4 << 20):
-            ids = [np.array([*model.encode_ordinary(t or ""), END_ID], HELD) for t in batch.column(1).to_pylist()]
+            ids = [np.array([*model.encode(t or "", allowed_special="all"), END_ID], HELD) for t in batch.column(1).to_pylist()]
             counts = np.stack([np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24), minlength=BINS) for x in ids]).astype(float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(curve_keys(counts)), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.tobytes()) for x in ids], pa.binary())],

@@ -121,6 +121,20 @@ def reference_ids():
     return lambda text: model.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_packing_knows_added_tokens(spark):
+    """Ids are those of the library as it is set by default: a declared token is one id wherever it stands."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>x", "no <|endoftex|> here <|ENDOFTEXT|>", "\n<|endoftext|>\n", "<|<|endoftext|>|> plain"]
+    wanted = {i: model.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    got = {}
+    for r in packing.pack(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 1024).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(memoryview(r.ids).cast("I").tolist())
+    assert got == wanted
+
+
 @pytest.mark.parametrize("size", [64, 1024])
 def test_packing(spark, size):
     rng = random.Random(4)
