@@ -1,8 +1,8 @@
 """Hybrid retrieval: vector top-k, re-ranking, de-duplication, threshold, diverse choice, citation and packing.
 
 Questions are rows, so that one plan answers many. A question's candidates are at most ``MOST_CANDIDATES``; each window
-below runs inside one question. Questions are broadcast against the vectors, as they are few and stated by the caller:
-more than ``MOST_QUESTIONS`` are refused.
+below runs inside one question. Up to ``MOST_QUESTIONS`` questions are broadcast against the vectors; more are cut into
+blocks of about as many, and each block meets each partition of the vectors in a task of its own.
 """
 
 from __future__ import annotations
@@ -71,10 +71,10 @@ def topk_each(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "c
     """The k nearest of ``vectors(vector_id, values)`` for each of ``questions(question_id, wanted)``.
 
     Each task keeps its own k best of each question before anything is shuffled."""
-    if questions.count() > MOST_QUESTIONS:
-        raise ValueError(f"at most {MOST_QUESTIONS} questions at a time")
+    blocks = -(-questions.count() // MOST_QUESTIONS)
+    asked = F.broadcast(questions) if blocks <= 1 else questions.repartition(blocks, "question_id").hint("shuffle_replicate_nl")
     measure, largest = V.METRICS[metric]
-    scored = vectors.join(F.broadcast(questions)).withColumn("vector_score", measure(F.col("values"), F.col("wanted")))
+    scored = vectors.join(asked).withColumn("vector_score", measure(F.col("values"), F.col("wanted")))
     signed = F.col("vector_score") if largest else -F.col("vector_score")
     parts = scored.withColumn("part", F.spark_partition_id()).drop("values", "wanted").withColumn("signed", signed)
     order = [F.desc_nulls_last("signed"), F.asc("vector_id")]

@@ -94,3 +94,18 @@ def test_scan(spark, tmp_path):
     got = counts.first()
     assert (got.total_files, got.supported_files, got.ignored_files) == (6, 3, 3)
     assert [(x.language, x.files) for x in got.languages] == [("Python", 2), ("Shell", 1)]
+
+
+def test_topk_each_answers_any_number_of_questions(spark, monkeypatch):
+    """More questions than are broadcast at once get the same answers, in blocks."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vector_id long, values array<double>").repartition(3)
+    questions = vectors.where("vector_id % 2 = 0").select(F.col("vector_id").alias("question_id"), F.col("values").alias("wanted"))
+    monkeypatch.setattr(S, "MOST_QUESTIONS", 7)
+    got = {}
+    for r in S.topk_each(vectors, questions, 4).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.vector_id)
+    length = lambda x: sum(a * a for a in x) ** 0.5
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y)) / (length(x) * length(y))
+    assert got == {q: [v for v, _ in sorted(rows, key=lambda r: -cosine(r[1], wanted))[:4]] for q, wanted in rows if q % 2 == 0}
