@@ -206,7 +206,12 @@ def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFram
     pairs = [(i, j) for i in range(len(widths)) for j in range(i)]
     names = [F.lit(t).cast("long") * F.lit(1 << 48) + F.shiftleft(block[i], widths[j]) + block[j] for t, (i, j) in enumerate(pairs)]
     rows = codes.select("node", "fp", "size", F.explode(F.array(*names)).alias("bucket"))
-    least = max(bucket, codes.count() * len(pairs) / LARGE)
+    return parted(rows, codes.count() * len(pairs), bucket)
+
+
+def parted(rows: DataFrame, count: int, bucket: int) -> DataFrame:
+    """``rows(node, fp, size, bucket)``, of about that count, in parts of about ``bucket`` rows that meet in pairs."""
+    least = max(bucket, count / LARGE)
     seen = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
     large = F.broadcast(seen.where(F.col("about") >= least))
     # a row of a large bucket goes to the pairs of its part with each other part

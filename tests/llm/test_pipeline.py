@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 import corpus_pipeline as pipeline
-from lodeseam.llm import line_dedup, packing, secret_scan
+from lodeseam.llm import line_dedup, packing, secret_scan, shingle_dedup
 
 from .test_dedup import brute_components, brute_fingerprint
 
@@ -93,3 +93,28 @@ def test_stages(spark, tables, tmp_path):
 def test_run(spark, tables):
     packed = pipeline.run(spark, tables[0])
     assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and packed.count() > 0
+
+
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_near_copies_of_like_shingles_go(spark, bucket):
+    """Copies of similarity 0.8 or more by five-word shingles are found, and no link is made below it."""
+    rng = random.Random(31)
+    rows, sets = [], {}
+    for i in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)] if i % 4 == 0 else base
+        words = list(base)
+        for _ in range((0, 2, 3, 9)[i % 4]):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(5000)}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(196)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    docs = spark.createDataFrame(rows + [(None, rows[0][1], "en", "s", 1)], DOC)
+    got = {r.doc_id: r.component_id for r in shingle_dedup.groups(docs, bucket).collect()}
+    assert got.pop(None) is None and got == root and len(set(root.values())) < 120
+    left = [r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i in left if i is not None) == sorted(set(root.values())) and None in left
