@@ -1,171 +1,321 @@
 """Fuzzy line deduplication over the whole corpus.
 
-Lines are normalised (lower case, digits to 0, other signs to spaces) and those of ``LEAST_WORDS`` words or more take
-part; all others stay. Equal normalised lines are one node. Each node has a 64-bit SimHash of its distinct words; nodes
-whose fingerprints agree on two of four blocks share a bucket, so that by the pigeonhole principle every pair that
-differs in at most ``BITS`` = 2 bits meets, and so do most pairs up to ``FAR`` bits. Pairs up to FAR bits apart and of
-like length are verified by edit similarity (1 - edits / longer length, ``LEAST_SIMILARITY`` at least) of the normalised
-lines. Of every connected group the occurrence with the smallest (doc_id, line number) stays.
-
-Texts move only where they must: a Bloom filter of bound size tells which lines may be in a pair, and which documents
-may lose a line; all others pass by the shuffles.
-
-Nulls: a null text has no lines; lines of rows without a doc_id stay and do not count. Rows that repeat a doc_id must
-repeat its text and lose the same lines. Empty input gives no rows.
+Lines are normalised: lower case, digits to 0, other ASCII signs to spaces, single spaces. Lines without a word never
+take part, all others do; equal normalised lines are one node. A node's words are cut into blocks of one width (two to 160 words, by
+the line's length), the first half counted from its start and the second from its end, so that a word put in or left
+out moves no block before or behind it. The fingerprint of a line is the row of the 64-bit SimHashes of its blocks, and
+lines that share a block at one place meet. By the pigeonhole principle lines of b blocks meet wherever fewer than b
+words were replaced, and with words put in or left out unless these touch the first and the last block alike. Lines at
+the edge of a length class are cut to both widths. Lines of fewer than four words are cut by characters if they have
+``LEAST_CHARS`` of them, and are only compared for equality if not.
+
+Lines that meet and are of like length are verified by edit similarity (1 - edits / longer length, ``LEAST_SIMILARITY``
+at least) of the normalised lines. Of every connected group the occurrence with the smallest (doc_id, line number)
+stays. Texts move only where they must: blocks travel as hashes, lines that met the same lines in several blocks travel
+once, and a Bloom filter of bound size tells which documents hold a line in question or may lose one.
+
+Nulls: a null text has no lines; lines of rows without a doc_id stay and do not count. Rows that repeat a doc_id lose the
+lines of the same numbers if any of these rows loses them; they are one document and should repeat its text. Empty input
+gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, maybe_in, pieces, settle
-from lodeseam.llm.simhash_dedup import BUCKET, GrayIndex, bucketed, edge_batches, gray_rank, runs
+from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, pieces, settle
+from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, runs
 
-LEAST_WORDS = 5
 LEAST_SIMILARITY = 0.8
-BITS = 2
-FAR = 8
-BLOCKS = (16, 16, 16, 16)
-_DIGIT, _SIGN = re.compile(r"\d"), re.compile(r"[^\w\n ]+|_+")
-
-
-def normal_lines(text: str) -> Iterator[list[str]]:
-    """The words of each normalised line."""
-    for line in _SIGN.sub(" ", _DIGIT.sub("0", text.lower())).split("\n"):
-        yield line.split()
-
-
-def simhash(lines: list[list[str]]) -> np.ndarray:
-    """Fingerprints of lines by their distinct words."""
-    sets = [set(words) for words in lines]
-    sizes = np.array([len(x) for x in sets])
-    own = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(sets), repeat(42)), np.uint64, int(sizes.sum()))
-    # number k holds bits k, 8 + k, ... of a hash in a byte each; 255 of them add up without touching each other
-    bytes_ = np.stack([(own >> np.uint64(k)) & np.uint64(0x0101010101010101) for k in range(8)], axis=1)
-    parts = -(-sizes // 255)
-    first = np.cumsum(parts) - parts
-    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    sums = np.add.reduceat(bytes_, starts, axis=0).view(np.uint8).reshape(-1, 8, 8)
-    counts = np.add.reduceat(sums, first, axis=0, dtype=np.int32).transpose(0, 2, 1).reshape(-1, 64)
-    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
-
-
-def eligible(text: str) -> Iterator[tuple[int, str, list[str]]]:
-    """(line number, normalised line, its words) of the lines that take part."""
-    for n, words in enumerate(normal_lines(text)):
-        if len(words) >= LEAST_WORDS:
-            yield n, " ".join(words), words
-
-
-def node_of(normal: str) -> int:
-    """The first 63 bits of a 128-bit hash name a normalised line."""
-    return xxhash.xxh3_128_intdigest(normal) >> 65
+LEAST_UNITS = 4
+LEAST_CHARS = 32
+#: Widths of blocks, and the number of words from which each is used.
+WIDTHS = ((2, LEAST_UNITS), (3, 8), (4, 20), (8, 40), (16, 80), (32, 160), (64, 320), (128, 640), (160, 1280))
+#: Rows that a task sorts at a time when it looks for lines that meet.
+TASK_ROWS = 2_000_000
+_TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256))
+_LOW = np.uint64(0x0101010101010101)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MULT
+    return x ^ (x >> np.uint64(29))
+
+
+#: A random number for each byte.
+_CODES = mix(mix(np.arange(1, 257, dtype=np.uint64)))
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and of its inverse; read only."""
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _MULT))))
+        down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(_MULT), -1, 1 << 64))))))
+    return up, down
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[start:stop]: polynomials modulo 2**64, taken as differences of running sums."""
+    up, down = _powers(1 << max(16, len(values).bit_length()))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+class Lines:
+    """The normalised lines of some texts that have a word: their text, line number, node and words."""
+
+    def __init__(self, texts: list[str]):
+        whole = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join(whole).translate(_TABLE)
+        self.data = data
+        code = np.frombuffer(data, np.uint8)
+        newline = code == 10
+        black = (code != 32) & ~newline
+        edge = np.diff(np.concatenate(([False], black, [False])).view(np.int8))
+        self.start, self.stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.words = run_hashes(_CODES[code], self.start, self.stop)
+        ends = np.flatnonzero(newline)
+        line_of = np.searchsorted(ends, self.start)
+        new = np.ones(len(line_of), bool)
+        new[1:] = line_of[1:] != line_of[:-1]
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(np.concatenate((self.first, [len(line_of)])))
+        line = line_of[self.first]
+        # a text of k lines has k - 1 line ends, and one more parts it from the next
+        breaks = np.cumsum([len(x) + 1 for x in whole])
+        self.text = np.searchsorted(breaks, self.start[self.first], side="right")
+        before = np.concatenate(([0], breaks))[self.text]
+        self.number = line - np.searchsorted(ends, before)
+        self.node = (run_hashes(self.words, self.first, self.first + self.n) >> np.uint64(1)).view(np.int64)
+        letters = np.concatenate(([0], np.cumsum(black & ((code & 0xC0) != 0x80))))
+        self.size = letters[self.stop[self.first + self.n - 1]] - letters[self.start[self.first]] + self.n - 1
+
+    def normal(self, k: int) -> str:
+        """The normalised text of a line."""
+        span = self.data[self.start[self.first[k]] : self.stop[self.first[k] + self.n[k] - 1]]
+        return b" ".join(x for x in span.split(b" ") if x).decode("utf-8", "replace")
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums: number k of a row holds how often bits k, 8 + k, ... were set, in a byte each. The sum over up to 255
+    words is the difference of two rows, as what overflows cancels out."""
+    out = np.zeros((len(hashes) + 1, 8), np.uint64)
+    for k in range(8):
+        np.cumsum((hashes >> np.uint64(k)) & _LOW, out=out[1:, k])
+    return out
+
+
+def simhash(sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of the ``width`` words from each start: a bit is set if it is in over half of their hashes."""
+    counts = np.ascontiguousarray(sums[starts + width] - sums[starts]).view(np.uint8).reshape(-1, 64)
+    return np.packbits(counts > width // 2, axis=1).view(np.uint64).ravel()
+
+
+def width_class(n: np.ndarray) -> np.ndarray:
+    """The place in WIDTHS of lines of n words, -1 for those without blocks."""
+    return np.searchsorted([least for _, least in WIDTHS], n, side="right") - 1
+
+
+def _ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def block_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all blocks of lines of n words that begin at first, by line."""
+    own, other = width_class(n), width_class(-(-n * 4 // 5))
+    lines, keys = [], []
+    for c, (width, _) in enumerate(WIDTHS):
+        at = np.flatnonzero((n >= max(LEAST_UNITS, width)) & ((own == c) | (other == c)))
+        if not len(at):
+            continue
+        front = (n[at] + 1) // 2
+        for sign, half in ((1, front), (-1, n[at] - front)):
+            count = np.minimum(-(-half // width), n[at] // width)
+            line, place = np.repeat(at, count), _ramp(count)
+            start = first[line] + (place * width if sign > 0 else n[line] - (place + 1) * width)
+            tag = ((place * 2 + (sign > 0)) * len(WIDTHS) + c + 1).astype(np.uint64)
+            lines.append(line)
+            keys.append(mix(simhash(sums, start, width) + mix(tag * _MULT)))
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    line, key = np.concatenate(lines), np.concatenate(keys)
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order]
+
+
+def all_keys(lines: Lines, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the blocks of the lines that are flagged, by line."""
+    own = np.where(fresh & (lines.n >= LEAST_UNITS), lines.n, 0)
+    line, key = block_keys(bit_sums(lines.words), lines.first, own)
+    few = np.flatnonzero(fresh & (lines.n < LEAST_UNITS) & (lines.size >= LEAST_CHARS))
+    if len(few):
+        letters = [np.frombuffer(lines.normal(k).encode("utf-32-le"), np.uint32).astype(np.uint64) for k in few]
+        n = np.array([len(x) for x in letters])
+        at, more = block_keys(bit_sums(mix(mix(np.concatenate(letters) + np.uint64(1)))), np.cumsum(n) - n, n)
+        line, key = np.concatenate((line, few[at])), np.concatenate((key, more))
+        order = np.argsort(line, kind="stable")
+        line, key = line[order], key[order]
+    return line, key
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line, node, fp, size)`` of the lines that take part."""
+    """``(doc_id, line, node, size, keys)`` of the lines with a word. What a task has seen already has no keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces(batches, "text", 1 << 20):
-            rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in eligible(t)]
-            if rows:
-                node = pa.array([node_of(r[2]) for r in rows], pa.int64())
-                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), node, pa.array(simhash([r[3] for r in rows])), pa.array([len(r[2]) for r in rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "node", "fp", "size"])
-
-    return docs.mapInArrow(work, "doc_id long, line int, node long, fp long, size int")
+            lines = Lines(batch.column(1).to_pylist())
+            if not len(lines.n):
+                continue
+            nodes, once = np.unique(lines.node, return_index=True)
+            fresh = np.zeros(len(lines.n), bool)
+            fresh[[k for node, k in zip(nodes.tolist(), once.tolist()) if node not in seen]] = True
+            seen.update(nodes.tolist())
+            if len(seen) > 500_000:
+                seen.clear()
+            line, key = all_keys(lines, fresh)
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))
+            doc_ids = batch.column(0).take(pa.array(lines.text))
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "line", "node", "size", "keys"])
+
+    return docs.mapInArrow(work, "doc_id long, line int, node long, size int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, normal)`` of some nodes."""
+    """``(node, normal)`` of some nodes. The filter that tells which lines may be meant is of a bound size."""
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(nodes, "node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2 << 20):
-            found = {node_of(x[1]): x[1] for t in batch.column(0).to_pylist() for x in eligible(t)}
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.string())], ["node", "normal"])
-
-    lines = maybe_in(docs.select("text").mapInArrow(work, "node long, normal string"), "node", bloom_words(nodes, "node")).where("__maybe").drop("__maybe")
-    return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("normal").alias("normal"))
-
-
-def near_blocks(codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), j before i, of places at most ``bits`` apart, i in order, in arrays of bound size; codes stand in
-    Gray order."""
-    index = GrayIndex(codes)
-    step = max(1, (1 << 20) // len(codes))
-    for i in range(0, len(codes), step):
-        query, place = index.near(codes[i : i + step], bits)
-        query = query + i
-        before = place < query
-        query, place = query[before], place[before]
-        order = np.argsort(query, kind="stable")
-        yield query[order], place[order]
-
-
-def partnered(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The rows of each bucket that have a partner there at most FAR bits away and of like length: as many rows as there
-    are, not as there are pairs."""
-    names = ("bucket", "part", "fp", "node", "size")
-    for run in runs(batches):
-        codes = run["fp"].view(np.uint64)
-        order = np.argsort(gray_rank(codes), kind="stable")
-        size, has = run["size"][order], np.zeros(len(order), bool)
-        for query, place in near_blocks(codes[order], FAR):
-            alike = np.minimum(size[query], size[place]) >= least * np.maximum(size[query], size[place])
-            has[query[alike]] = has[place[alike]] = True
-        if has.any():
-            yield pa.RecordBatch.from_arrays([pa.array(run[c][order][has]) for c in names], list(names))
-
-
-def alike_links(codes: np.ndarray, size: np.ndarray, texts: list[str], least: float) -> Iterator[tuple[int, int]]:
+        held = bits.value
+        for batch in pieces(batches, "text", 1 << 20):
+            lines = Lines(batch.column(0).to_pylist())
+            nodes, once = np.unique(lines.node, return_index=True)
+            hit = in_filter(held, nodes)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([lines.normal(k) for k in once[hit].tolist()], pa.string())], ["node", "normal"])
+
+    return docs.select("text").mapInArrow(work, "node long, normal string").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("normal").alias("normal"))
+
+
+def meetings(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """``(bucket, node, size)`` of the lines that have a partner of like length in a bucket; in order of size, a partner is
+    next to a line. Buckets take the name of their lines, so that those with the same lines become one."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.Table.from_batches(tables)
+    name, node, size = (table.column(c).to_numpy() for c in ("bucket", "node", "size"))
+    del table, tables
+    order = np.argsort(name)
+    name, node, size = name[order], node[order], size[order]
+    same = name[1:] == name[:-1]
+    many = np.zeros(len(name), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    name, node, size = name[many], node[many], size[many]
+    order = np.lexsort((node, size, name))
+    name, node, size = name[order], node[order], size[order]
+    once = np.ones(len(name), bool)
+    once[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])
+    name, node, size = name[once], node[once], size[once]
+    chain = np.ones(len(name), bool)
+    chain[1:] = (name[1:] != name[:-1]) | (size[:-1] < least * size[1:])
+    start = np.flatnonzero(chain)
+    if not len(start):
+        return
+    length = np.diff(np.concatenate((start, [len(name)])))
+    title = np.repeat(mix(np.add.reduceat(mix(node.view(np.uint64)), start) + length.astype(np.uint64)), length)
+    real = np.repeat(length > 1, length)
+    if real.any():
+        yield pa.RecordBatch.from_arrays([pa.array(title[real].view(np.int64)), pa.array(node[real]), pa.array(size[real])], ["bucket", "node", "size"])
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How many characters of each of 32 kinds a text has."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(line * 32 + (codes & 31), minlength=32 * len(texts)).reshape(-1, 32)
+
+
+def alike_links(size: np.ndarray, texts: list[str], least: float) -> Iterator[tuple[int, int]]:
     """Verified links that join all that verified pairs of one bucket join. A pair whose ends are joined already needs
     no test, so that a group of like lines costs about one test a line."""
-    group = np.arange(len(codes))
-    for query, place in near_blocks(codes, FAR):
-        alike = np.minimum(size[query], size[place]) >= least * np.maximum(size[query], size[place])
-        query, place = query[alike], place[alike]
-        for q in np.unique(query):
-            left = place[np.searchsorted(query, q) : np.searchsorted(query, q, side="right")]
-            while True:
-                left = left[group[left] != group[q]]
-                if not len(left):
-                    break
-                j, left = int(left[-1]), left[:-1]
-                most = int(max(len(texts[q]), len(texts[j])) * (1 - least) + 1e-9)
-                if edits(texts[q], texts[j], most) <= most:
-                    group[group == group[q]] = group[j]
-                    yield int(q), j
-
-
-def verified_links(docs: DataFrame, codes: DataFrame, least: float = LEAST_SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``codes(node, fp, size)``: enough to reach all that verified pairs reach."""
-    kind = "bucket long, part long, fp long, node long, size int"
-    rows = settle(bucketed(codes, BLOCKS, bucket).mapInArrow(lambda b: partnered(b, least), kind))
-    texts = settle(texts_of(docs, rows.select("node").distinct()))
+    group, bag = np.arange(len(texts)), bags(texts)
+    most = (size * (1 - least) + 1e-9).astype(np.int64)
+    for q in range(1, len(texts)):
+        more = bag[:q] - bag[q]
+        # an edit puts in one character, or leaves one out, or both
+        fewest = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        left = np.flatnonzero(fewest <= np.maximum(most[:q], most[q]))
+        while True:
+            left = left[group[left] != group[q]]
+            if not len(left):
+                break
+            j, left = int(left[-1]), left[:-1]
+            allowed = int(max(most[q], most[j]))
+            if rough_edits(texts[q], texts[j], allowed) <= allowed or edits(texts[q], texts[j], allowed) <= allowed:
+                group[group == group[q]] = group[j]
+                yield int(q), j
+
+
+def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``found(node, size, keys)``: enough to reach all that verified pairs reach."""
+    rows = found.select("node", "size", F.explode("keys").alias("bucket"))
+    count = found.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_ROWS))
+    named = dealt(rows, "node", count, bucket).select(F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part")).alias("bucket"), "node", "size")
+    met = named.repartition(parts, "bucket").mapInArrow(lambda b: meetings(b, least), "bucket long, node long, size int")
+    met = settle(met.distinct())
+    texts = texts_of(docs, met.select("node").distinct())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int]]:
+        def pairs() -> Iterator[tuple[int, int]]:
             for run in runs(batches):
-                codes = run["fp"].view(np.uint64)
-                order = np.argsort(gray_rank(codes), kind="stable")
-                node = run["node"][order]
-                for x, y in alike_links(codes[order], run["size"][order], run["normal"][order].tolist(), least):
-                    yield int(node[x]), int(node[y])
+                for x, y in alike_links(run["size"], run["normal"].tolist(), least):
+                    yield int(run["node"][x]), int(run["node"][y])
+
+        yield from edge_batches(pairs())
+
+    held = met.join(texts, "node").select("bucket", F.lit(0).cast("long").alias("part"), "node", "size", "normal")
+    return held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
 
-        yield from edge_batches(found())
 
-    named = rows.join(texts, "node").select("bucket", "part", "fp", "node", "size", "normal")
-    return named.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(work, "a long, b long")
+#: Words that one line has over another where the two run together again, nearest first.
+SHIFTS = sorted(((s, t) for s in range(7) for t in range(7) if s or t), key=lambda x: (max(x), abs(x[0] - x[1])))
+
+
+def rough_edits(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance by a walk over words, at most ``most + 1``; enough where few words differ."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for s, t in SHIFTS:
+            if i + s <= len(x) and j + t <= len(y) and x[i + s : i + s + 2] == y[j + t : j + t + 2]:
+                break
+        else:
+            return most + 1
+        gap, other = " ".join(x[i : i + s]), " ".join(y[j : j + t])
+        cost += max(len(gap), len(other)) + (not s or not t)
+        i, j = i + s, j + t
+        if cost > most:
+            return most + 1
+    rest = sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j
+    return min(cost + rest, most + 1)
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -203,9 +353,9 @@ def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``(doc_id, line, group_id, kept)`` of the lines that take part; equal group_id, same group."""
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     found = settle(occurrences(real))
-    codes = settle(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min(F.struct("doc_id", "line")).alias("first")))
-    linked = components(verified_links(real, codes.select("node", "fp", "size"), least))
-    named = codes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_id"))
+    linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    named = nodes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_id"))
     firsts = named.groupBy("group_id").agg(F.min("first").alias("first"))
     groups = named.select("node", "group_id").join(firsts, "group_id")
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))

@@ -209,16 +209,21 @@ def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFram
     return parted(rows, codes.count() * len(pairs), bucket)
 
 
-def parted(rows: DataFrame, count: int, bucket: int) -> DataFrame:
-    """``rows(node, fp, size, bucket)``, of about that count, in parts of about ``bucket`` rows that meet in pairs."""
+def dealt(rows: DataFrame, by: str, count: int, bucket: int) -> DataFrame:
+    """``rows``, of about that count, with a column ``part``: 0, or for a bucket of more than about ``bucket`` rows each
+    pair of parts that a row belongs to by the hash of column ``by``, so that any two rows of a bucket share one."""
     least = max(bucket, count / LARGE)
-    seen = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
+    seen = rows.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
     large = F.broadcast(seen.where(F.col("about") >= least))
-    # a row of a large bucket goes to the pairs of its part with each other part
-    own = F.pmod(F.hash("fp"), F.col("parts"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other).cast("long") * F.lit(1 << 31) + F.greatest(own, other))
-    dealt = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("about") / bucket), F.lit(1)).cast("int"))
-    split = dealt.select("bucket", F.explode(F.when(F.col("parts") > 1, meet).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), "fp", "node", "size")
+    own = F.pmod(F.hash(by), F.col("parts"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other).cast("long") * F.lit(1 << 31) + F.greatest(own, other) + 1)
+    marked = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("about") / bucket), F.lit(1)).cast("int"))
+    return marked.select(*rows.columns, F.explode(F.when(F.col("parts") > 1, meet).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+
+
+def parted(rows: DataFrame, count: int, bucket: int) -> DataFrame:
+    """``rows(node, fp, size, bucket)``, of about that count, in parts of about ``bucket`` rows that meet in pairs."""
+    split = dealt(rows, "fp", count, bucket).select("bucket", "part", "fp", "node", "size")
     return split.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
 
