@@ -231,14 +231,40 @@ def test_alike_links_join_what_pairs_join():
     texts = ["".join(rng.choice("abcd ") for _ in range(40)) for _ in range(6)]
     texts += [t[:i] + "z" + t[i + 1 :] for t in texts for i in rng.sample(range(40), 12)]
     rng.shuffle(texts)
+    texts = [" ".join(t.split()) for t in texts]
     size = np.array([len(t) for t in texts], np.int32)
-    links = list(line_dedup.alike_links(size, texts, 0.8))
-    assert len(links) < len(texts)
-    root = list(range(len(texts)))
-    for a, b in links:
-        a, b = sorted((root[a], root[b]))
-        root = [a if r == b else r for r in root]
-    assert root == plain_groups(texts)
+    for bucket in (np.zeros(len(texts), np.int64), np.arange(len(texts)) // 20):
+        links = list(line_dedup.alike_links(bucket, size, np.zeros(len(texts), np.uint64), texts, 0.8))
+        assert len(links) < len(texts)
+        root = list(range(len(texts)))
+        for a, b in links:
+            a, b = sorted((root[a], root[b]))
+            root = [a if r == b else r for r in root]
+        wanted = list(range(len(texts)))
+        for k in set(bucket.tolist()):
+            own = np.flatnonzero(bucket == k).tolist()
+            for i, g in zip(own, plain_groups([texts[i] for i in own])):
+                a, b = sorted((wanted[i], wanted[own[g]]))
+                wanted = [a if r == b else r for r in wanted]
+        # equal texts in two buckets are one
+        assert all(root[i] == root[j] for i in range(len(texts)) for j in range(i) if wanted[i] == wanted[j])
+
+
+def test_lower_bounds_of_edits():
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.choice((3, 30, 64, 65, 130, 200, 330)))) for _ in range(60)]
+    for t in texts[:20]:
+        other = list(t)
+        for _ in range(len(t) // 8 + 1):
+            other[rng.randrange(len(t))] = rng.choice("abz")
+        texts.append("".join(other[rng.randint(0, 2) :]))
+    held = line_dedup.Texts(texts)
+    q, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    real = np.array([line_dedup.edits(texts[a], texts[b], 10**6) for a, b in zip(q.tolist(), j.tolist())])
+    for most in (real, real + 3, np.full(len(q), 40)):
+        near = held.near(q, j, most)
+        assert near[real <= most].all()
+    assert not held.near(q, j, np.maximum(real // 4, 1))[real > 8].all()
 
 
 @pytest.mark.parametrize("bucket", [8, 4096])
