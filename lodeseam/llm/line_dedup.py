@@ -277,7 +277,7 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = [len(t) for t in texts]
     line = np.repeat(np.arange(len(texts)), length)
-    ones = np.bincount(line * 32 + (codes & 31), minlength=32 * len(texts)).reshape(-1, 32)
+    ones = np.bincount(line * 32 + (codes & 31), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
     threes = np.zeros((len(texts), 1024), np.uint8)
     if len(codes) > 2:
         kind = ((codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(22)).astype(np.int64)
@@ -288,8 +288,9 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 PIECE = 64
-#: Pairs that are looked at together.
+#: Pairs that are looked at together, and characters that are counted together.
 PAIRS = 8192
+SLICE_CHARS = 1 << 19
 
 
 def piece_costs(pieces_: np.ndarray, length: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -320,12 +321,19 @@ class Texts:
     """Some lines, and lower bounds of the edits between them."""
 
     def __init__(self, texts: list[str]):
-        self.ones, self.threes = bags(texts)
-        self.held = self.threes.sum(axis=1, dtype=np.int64)
         self.length = np.array([len(t) for t in texts])
         self.start = np.cumsum(self.length) - self.length
+        # a bound number of characters at a time
+        cuts = np.flatnonzero(np.diff(self.start // SLICE_CHARS, prepend=-1)).tolist() + [len(texts)]
+        made = [self.slice_of(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        self.ones, self.threes = (np.concatenate([m[k] for m in made]) for k in (0, 1))
+        self.codes = np.concatenate([m[2] for m in made] + [np.zeros(1, np.uint8)])
+        self.held = self.threes.sum(axis=1, dtype=np.int64)
+
+    @staticmethod
+    def slice_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.codes = np.concatenate(((codes % 255 + 1).astype(np.uint8), [0]))
+        return *bags(texts), (codes % np.uint32(255)).astype(np.uint8) + np.uint8(1)
 
     def part(self, k: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
         """Codes of ``width`` characters from a place of each text k, 0 outside of it."""
@@ -460,7 +468,7 @@ def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMIL
                 if run is not None:
                     held.append(run)
                     count += len(run["node"])
-                if held and (run is None or count >= 2 * PAIRS):
+                if held and (run is None or count >= PAIRS):
                     bucket, node, size, fp, normal = (np.concatenate([r[c] for r in held]) for c in ("bucket", "node", "size", "fp", "normal"))
                     for x, y in alike_links(bucket, size, fp.view(np.uint64), normal.tolist(), least):
                         yield int(node[x]), int(node[y])
