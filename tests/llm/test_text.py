@@ -99,8 +99,48 @@ def test_wfst_equals_the_library(transducer):
 
 
 def test_wfst_whole_lattice_equals_word_by_word(transducer):
-    for t in ("hello  world of words", "x", "", "  a"):
-        assert list(transducer.shortest_paths([transducer.normalise(t)]))[0] == transducer.encode(t)
+    """Relaxed in columns, state by state, and by the whole text at once."""
+    rng = random.Random(13)
+    texts = ["hello  world of words", "x", "  a", "añ😀b", "y" * 200] + ["".join(rng.choice("thea nd日ñ😀") for _ in range(rng.randint(1, 50))) for _ in range(200)]
+    normal = [transducer.normalise(t) for t in texts]
+    paths = dict(transducer.shortest_paths(sorted(set(normal))))
+    for text, x in zip(texts, normal):
+        assert transducer.shortest_path(x) == transducer.encode(text) == paths[x]
+
+
+def test_wfst_merge_order(transducer):
+    """An arc's weight by the two histories is what merging the joint text says."""
+    rng = random.Random(17)
+    short = [x for x in transducer.pieces if len(x) < 8]
+    likely = [(a, b) for a in rng.sample(short, 300) for b in rng.sample(short, 8)] + [(x[:k], x[k:]) for x in rng.sample(short, 800) for k in range(1, len(x)) if x[:k] in transducer.number and x[k:] in transducer.number]
+    weights = [transducer.weight(a, b) for a, b in likely]
+    assert weights == [0.0 if transducer.merge(a + b) == [a, b] else float("inf") for a, b in likely]
+    assert 0 < sum(map(bool, weights)) < len(weights)
+
+
+def test_wfst_least_path_by_enumeration(transducer):
+    """The path is the one of least weight among all paths of the composed machines, each a split into arcs."""
+    inf = float("inf")
+
+    def every(text, last=None):
+        if not text:
+            yield 0.0, ()
+            return
+        if text[0] not in transducer.number:
+            arc = transducer.byte_arc(text[0])
+            for cost, ids in every(text[1:]):
+                yield cost + arc.weight, arc.gives + ids
+        for k in range(1, len(text) + 1):
+            piece = transducer.number.get(text[:k])
+            if piece is not None:
+                step = transducer.weight(last, text[:k]) if last else 0.0
+                for cost, ids in every(text[k:], text[:k]):
+                    yield cost + step + transducer.piece_costs[piece], (int(transducer.piece_ids[piece]), *ids)
+
+    for text in ("▁there", "▁nation", "▁a日b", "abcabc", "▁▁the"):
+        paths = sorted(every(text))
+        assert paths[0][0] < inf and list(paths[0][1]) == transducer.shortest_path(text)
+        assert len(paths) > 1
 
 
 def test_wfst_frames(spark):
