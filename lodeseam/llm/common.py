@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,11 +18,15 @@ SLICE_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none, as in tests."""
+    """The shared folder of the cluster; a temporary one only where the session names none and runs in one process, as in
+    tests. On a cluster that names none this raises, as other machines would not see a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = named or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lodeseam-')}"
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = f"file://{tempfile.mkdtemp(prefix='lodeseam-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -2,8 +2,9 @@
 
 Every text's histograms of character classes and of common words are compared with references of the languages by
 Jensen-Shannon distance (base 2, so between 0 and 1). A reference is the sum of the histograms of all documents that
-name a language; languages of at least one document in a hundred have one, so there are a hundred at most. A text is
-held against its nearest reference, as its own label may be wrong. Texts of fewer than ``LEAST_CHARS`` characters or
+name a language; every language of ``REFERENCE_WORDS`` words or more has one (their number is that of the languages). A
+text is held against its nearest reference, as its own label may be wrong; a text of a language without a reference
+passes, whatever else the input holds. Texts of fewer than ``LEAST_CHARS`` characters or
 ``LEAST_WORDS`` words are too short for the respective histogram and pass it.
 
 Base rules: at least 20 words, and at most 30 % of the words in 8-word windows that the text holds twice or more. A
@@ -30,6 +31,7 @@ WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 WRITTEN = sorted({x for w in WORDS for x in (w, w.capitalize(), w.upper())})
 SPACE = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_WORDS = 200, 100
+REFERENCE_WORDS = 1000
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.31
 WINDOW = 8
 
@@ -101,19 +103,18 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(rows: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Shares of character classes and of common words of each language with one document in a hundred."""
+def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Shares of character classes and of common words of each language with REFERENCE_WORDS words."""
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, k in (("chars", 7), ("common", len(WORDS) + 1)) for i in range(k)]
-    by_lang = rows.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums).orderBy("lang")
-    total = rows.count()
-    out = []
-    for r in by_lang.where(F.col("docs") * 100 >= total).collect():
+    by_lang = rows.where("lang is not null").groupBy("lang").agg(F.sum("n_words").alias("whole"), *sums).where(F.col("whole") >= REFERENCE_WORDS)
+    out = {}
+    for r in by_lang.orderBy("lang").collect():
         pair = []
         for c, k in (("chars", 7), ("common", len(WORDS) + 1)):
             counts = [r[f"{c}{i}"] for i in range(k)]
             whole = sum(counts)
             pair.append([x / whole if whole else 0.0 for x in counts])
-        out.append((pair[0], pair[1]))
+        out[r["lang"]] = (pair[0], pair[1])
     return out
 
 
@@ -137,10 +138,11 @@ def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: flo
     refs = references(rows)
     summed = rows.withColumns({"length": F.col("word_chars") + F.col("chars")[5], "whole": F.greatest("n_words", F.lit(1))})
     shared = summed.withColumns({"char_share": F.transform("chars", lambda x: x / F.greatest(F.col("length"), F.lit(1))), "word_share": F.transform("common", lambda x: x / F.col("whole"))})
-    scored = shared.withColumns({"char_distance": nearest(F.col("char_share"), [c for c, _ in refs]), "word_distance": nearest(F.col("word_share"), [w for _, w in refs])})
+    scored = shared.withColumns({"char_distance": nearest(F.col("char_share"), [c for c, _ in refs.values()]), "word_distance": nearest(F.col("word_share"), [w for _, w in refs.values()])})
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     length = F.col("length")
-    fits = ((length < LEAST_CHARS) | (F.col("char_distance") <= most_char)) & ((F.col("n_words") < LEAST_WORDS) | (F.col("word_distance") <= most_word))
+    unknown = F.col("lang").isNotNull() & ~F.coalesce(F.col("lang").isin(list(refs)), F.lit(False))
+    fits = unknown | ((length < LEAST_CHARS) | (F.col("char_distance") <= most_char)) & ((F.col("n_words") < LEAST_WORDS) | (F.col("word_distance") <= most_word))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & fits).alias("kept"), "char_distance", "word_distance")
 
 
@@ -170,7 +172,7 @@ known as (select row, lower(word) as word, count(*) as k from w where word in ({
 other as (select m.row, n_words - coalesce(sum(k), 0) as k from m left join known using (row) group by m.row, n_words),
 word_bin as (select m.row, lang, bin, coalesce(case when bin = '' then other.k else known.k end, 0)::double as k, greatest(n_words, 1) as whole
   from m cross join (select unnest([{quoted(["", *WORDS])}]) as bin) join other using (row) left join known on known.row = m.row and known.word = bin),
-langs as (select lang from d where lang is not null group by lang having count(*) * 100 >= (select count(*) from d)),
+langs as (select lang from m where lang is not null group by lang having sum(n_words) >= {REFERENCE_WORDS}),
 char_ref as (select lang as ref, bin, sum(k) / nullif(sum(sum(k)) over (partition by lang), 0) as q from char_bin semi join langs using (lang) group by lang, bin),
 word_ref as (select lang as ref, bin, sum(k) / nullif(sum(sum(k)) over (partition by lang), 0) as q from word_bin semi join langs using (lang) group by lang, bin),
 char_part as (select row, ref, k / whole as p, coalesce(q, 0) as q from char_bin join char_ref using (bin)),
@@ -181,8 +183,9 @@ word_far as (select row, min(far) as far from (select row, ref, sqrt(greatest(0,
   + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2))) as far from word_part group by row, ref) group by row)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 or n_repeat_words * 100 > n_words * 30 as base_failed,
-  not (n_words < 20 or n_repeat_words * 100 > n_words * 30) and (chars < {LEAST_CHARS} or coalesce(char_far.far, 0) <= {MOST_CHAR_DISTANCE})
-    and (n_words < {LEAST_WORDS} or coalesce(word_far.far, 0) <= {MOST_WORD_DISTANCE}) as kept
+  not (n_words < 20 or n_repeat_words * 100 > n_words * 30) and ((lang is not null and lang not in (select lang from langs))
+    or ((chars < {LEAST_CHARS} or coalesce(char_far.far, 0) <= {MOST_CHAR_DISTANCE})
+    and (n_words < {LEAST_WORDS} or coalesce(word_far.far, 0) <= {MOST_WORD_DISTANCE}))) as kept
 from m left join char_far using (row) left join word_far using (row)
 """
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import pieces
+from lodeseam.llm.common import pieces, settle
 
 TRAIN_DOCS = 20_000
 TRAIN_WINDOWS = 4_000
@@ -70,6 +71,8 @@ PREV, PREV2, NEXT, FILE = N_OWN, N_OWN + N_SETS + 1, N_OWN + 2 * (N_SETS + 1), N
 N_FILE = 4
 N_FEATURES = FILE + N_FILE
 KEY_LIKE = frozenset(map(SETS.index, ("hex", "lower_digits", "upper_digits", "mixed")))
+#: Kinds of key-like tokens and the case that goes with them.
+CASES = tuple((SETS.index(x), case) for x, case in (("hex", 0), ("lower_digits", 0), ("upper_digits", 2), ("mixed", 1)))
 UNKNOWN_LENGTH = 16
 EDGE = N_SETS  # the kind beyond either end
 
@@ -124,7 +127,11 @@ def digits_in(text: str) -> int:
 def training_windows(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
     """(has a secret, features of each token, tags) around secrets and around other tokens with digits.
 
-    A window with a long token that looks like a key but matches no pattern teaches nothing, as it may be a secret."""
+    Every secret of a text is a centre; of the other tokens with digits one in ceil(n / 64) is, by a hash of its place. A
+    window with a long token that looks like a key but matches no pattern teaches nothing, as it may be a secret. A window
+    with a secret is given twice: as it is, and with the signs hidden that the patterns look for (names, equals signs and
+    quotes beside it, a fixed prefix) and with its letters in another case, so that length, turns, entropy and other
+    neighbours carry weight of their own."""
     spots = [m.span() for m in TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in spots]
     tags = [O] * len(tokens)
@@ -136,14 +143,29 @@ def training_windows(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
                     tags[k] = I if k and spots[k - 1][1] > c else B
     kinds = [kind_of(t) for t in tokens]
     file = file_feature(digits_in(text), len(text))
-    centres = [k for k, t in enumerate(tokens) if tags[k] == B or (tags[k] == O and any(c.isdigit() for c in t))][:64]
+    digits = [k for k, t in enumerate(tokens) if tags[k] == O and any(c.isdigit() for c in t)]
+    every = -(-len(digits) // 64)
+    centres = [k for k in range(len(tokens)) if tags[k] == B] + [k for k in digits if (k * 2654435761 >> 16) % every == 0]
     centres += list(range(0, len(tokens), max(40, len(tokens) // 8)))
+    hidden = {SETS.index(x): SETS.index(y) for x, y in (("name", "letters"), ("equals", "mark"), ("quote", "mark"))}
+    masked = [hidden.get(x, x) for x in kinds] if any(tags) else kinds
+    for j, tag in enumerate(tags):
+        if tag and kinds[j] in KEY_LIKE:
+            masked[j] = CASES[zlib.crc32(tokens[j].encode()) % len(CASES)][0]
     for k in centres:
         lo, hi = max(0, k - SIDE), min(len(tokens), k + SIDE + 1)
         if any(tags[j] == O and len(tokens[j]) >= UNKNOWN_LENGTH and kinds[j] in KEY_LIKE for j in range(lo, hi)):
             continue
-        features = [f for j in range(lo, hi) for f in token_features(kinds, j, own_features(tokens[j]), file)]
-        yield int(any(tags[lo:hi])), features, tags[lo:hi]
+        secret = int(any(tags[lo:hi]))
+        for seen in (kinds, masked)[: 1 + secret]:
+            features = []
+            for j in range(lo, hi):
+                own = own_features(tokens[j])
+                if seen is not kinds:
+                    case = dict(CASES)[seen[j]] if seen[j] in KEY_LIKE and tags[j] else own[3] - OWN_CASE
+                    own = (OWN_PAIR + seen[j] * N_LENGTHS + (own[0] - OWN_PAIR) % N_LENGTHS, own[1], own[2], OWN_CASE + case)
+                features += token_features(seen, j, own, file)
+            yield secret, features, tags[lo:hi]
 
 
 PER_TOKEN = 8
@@ -331,13 +353,14 @@ def train(docs: DataFrame, docs_bound: int = TRAIN_DOCS, windows_bound: int = TR
             yield pa.RecordBatch.from_pylist([{"doc_id": d, "n": n, "positive": p, "features": f, "tags": t} for d, n, p, f, t in rows], schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("positive", pa.int32()), ("features", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32()))])
-    made = chosen.mapInArrow(windows, "doc_id long, n int, positive int, features array<int>, tags array<int>")
-    # about 10 windows a document, so a few tasks hold them and each sends its best to the driver
-    made = made.repartition(4)
-    order = F.xxhash64("doc_id", "n")
-    rows = made.withColumn("side", order).orderBy(F.desc("positive"), "side").limit(windows_bound // 2).collect()
-    if len(rows) == windows_bound // 2:  # the other half without secrets
-        rows += made.where("positive = 0").withColumn("side", order).orderBy("side").limit(windows_bound // 2).collect()
+    made = settle(chosen.mapInArrow(windows, "doc_id long, n int, positive int, features array<int>, tags array<int>"))
+    # half with secrets and half without, each by a hash and about as many as the bound, which is never passed
+    rows, half = [], windows_bound // 2
+    counted = {r.positive: r["count"] for r in made.groupBy("positive").count().collect()}
+    for positive in (1, 0):
+        share = min(1.0, half / max(1, counted.get(positive, 0)))
+        picked = made.where((F.col("positive") == positive) & (F.pmod(F.xxhash64("doc_id", "n"), F.lit(scale)) < int(share * scale)))
+        rows += picked.select("features", "tags").limit(half).collect()
     return Field.train([(r.features, r.tags) for r in rows if r.tags])
 
 

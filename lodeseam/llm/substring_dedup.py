@@ -29,8 +29,9 @@ from lodeseam.llm.common import SLICE_BYTES, pieces, settle
 
 WINDOW = 13
 MINIMISER = 3
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition at least, and windows in a bucket at most, by the sample's count.
 BUCKETS_EACH = 8
+BUCKET_WINDOWS = 200_000
 HOT_SHARE = 1 / 2048
 HOT_SAMPLE = 0.02
 
@@ -219,13 +220,14 @@ def count_minimisers(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count, pa.int64())], ["key", "n"])
 
 
-def hot_minimisers(docs: DataFrame, width: int, share: float = HOT_SHARE, sample: float = HOT_SAMPLE) -> np.ndarray:
-    """Minimisers that hold more than ``share`` of the documents' minimisers in a sample; fewer than 1 / share."""
+def hot_minimisers(docs: DataFrame, width: int, share: float = HOT_SHARE, sample: float = HOT_SAMPLE) -> tuple[np.ndarray, int]:
+    """Minimisers that hold more than ``share`` of the documents' minimisers in a sample, fewer than 1 / share; and about how
+    many windows there are (a minimiser serves five on average)."""
     found = docs.sample(fraction=sample, seed=7).mapInArrow(lambda b: count_minimisers(b, width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = settle(found)
     total = found.agg(F.sum("n")).first()[0] or 0
     rows = found.where(F.col("n") > max(8, total * share)).select("key").collect()
-    return np.array([r.key for r in rows], np.int64).view(np.uint64)
+    return np.array([r.key for r in rows], np.int64).view(np.uint64), int(5 * total / sample)
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +251,12 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     real = texts.where("doc_id is not null and text is not null")
-    buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_minimisers(real, width)
+    hot, windows = hot_minimisers(real, width)
+    # by the size of the input: neither a bucket nor a partition grows with it
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // (BUCKETS_EACH * BUCKET_WINDOWS))
+    buckets = BUCKETS_EACH * parts
     shipped = real.mapInArrow(lambda b: ship(b, width, buckets, hot), _SHIPPED)
-    stretches = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: sort_buckets(b, width), "doc_id long, start int, stop int")
+    stretches = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: sort_buckets(b, width), "doc_id long, start int, stop int")
     # as many stretches as a document has words at most
     of_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
     return texts.join(of_doc, "doc_id", "left").select("doc_id", "text", "stretches").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from lodeseam.llm.common import pieces
 
 TRAIN_DOCS = 20_000
-#: Evidence: fewest documents, least lower bound of the toxic share, most features kept.
+#: Evidence: fewest documents, least lower bound of the toxic share.
 LEAST_DOCS = 4
 LEAST_SHARE = 0.6
-MOST_FEATURES = 20_000
 PREFIXES = range(3, 8)
 
 # The language model's characters: a word end, the letters, and one class for the rest.
@@ -251,13 +250,14 @@ def lower_bound(toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_bound: int = TRAIN_DOCS) -> Model:
-    """Learn from ``labels(doc_id, toxic)``. At most MOST_FEATURES features, and two counts, reach the driver."""
+    """Learn from ``labels(doc_id, toxic)``, at most ``docs_bound`` documents. The features that reach the driver stand in
+    LEAST_DOCS of these documents at least, which bounds them by the documents' length."""
     costs = language_model(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     scale = 1 << 30
-    chosen = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(min(1, docs_bound / max(1, given.count())) * scale))
+    chosen = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(min(1, docs_bound / max(1, given.count())) * scale)).limit(docs_bound)
     rows = texts.join(chosen, "doc_id").select("text", (F.col("toxic") + 2 * F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")).alias("kind"))
     names = ["clean_a", "toxic_a", "clean_b", "toxic_b"]
 
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_bound: int = TRAIN_DOCS) -> M
 
     counted = rows.mapInArrow(count, "feature string, clean_a long, toxic_a long, clean_b long, toxic_b long").groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
     toxic, clean = F.col("toxic_a") + F.col("toxic_b"), F.col("clean_a") + F.col("clean_b")
-    got = counted.where((toxic >= LEAST_DOCS) & (toxic > clean)).orderBy(toxic.desc(), "feature").limit(MOST_FEATURES).toPandas()
+    got = counted.where((toxic >= LEAST_DOCS) & (toxic > clean)).toPandas().sort_values("feature", ignore_index=True)
 
     def features(halves: str, least: int) -> dict[str, float]:
         toxic, clean = (sum(got[f"{k}_{h}"].to_numpy(float) for h in halves) for k in ("toxic", "clean"))
@@ -309,13 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, docs_bound: int = TRAIN_DOCS) -> M
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, restored)`` for every row; restored holds the tokens with evidence, most evident first."""
+    """``(doc_id, score, evidence)`` for every row; evidence holds all tokens that have some, most evident first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in pieces(batches, "text"):
             found = [reader.found(t or "") for t in batch.column(1).to_pylist()]
-            tokens = [sorted(f, key=lambda w: (-f[w], w))[:20] for f in found]
+            tokens = [sorted(f, key=lambda w: (-f[w], w)) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(f) for f in found], pa.float64()), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

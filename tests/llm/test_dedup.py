@@ -34,6 +34,14 @@ def test_exact(spark, bits):
     assert exact_dedup.drop_exact(docs(spark)).where("doc_id in (1, 2)").count() == 0
 
 
+def test_exact_drops_rows_and_not_ids(spark):
+    """Rows without an id, and others of a repeated id, stay if their own texts do."""
+    rows = [(None, "same", "en", "s"), (None, "alone", "en", "s"), (5, "Same", "en", "s"), (5, "other", "en", "s"), (9, "OTHER", "en", "s"), (3, "third", "en", "s")]
+    kept = exact_dedup.drop_exact(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone"), (3, "third"), (5, "Same"), (9, "OTHER")]
+
+
 def brute_fingerprint(text, k=3):
     words = WORD.findall(lower(text))
     if not words:
