@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, pieces, settle
+from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, pieces, settle, short_batches
 from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, runs
 
 LEAST_SIMILARITY = 0.8
@@ -207,7 +207,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             fresh = np.zeros(len(lines.n), bool)
             fresh[[k for node, k in zip(nodes.tolist(), once.tolist()) if node not in seen]] = True
             seen.update(nodes.tolist())
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             line, key = all_keys(lines, fresh)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
@@ -556,8 +556,9 @@ def edits(a: str, b: str, most: int) -> int:
 def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``(doc_id, line, group_id, kept)`` of the lines that take part; equal group_id, same group."""
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = settle(occurrences(real))
-    linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
+    with short_batches(docs.sparkSession):
+        found = settle(occurrences(real))
+        linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
     nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     named = nodes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_id"))
     firsts = named.groupBy("group_id").agg(F.min("first").alias("first"))
