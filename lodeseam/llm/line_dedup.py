@@ -420,9 +420,11 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
 
     def open_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for rows in every:
-            group, rows = np.array([find(k) for k in rows]), np.array(rows)
+            own, rows = rows, np.array(rows)
             step = max(1, PAIRS // len(rows))
             for i in range(0, len(rows), step):
+                # what was joined meanwhile needs no test
+                group = np.array([find(k) for k in own])
                 q, j = np.nonzero((group[i : i + step, None] != group) & (np.arange(i, min(i + step, len(rows)))[:, None] > np.arange(len(rows))))
                 q, j = rows[q + i], rows[j]
                 alike = (np.bitwise_count(prints[q] ^ prints[j]) <= far) & (np.minimum(size[q], size[j]) >= least * np.maximum(size[q], size[j]))
@@ -432,8 +434,14 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
         q, j = (np.concatenate(x) for x in zip(*parts))
         code = np.unique(np.maximum(q, j) * len(texts) + np.minimum(q, j))
         q, j = code // len(texts), code % len(texts)
-        for i in range(0, len(q), PAIRS):
-            x, y = q[i : i + PAIRS], j[i : i + PAIRS]
+        i, step = 0, PAIRS // 32
+        while i < len(q):
+            x, y = q[i : i + step], j[i : i + step]
+            i, step = i + step, min(PAIRS, 2 * step)
+            apart = np.array([find(a) != find(b) for a, b in zip(x.tolist(), y.tolist())])
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
             near = held.near(place[x], place[y], np.maximum(most[x], most[y]))
             for a, b in zip(x[near].tolist(), y[near].tolist()):
                 if find(a) != find(b) and test(a, b, True):
