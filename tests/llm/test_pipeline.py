@@ -4,13 +4,17 @@ import zlib
 import pytest
 
 import corpus_pipeline as pipeline
-from lodeseam.llm import line_dedup, packing, secret_scan, shingle_dedup
+from lodeseam.llm import packing, secret_scan, shingle_dedup
 
-from .test_dedup import brute_components, brute_fingerprint
+from .test_dedup import brute_components, brute_fingerprint, plain_normal
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def lines_of(text):
+    return [(k, n) for k, line in enumerate((text or "").split("\n")) if (n := plain_normal(line))]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     rng = random.Random(21)
@@ -60,9 +64,9 @@ def test_stages(spark, tables, tmp_path):
     before, after = held["line_dedup"]
     kept = {}
     for r in sorted(before, key=lambda r: r.doc_id):
-        for k, normal, _ in line_dedup.eligible(r.text or ""):
+        for k, normal in lines_of(r.text):
             kept.setdefault(normal, (r.doc_id, k))
-    gone = {r.doc_id: {k for k, normal, _ in line_dedup.eligible(r.text or "") if kept[normal] != (r.doc_id, k)} for r in before}
+    gone = {r.doc_id: {k for k, normal in lines_of(r.text) if kept[normal] != (r.doc_id, k)} for r in before}
     wanted = {r.doc_id: r.text and "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[r.doc_id]) for r in before}
     got = {r.doc_id: r.text for r in after}
     same = [i for i in wanted if got[i] == wanted[i]]
