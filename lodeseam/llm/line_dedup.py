@@ -287,34 +287,80 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ones, threes
 
 
-PIECE = 64
 #: Pairs that are looked at together, and characters that are counted together.
 PAIRS = 8192
 SLICE_CHARS = 1 << 19
+#: Pairs that go through the table of edits together, and bytes of their masks.
+STRIPE = 4096
+MASK_BYTES = 1 << 26
+#: Pairs whose exact test tells whether most pairs that follow are alike.
+FIRST = 32
+_WORD = 64
+_ONE, _ALL = np.uint64(1), ~np.uint64(0)
+
+
+def masks_of(patterns: np.ndarray, letters: int) -> np.ndarray:
+    """For each word of 64 places, pattern and letter (the last two as one index) the places where the letter stands."""
+    words = -(-patterns.shape[1] // _WORD)
+    out = np.zeros((words, len(patterns) * letters), np.uint64)
+    base = np.arange(len(patterns)) * letters
+    for i in range(patterns.shape[1]):
+        out[i // _WORD, base + patterns[:, i]] |= np.uint64(1 << i % _WORD)
+    # letter 0 stands for none
+    out[:, base] = 0
+    return out
 
 
-def piece_costs(pieces_: np.ndarray, length: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """For each row the fewest edits that turn a piece of up to 64 characters into any part of its window: a row of the
-    table of edits is a number of 64 bits, and all rows of the input take a step together. Codes are bytes, 0 is none;
-    characters that share a byte count as equal, which finds fewer edits and never more."""
-    rows = np.arange(len(pieces_))
-    masks = np.zeros((len(pieces_), 256), np.uint64)
-    for i in range(PIECE):
-        masks[rows, pieces_[:, i]] |= np.uint64(1 << i)
-    masks[:, 0] = 0
-    one, last = np.uint64(1), (length - 1).astype(np.uint64)
-    up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), np.uint64)
-    score = length.astype(np.int64)
-    best = score.copy()
-    for t in range(windows.shape[1]):
-        same = masks[rows, windows[:, t]]
-        across = (((same & up) + up) ^ up) | same
-        rise, fall = down | ~(across | up), up & across
-        score += ((rise >> last) & one).view(np.int64) - ((fall >> last) & one).view(np.int64)
-        np.minimum(best, score, out=best)
-        rise, fall, x = rise << one, fall << one, same | down
-        up, down = fall | ~(x | rise), rise & x
-    return best
+def few_edits(masks: np.ndarray, pattern: np.ndarray, n: np.ndarray, texts: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of a pattern and a text are at most ``most`` edits apart. A column of the table of edits is some words
+    of 64 bits that tell where it rises and falls; all pairs take a step together. Only words within ``most`` of the
+    diagonal are kept, and a pair ends when no cell of its column can lead to few enough edits. Texts come by length."""
+    out = np.zeros(len(m), bool)
+    at, reach = np.arange(len(m)), int(most.max())
+    up, down = np.full((len(masks), len(m)), _ALL), np.zeros((len(masks), len(m)), np.uint64)
+    foot = np.repeat(np.arange(_WORD, _WORD * len(masks) + 1, _WORD)[:, None], len(m), axis=1)
+    bottom = reach // _WORD
+    for t in range(texts.shape[1]):
+        low, high = max(0, (t - reach) // _WORD), min(len(masks) - 1, (t + reach) // _WORD)
+        if high > bottom:
+            foot[high] = foot[high - 1] + _WORD
+        bottom = max(bottom, high)
+        cell = pattern + texts[:, t]
+        rise_in, fall_in = np.ones(len(m), np.uint64), np.zeros(len(m), np.uint64)
+        for w in range(low, high + 1):
+            same, rises, falls = masks[w].take(cell), up[w], down[w]
+            x = same | falls
+            same |= fall_in
+            across = (((same & rises) + rises) ^ rises) | same
+            rise, fall = falls | ~(across | rises), rises & across
+            rise_out, fall_out = rise >> np.uint64(63), fall >> np.uint64(63)
+            foot[w] += rise_out.view(np.int64) - fall_out.view(np.int64)
+            rise, fall = rise << _ONE | rise_in, fall << _ONE | fall_in
+            up[w], down[w] = fall | ~(x | rise), rise & x
+            rise_in, fall_in = rise_out, fall_out
+        ended = int(np.searchsorted(m, t + 1, side="right"))
+        if ended:
+            word, bits = (n[:ended] - 1) // _WORD, ((n[:ended] - 1) % _WORD).astype(np.uint64)
+            k = np.arange(ended)
+            beyond = (_ALL << bits) << _ONE
+            score = foot[word, k] - np.bitwise_count(up[word, k] & beyond) + np.bitwise_count(down[word, k] & beyond)
+            out[at[:ended]] = score <= most[:ended]
+        open_ = np.arange(len(m)) >= ended
+        if t % 32 == 31:
+            span = slice(low, high + 1)
+            least = foot[span] - np.bitwise_count(up[span])
+            ahead = (m - t - 1) - (n - np.arange(low * _WORD + 1, high * _WORD + 2, _WORD)[:, None])
+            least += np.maximum(np.maximum(ahead, -ahead - (_WORD - 1)), 0)
+            # the cell above the first
+            above = t + 1 + np.abs(m - t - 1 - n) if low == 0 else most + 1
+            open_ &= np.minimum(least.min(axis=0), above) <= most
+        left = int(open_.sum())
+        if not left:
+            break
+        if left < len(m) and (ended or left < 0.9 * len(m)):
+            at, pattern, n, m, most, texts = at[open_], pattern[open_], n[open_], m[open_], most[open_], texts[open_]
+            up, down, foot = up[:, open_], down[:, open_], foot[:, open_]
+    return out
 
 
 class Texts:
@@ -343,44 +389,33 @@ class Texts:
 
     def near(self, q: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Which pairs may be at most ``most`` edits apart. An edit takes one character away and puts one in at most, and
-        three runs of three characters; and pieces of a text that don't overlap each cost what they cost at least."""
+        three runs of three characters; pairs that pass go through the table of edits, in which characters that share a
+        byte count as equal, which finds fewer edits and never more."""
         more = self.ones[q] - self.ones[j]
         at = np.flatnonzero(np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most)
         union = np.maximum(self.threes[q[at]], self.threes[j[at]]).sum(axis=1, dtype=np.int64)
         at = at[np.maximum(union - self.held[q[at]], union - self.held[j[at]]) <= 3 * most[at]]
         out = np.zeros(len(q), bool)
-        at = at[np.argsort(most[at], kind="stable")]
-        # long texts are left to the exact test
-        far = self.length[q[at]] > 4096
-        out[at[far]] = True
-        at = at[~far]
-        for part in np.array_split(at, max(1, -(-len(at) // 2048))):
-            cost = np.zeros(len(part), np.int64)
-            n, other = self.length[q[part]], self.length[j[part]]
-            # pieces from the start, from the end, and between
-            for number in range(4096 // PIECE):
-                if not len(part):
-                    break
-                reach, short = int((most[part] - cost).max()), np.minimum(PIECE, n)
-                if number == 0:
-                    start, window, width, free = 0 * n, 0 * n, PIECE + reach, n > 0
-                elif number == 1:
-                    start, window, width, free = np.maximum(n - PIECE, 0), other - PIECE - reach, PIECE + reach, n >= 2 * PIECE
-                else:
-                    start = (number - 1) * PIECE + 0 * n
-                    window, width, free = start - reach, PIECE + 2 * reach, n >= (number + 1) * PIECE
-                # pieces that fit well are left to the exact test
-                done = ~free if number == 0 else ~free | (cost < 20 * number)
-                free = ~done
-                if free.any():
-                    found = piece_costs(self.part(q[part[free]], start[free], PIECE), short[free], self.part(j[part[free]], window[free], width))
-                    cost[free] += found
-                out[part[done]] = True
-                keep = free & (cost <= most[part])
-                part, cost, n, other = part[keep], cost[keep], n[keep], other[keep]
-            out[part] = True
+        at = at[np.argsort(self.length[j[at]], kind="stable")]
+        start = 0
+        while start < len(at):
+            part = at[start : start + STRIPE]
+            words = -(-int(self.length[q[part]].max()) // _WORD)
+            part = part[: max(1, MASK_BYTES // (8 * 256 * words))]
+            start += len(part)
+            reach = int(most[part].max())
+            # in few pairs of long texts a step costs more than it does in the exact test
+            if len(part) < FIRST * min(words, 2 * reach // _WORD + 2):
+                out[part] = True
+                continue
+            own, which = np.unique(q[part], return_inverse=True)
+            out[part] = few_edits(*self.table(own, which), self.length[q[part]], self.part(j[part], 0 * part, int(self.length[j[part]].max())), self.length[j[part]], most[part])
         return out
 
+    def table(self, own: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Masks of some texts, and where those of each pair begin."""
+        return masks_of(self.part(own, 0 * own, int(self.length[own].max())), 256), which * 256
+
 
 def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts: list[str], least: float, far: int = FAR) -> Iterator[tuple[int, int]]:
     """Verified links that join all that verified pairs of each bucket join; rows of one bucket stand together.
@@ -434,19 +469,28 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
         q, j = (np.concatenate(x) for x in zip(*parts))
         code = np.unique(np.maximum(q, j) * len(texts) + np.minimum(q, j))
         q, j = code // len(texts), code % len(texts)
-        i, step = 0, PAIRS // 32
+        # the likeliest first, as they leave less to test
+        order = np.argsort(np.bitwise_count(prints[q] ^ prints[j]), kind="stable")
+        q, j = q[order], j[order]
+        i, step = 0, FIRST
         while i < len(q):
             x, y = q[i : i + step], j[i : i + step]
-            i, step = i + step, min(PAIRS, 2 * step)
+            i += step
             apart = np.array([find(a) != find(b) for a, b in zip(x.tolist(), y.tolist())])
             x, y = x[apart], y[apart]
-            if not len(x):
-                continue
-            near = held.near(place[x], place[y], np.maximum(most[x], most[y]))
-            for a, b in zip(x[near].tolist(), y[near].tolist()):
-                if find(a) != find(b) and test(a, b, True):
-                    root[find(a)] = find(b)
-                    yield a, b
+            if step > FIRST and len(x):
+                near = held.near(place[x], place[y], np.maximum(most[x], most[y]))
+                x, y = x[near], y[near]
+            tests = hits = 0
+            for a, b in zip(x.tolist(), y.tolist()):
+                if find(a) != find(b):
+                    tests += 1
+                    if test(a, b, True):
+                        hits += 1
+                        root[find(a)] = find(b)
+                        yield a, b
+            # where most are alike, they soon are one group and need no bounds
+            step = FIRST if step == FIRST and 4 * hits >= tests > 0 else min(PAIRS, 4 * step)
 
     parts, count = [], 0
     for pair in open_pairs():

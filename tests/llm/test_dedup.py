@@ -234,6 +234,29 @@ def plain_groups(lines, least=0.8):
     return root
 
 
+def test_few_edits_is_the_edit_distance():
+    rnd = random.Random(3)
+    for length in (1, 3, 63, 64, 65, 130, 300):
+        base = "".join(rnd.choice("abcde ") for _ in range(length))
+        texts = [base]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rnd.randrange(max(2, length // 3))):
+                k = rnd.randrange(len(own))
+                own[k : k + rnd.randrange(2)] = rnd.choice("abcde ") * (rnd.random() < 0.7 or len(own) == 1)
+            texts.append("".join(own))
+        held = line_dedup.Texts(texts)
+        q, j = np.nonzero(np.triu(np.ones((len(texts), len(texts))), 1))
+        order = np.argsort(held.length[j], kind="stable")
+        q, j = q[order], j[order]
+        own, which = np.unique(q, return_inverse=True)
+        real = np.array([line_dedup.edits(texts[a], texts[b], 10**6) for a, b in zip(q, j)])
+        for shift in (-1, 0, 3):
+            most = np.maximum(real + shift, np.abs(held.length[q] - held.length[j]))
+            got = line_dedup.few_edits(*held.table(own, which), held.length[q], held.part(j, 0 * j, int(held.length[j].max())), held.length[j], most)
+            assert (got == (real <= most)).all()
+
+
 def test_alike_links_join_what_pairs_join():
     rng = random.Random(12)
     texts = ["".join(rng.choice("abcd ") for _ in range(40)) for _ in range(6)]
