@@ -61,3 +61,25 @@ def add_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
     good = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
     checked = new.withColumn("role", F.when(good, F.col("role")).otherwise(F.raise_error(F.concat(F.lit("role "), F.coalesce("role", F.lit("null")))).cast("string")))
     return messages.unionByName(checked)
+
+
+def create(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` and the rows of ``new``; a key that is null, taken or given twice stops the query.
+
+    New rows are counted by key together with the old ones' keys, so one shuffle on the key decides."""
+    marks = old.select(key, F.lit(1).alias("n")).unionByName(new.select(key, F.lit(1).alias("n")))
+    clash = marks.groupBy(key).agg(F.sum("n").alias("__n"))
+    seen = clash.select(F.col(key).alias("__key"), "__n")
+    guarded = new.join(seen, F.col(key).eqNullSafe(F.col("__key")), "left")
+    free = F.col(key).isNotNull() & (F.col("__n") == 1)
+    message = F.concat(F.lit("key exists already: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = guarded.withColumn(key, F.when(free, F.col(key)).otherwise(F.raise_error(message).cast(new.schema[key].dataType)))
+    return old.unionByName(checked.select(*new.columns))
+
+
+def ready(asked: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
+    """``asked`` with a column ``allowed``: a job must be ready; keys without a job are allowed."""
+    states = jobs.select(F.col(key).alias("__key"), F.col("status").alias("__status"))
+    met = asked.join(states, F.col(key) == F.col("__key"), "left")
+    allowed = F.col("__key").isNull() | F.coalesce(F.col("__status") == "ready", F.lit(False))
+    return met.withColumn("allowed", allowed).drop("__key", "__status")

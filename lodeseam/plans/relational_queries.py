@@ -121,6 +121,20 @@ QUERIES = {
         f"""with {EVENTS}, k as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as n from ev), c as (select status in ('queued', 'scanning', 'embedding') as recovered, status from k where n = 1)
         select case when recovered then 'failed' else status end as status, recovered, count(*) as jobs from c group by all""",
     ),
+    "job_create": (
+        lambda s, d: St.create(
+            St.current(status_events(s, d), "job_id", ["ts", "event_id"]).select("job_id", "status"),
+            status_events(s, d).groupBy((-F.col("job_id") - 1).alias("job_id")).agg(F.lit("queued").alias("status")),
+            "job_id",
+        ),
+        f"""with {EVENTS}, k as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as n from ev)
+        select job_id, status from k where n = 1 union all select distinct -job_id - 1 as job_id, 'queued' as status from ev""",
+    ),
+    "ready_gate": (
+        lambda s, d: St.ready(t(s, d, "documents").select("doc_id", F.col("doc_id").alias("job_id")), St.current(status_events(s, d), "job_id", ["ts", "event_id"]).select("job_id", "status"), "job_id").select("doc_id", "allowed"),
+        f"""with {EVENTS}, k as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as n from ev)
+        select doc_id, coalesce(status = 'ready', true) as allowed from documents left join (select job_id, status from k where n = 1) j on doc_id = j.job_id""",
+    ),
     "pipeline_steps": (
         lambda s, d: t(s, d, "events").select("event_id", (F.col("event_id") % 101).cast("int").alias("progress")).withColumn("failed_step", M.failed_step(F.col("progress"))),
         "select event_id, (event_id % 101)::int as progress, case when event_id % 101 <= 12 then 0 when event_id % 101 <= 28 then 1 when event_id % 101 <= 48 then 2 when event_id % 101 <= 68 then 3 else 4 end as failed_step from events",
