@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import divergence, exact_dedup, line_dedup, packing, secret_scan, sentencepiece_wfst, simhash_dedup, substring_dedup, toxicity, warc
+from lodeseam.llm import alignment, common, divergence, exact_dedup, line_dedup, packing, secret_scan, sentencepiece_wfst, simhash_dedup, substring_dedup, token_cache, toxicity, warc, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new folder each time, so that the figures are those of a cold one."""
+    counted = token_cache.count_tokens(documents(spark, sf_dir), common.scratch(spark, "token-counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(documents(spark, sf_dir))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
