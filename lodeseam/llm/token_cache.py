@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lodeseam.llm.common import pieces, settle, short_batches
 
-#: Rows broadcast to choose the texts to encode: some 100 MB.
-MOST_SENT = 4_000_000
+#: Rows broadcast to choose the texts to encode: some 150 MB.
+MOST_SENT = 2_000_000
 LIMIT = 1024
 SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
