@@ -1,23 +1,16 @@
-"""Files to chunks by windows over their lines.
-
-A file's lines are rows. What a line begins (a heading, a declaration, a property, a statement) is a pattern of its
-language; where a chunk ends is the next beginning, by a window over the file's lines. Nothing here parses a language:
-a declaration's reach is what its indentation says, as README.md states.
-"""
+"""Files to chunks: by language to what cuts it, and what is done with chunks of any kind."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions.paths import CODE_LANGUAGES, COHESIVE_TYPES, literal_map
-
-KEY = ("repository_id", "file_path")
-COLUMNS = ("repository_id", "file_path", "language", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line", "source_ranges", "content")
-# Markdown's patterns.
-ATX = r"^[ \t]{0,3}(#{1,6})(?:[ \t]+(.*?)|[ \t]*)$"
-SETEXT = r"^[ \t]{0,3}(=+|-+)[ \t]*$"
-FENCE = r"^[ \t]{0,3}(`{3,}|~{3,})"
+from lodeseam.operators import structured
+from lodeseam.operators.markdown import markdown
+from lodeseam.operators.structured import COLUMNS, KEY
 
 #: Beginnings of declarations: language family, chunk type, pattern with the name in its first group.
 DECLARATIONS = (
@@ -46,23 +39,6 @@ DECLARATIONS = (
     (("Java", "C#"), "method", r"^\s+(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)*[\w<>\[\],.?]+\s+(?!(?<=return )|(?<=new ))(\w+)\s*\([^;]*$"),
     (("C", "C Header", "C++", "C++ Header"), "function", r"^(?!\s*(?:return|else|typedef|struct|enum|class)\b)[\w*&:<>]+(?:\s+[\w*&:<>]+)*[\s*&]+(\w+)\s*\([^;]*$"),
 )
-STATEMENTS = (
-    ("sql_create_table", r"(?is)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\b"),
-    ("sql_create_view", r"(?is)^\s*create\s+(?:or\s+replace\s+)?view\b"),
-    ("sql_create_function", r"(?is)^\s*create\s+(?:or\s+replace\s+)?function\b"),
-    ("sql_create_procedure", r"(?is)^\s*create\s+(?:or\s+replace\s+)?procedure\b"),
-    ("sql_alter_table", r"(?is)^\s*alter\s+table\b"),
-    ("sql_drop_table", r"(?is)^\s*drop\s+table\b"),
-    ("sql_insert", r"(?is)^\s*insert\b"),
-    ("sql_update", r"(?is)^\s*update\b"),
-    ("sql_delete", r"(?is)^\s*delete\b"),
-    ("sql_select", r"(?is)^\s*(?:select|with)\b"),
-)
-SQL_NAME = (
-    r"(?is)^\s*(?:create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|function|procedure)|alter\s+table|drop\s+table|insert\s+into|update|delete\s+from)"
-    r"\s+(?:if\s+(?:not\s+)?exists\s+)?([^\s(;]+)"
-)
-
 
 def lines(files: DataFrame) -> DataFrame:
     """A row for each line: ``line_no`` from 1 and ``line``."""
@@ -90,108 +66,6 @@ def whole_documents(files: DataFrame, chunk_type: str) -> DataFrame:
     return _whole(files, F.lit(chunk_type))
 
 
-def sections(marked: DataFrame) -> DataFrame:
-    """From lines with ``chunk_type`` and ``symbol_name`` on those that begin a chunk to chunks that reach to the line
-    before the next beginning of their file. Lines before the first beginning are left out."""
-    by_file = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("chunk", F.sum(F.col("chunk_type").isNotNull().cast("int")).over(by_file)).where("chunk > 0")
-    joined = numbered.groupBy(*KEY, "language", "chunk").agg(
-        F.max("chunk_type").alias("chunk_type"),
-        F.max("symbol_name").alias("symbol_name"),
-        F.min("line_no").alias("start"),
-        F.max(F.when(F.col("line").rlike("(?U)\\S"), F.col("line_no"))).alias("end"),
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"),
-    )
-    body = F.array_join(F.transform(F.filter("rows", lambda r: r["line_no"] <= F.col("end")), lambda r: r["line"]), "\n")
-    real = joined.where("end is not null")
-    return real.select(*KEY, "language", "chunk_type", "symbol_name", F.col("start").alias("symbol_start_line"), F.col("end").alias("symbol_end_line"), _range(F.col("start"), F.col("end")).alias("source_ranges"), body.alias("content"))
-
-
-def fenced(rows: DataFrame) -> DataFrame:
-    """Adds ``hidden``: the line stands in a fence or in the front matter. A file's fences are a fold over its lines that
-    look like one: which sign opened it, and how many."""
-    marks = rows.withColumn("mark", F.regexp_extract("line", FENCE, 1)).withColumn("closes", F.col("line").rlike(r"^[ \t]{0,3}(`{3,}|~{3,})[ \t]*$"))
-    found = marks.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("mark") != "", F.struct("line_no", "mark", "closes")))).alias("marks"),
-        F.min(F.when((F.col("line_no") > 1) & F.col("line").rlike(r"^(---|\.\.\.)[ \t]*$"), F.col("line_no"))).alias("matter_end"),
-        F.max(F.when((F.col("line_no") == 1) & F.col("line").rlike(r"^---[ \t]*$"), 1)).alias("matter"),
-    )
-    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(0).alias("since"), F.lit("").alias("open"))
-
-    def step(state: Column, m: Column) -> Column:
-        shut = (state["open"] != "") & m["closes"] & m["mark"].startswith(state["open"])
-        spans = F.when(shut, F.concat(state["spans"], F.array(F.struct(state["since"].alias("a"), m["line_no"].alias("b"))))).otherwise(state["spans"])
-        opens = state["open"] == ""
-        since = F.when(opens, m["line_no"]).otherwise(state["since"])
-        return F.struct(spans.alias("spans"), since.alias("since"), F.when(opens, m["mark"]).when(shut, F.lit("")).otherwise(state["open"]).alias("open"))
-
-    # spans that are still open reach to the end
-    last = F.aggregate("marks", start, step, lambda s: F.when(s["open"] == "", s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["since"].alias("a"), F.lit(1 << 30).alias("b"))))))
-    spans = found.select(*KEY, last.alias("spans"), F.when(F.col("matter") == 1, F.col("matter_end")).alias("matter_end"))
-    hidden = F.exists("spans", lambda s: (F.col("line_no") >= s["a"]) & (F.col("line_no") <= s["b"])) | (F.col("line_no") <= F.coalesce("matter_end", F.lit(0)))
-    return rows.join(spans, list(KEY)).withColumn("hidden", hidden).drop("spans", "matter_end")
-
-
-def headings(files: DataFrame) -> DataFrame:
-    """ATX and setext headings outside fences and front matter: ``(line_no, end_line, level, heading)``."""
-    rows = fenced(lines(files))
-    by_file = Window.partitionBy(*KEY).orderBy("line_no")
-    seen = rows.withColumn("below", F.lead("line").over(by_file)).withColumn("hidden_below", F.lead("hidden").over(by_file)).where("not hidden")
-    hashes = F.regexp_extract("line", ATX, 1)
-    under = F.when(~F.coalesce("hidden_below", F.lit(True)), F.regexp_extract("below", SETEXT, 1)).otherwise(F.lit(""))
-    atx = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", ATX, 2), r"[ \t]+#+[ \t]*$", ""), r"^[ \t]+|[ \t]+$", "")
-    setext = (hashes == "") & (under != "") & F.col("line").rlike("(?U)\\S") & ~F.col("line").rlike(SETEXT)
-    made = seen.select(
-        *KEY,
-        "language",
-        "line_no",
-        (F.col("line_no") + setext.cast("int")).alias("end_line"),
-        F.when(hashes != "", F.length(hashes)).when(setext, F.when(under.startswith("="), 1).otherwise(2)).alias("level"),
-        F.when(hashes != "", atx).otherwise(F.trim("line")).alias("heading"),
-    )
-    return made.where("level is not null")
-
-
-def markdown(files: DataFrame) -> DataFrame:
-    """A chunk for each heading, named by its path, with its ancestors' lines before its own; what stands before the
-    first heading, or a file without one, is a document."""
-    found = headings(files)
-    by_file = Window.partitionBy(*KEY).orderBy("line_no")
-    past = F.collect_list(F.struct("level", "heading", "line_no", "end_line")).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
-    # of the headings before, those above all that follow them: kept while their level rises to this one
-    chain = F.aggregate(
-        F.col("past"),
-        F.filter("past", lambda x: F.lit(False)),
-        lambda stack, x: F.concat(F.filter(stack, lambda s: s["level"] < x["level"]), F.array(x)),
-        lambda stack: F.filter(stack, lambda s: s["level"] < F.col("level")),
-    )
-    named = found.withColumn("past", past).withColumn("above", chain).withColumn("next", F.lead("line_no").over(by_file)).drop("past")
-    title = F.array_join(F.concat(F.transform("above", lambda x: x["heading"]), F.array("heading")), " > ")
-    starts = named.select(*KEY, "line_no", title.alias("symbol_name"), F.lit("markdown_section").alias("chunk_type"), "above")
-    first = found.groupBy(*KEY).agg(F.min("line_no").alias("first"))
-    marked = lines(files).join(starts, [*KEY, "line_no"], "left").drop("above")
-    marked = marked.join(first, list(KEY), "left")
-    before = (F.col("line_no") == 1) & (F.col("chunk_type").isNull())
-    kind = F.when(before, F.when(F.col("first").isNull(), "markdown_document").otherwise("markdown_preamble")).otherwise(F.col("chunk_type"))
-    made = sections(marked.withColumn("chunk_type", kind).drop("first"))
-    texts = lines(files).select(*KEY, F.col("line_no").alias("at"), "line")
-    ancestors = starts.select(*KEY, F.col("line_no").alias("symbol_start_line"), F.posexplode("above").alias("n", "up"))
-    ancestors = ancestors.select(*KEY, "symbol_start_line", "n", F.explode(F.sequence("up.line_no", "up.end_line")).alias("at")).join(texts, [*KEY, "at"])
-    context = ancestors.groupBy(*KEY, "symbol_start_line").agg(F.array_sort(F.collect_list(F.struct("n", "at", "line"))).alias("context"))
-    spans = F.transform(F.array_distinct(F.transform("context", lambda c: c["n"])), lambda n: F.struct(
-        F.array_min(F.transform(F.filter("context", lambda c: c["n"] == n), lambda c: c["at"])).alias("start_line"),
-        F.array_max(F.transform(F.filter("context", lambda c: c["n"] == n), lambda c: c["at"])).alias("end_line"),
-    ))
-    heads = F.array_join(F.transform(F.array_distinct(F.transform("context", lambda c: c["n"])), lambda n: F.array_join(F.transform(F.filter("context", lambda c: c["n"] == n), lambda c: c["line"]), "\n")), "\n\n")
-    full = made.join(context, [*KEY, "symbol_start_line"], "left")
-    return full.withColumns(
-        {
-            "content": F.when(F.col("context").isNotNull(), F.concat_ws("\n\n", heads, "content")).otherwise(F.col("content")),
-            "source_ranges": F.when(F.col("context").isNotNull(), F.concat(spans, "source_ranges")).otherwise(F.col("source_ranges")),
-        }
-    ).select(*COLUMNS)
-
-
 def declarations(files: DataFrame) -> DataFrame:
     """Code chunks: a declaration's line and those below it until the next line with text that is indented as little and
     is no closing bracket. Nested declarations are chunks of their own too."""
@@ -215,78 +89,30 @@ def declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def properties(files: DataFrame) -> DataFrame:
-    """YAML, TOML and JSON by their top-level lines: a key that is not indented, a table's head, a key of the root object."""
-    rows = lines(files)
-    yaml = F.col("language").isin("YAML", "Docker Compose") & F.col("line").rlike(r"^[^\s#\-][^:]*:(\s|$)")
-    toml = F.col("language").isin("TOML", "Python Pipfile", "Python Project Configuration")
-    table, entry = F.col("line").rlike(r"^\s*\["), F.col("line").rlike(r"^[A-Za-z0-9_.\-\"']+\s*=")
-    by_file = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_table = F.max((toml & table).cast("int")).over(by_file) == 1
-    json = F.col("language").isin("JSON", "Node Package Configuration", "TypeScript Configuration") & F.col("line").rlike(r'^( {2}|\t| {4})"(?:[^"\\]|\\.)*"\s*:')
-    depth = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    least = F.min(F.when(json, depth)).over(Window.partitionBy(*KEY))
-    seen = rows.withColumns({"in_table": in_table, "depth": depth, "least": least})
-    kind = (
-        F.when(yaml, "yaml_property").when(toml & F.col("line").rlike(r"^\s*\[\["), "toml_table_array").when(toml & table, "toml_table")
-        .when(toml & entry & ~F.col("in_table"), "toml_property").when(json & (F.col("depth") == F.col("least")), "json_property")
-    )
-    name = (
-        F.when(yaml, F.regexp_replace(F.regexp_extract("line", r"^([^:]*):", 1), "^[\"']|[\"']$", "")).when(toml & table, F.regexp_extract("line", r"^\s*\[+\s*([^\]]*?)\s*\]+", 1))
-        .when(toml, F.regexp_extract("line", r"^([A-Za-z0-9_.\-\"']+)\s*=", 1)).otherwise(F.regexp_extract("line", r'^\s*"((?:[^"\\]|\\.)*)"', 1))
-    )
-    marked = seen.withColumn("chunk_type", kind).withColumn("symbol_name", F.when(kind.isNotNull(), name)).where(~(F.col("line").rlike(r"^[}\]]\s*$") & F.col("language").contains("JSON")))
-    return sections(marked.drop("in_table", "depth", "least"))
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """SQL statements: what ends with a semicolon at a line's end, outside of $$ bodies."""
-    rows = lines(files.where("language = 'SQL'"))
-    by_file = Window.partitionBy(*KEY).orderBy("line_no")
-    quotes = F.size(F.split("line", r"\$\$")) - 1
-    open_ = F.sum(quotes).over(by_file.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
-    ends = F.col("line").rlike(r";\s*(--.*)?$") & ~F.col("open")
-    flagged = rows.withColumn("open", open_).withColumn("ends", ends)
-    number = F.coalesce(F.sum(F.col("ends").cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = flagged.withColumn("chunk", number).where(F.col("line").rlike("(?U)\\S") | F.col("open"))
-    joined = parts.groupBy(*KEY, "language", "chunk").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("content"))
-    bare = F.regexp_replace("content", r"^(\s*--[^\n]*\n)+", "")
-    kind = F.coalesce(*[F.when(bare.rlike(p), F.lit(k)) for k, p in STATEMENTS], F.lit("sql_statement"))
-    name = F.nullif(F.regexp_extract(bare, SQL_NAME, 1), F.lit(""))
-    return joined.select(*KEY, "language", kind.alias("chunk_type"), name.alias("symbol_name"), F.col("start").alias("symbol_start_line"), F.col("end").alias("symbol_end_line"), _range(F.col("start"), F.col("end")).alias("source_ranges"), "content")
-
-
-def html_elements(files: DataFrame) -> DataFrame:
-    """The start tags of a page with their CSS-like description."""
-    tags = files.select(*KEY, "language", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?i)<(?:header|main|section|article|nav|footer|aside|script|style|div|form|table)\b[^>]*>"), 0)).alias("at", "tag"))
-    return tags.select(*KEY, "language", (F.col("at") + 1).cast("long").alias("place"), descriptor(F.col("tag")).alias("symbol_name"), "tag")
-
-
-def descriptor(tag: Column) -> Column:
-    """tag#id.class1.class2 of a start tag."""
-    name = F.lower(F.regexp_extract(tag, r"^<\s*([A-Za-z][A-Za-z0-9-]*)", 1))
-    of = lambda attr: F.regexp_extract(tag, rf"""(?i)\s{attr}\s*=\s*["']([^"']*)["']""", 1)
-    id_, classes = F.trim(of("id")), F.filter(F.split(of("class"), r"\s+"), lambda c: c != "")
-    return F.concat(name, F.when(id_ != "", F.concat(F.lit("#"), id_)).otherwise(F.lit("")), F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), ""))
-
-
 def dedupe(chunks: DataFrame, place: str) -> DataFrame:
     """The first, by ``place``, of chunks with one file, type, name and lines."""
     same = Window.partitionBy("file_path", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line").orderBy(place)
     return chunks.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
 
 
+#: Languages of each structured format.
+FORMATS = (
+    (structured.json, ("JSON", "Node Package Configuration", "TypeScript Configuration")),
+    (structured.yaml, ("YAML", "Docker Compose")),
+    (structured.toml, ("TOML", "Python Pipfile", "Python Project Configuration")),
+    (structured.xml, ("XML", "Maven Configuration")),
+    (structured.html, ("HTML", "JSP")),
+    (structured.stylesheet, ("CSS", "SCSS")),
+    (structured.sql, ("SQL",)),
+    (markdown, ("Markdown",)),
+)
+
+
 def route(files: DataFrame) -> DataFrame:
-    """Chunks of all files by language. A structured file that gives none stays whole; code that gives none gives none."""
-    structured = files.where(~F.col("language").isin(*CODE_LANGUAGES))
-    parts = [cohesive(files), markdown(files.where("language = 'Markdown'")), declarations(files), properties(files), statements(files)]
-    made = [p.select(*COLUMNS) for p in parts]
-    out = made[0]
-    for p in made[1:]:
-        out = out.unionByName(p)
-    rest = structured.join(out.select(*KEY).distinct(), list(KEY), "left_anti")
-    kind = F.concat(F.lower(F.regexp_replace("language", "[^A-Za-z]+", "_")), F.lit("_document"))
-    return out.unionByName(_whole(rest.where(F.col("language").isNotNull()), kind).select(*COLUMNS))
+    """Chunks of all files by language. A structured file that gives none stays whole; code that gives none, and files of
+    other languages, give none. ``windows.split`` bounds their size afterwards."""
+    parts = [cohesive(files), declarations(files)] + [make(files.where(F.col("language").isin(*languages))) for make, languages in FORMATS]
+    return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 
 def to_documents(chunks: DataFrame) -> DataFrame:

@@ -1,35 +1,143 @@
-"""Chunking over documents, pages and a few literal files."""
+"""Chunking over pages, and over files of every language made of the documents."""
 
 from __future__ import annotations
 
 import os
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.functions import paths as P
 from lodeseam.operators import chunks as C
+from lodeseam.operators import structured as S
 from lodeseam.operators import windows as W
+from lodeseam.operators.markdown import headings, markdown
 from lodeseam.plans.base import CHUNKS, chunks, table
 from lodeseam.sources import files as Files
 
-#: One small file of each kind that the tables have no text of.
-LITERALS = (
-    ("app/service.py", "import os\n\n\nclass Store:\n    size = 3\n\n    def __init__(self, path):\n        self.path = path\n\n    def load(self):\n        return open(self.path)\n\n\ndef main():\n    return Store('x').load()\n"),
-    ("app/Queue.java", "package app;\n\npublic class Queue {\n    private int rear;\n\n    public boolean add(Order order) {\n        orders[rear] = order;\n        return true;\n    }\n}\n"),
-    ("web/list.ts", "export interface Row {\n  id: number;\n}\n\nexport const total = (rows: Row[]) => {\n  return rows.length;\n};\n\nfunction first(rows: Row[]) {\n  return rows[0];\n}\n"),
-    ("srv/main.go", "package main\n\ntype Point struct {\n\tX int\n}\n\nfunc (p Point) Len() int {\n\treturn p.X\n}\n\nfunc main() {\n}\n"),
-    ("db/schema.sql", "-- tables\nCREATE TABLE users (id INT);\n\nCREATE VIEW active AS\nSELECT * FROM users;\nINSERT INTO users VALUES (1);\nSELECT 1;\nCREATE FUNCTION f() RETURNS INT AS $$\n  SELECT 1;\n$$ LANGUAGE SQL;\n"),
-    ("conf/app.yaml", "name: demo\nservices:\n  web:\n    image: x\n  db:\n    image: y\n"),
-    ("conf/app.toml", "title = 'x'\n\n[project]\nname = 'y'\n\n[[servers]]\nhost = 'z'\n"),
-    ("conf/app.json", '{\n  "name": "demo",\n  "scripts": {\n    "build": "x"\n  },\n  "n": 1\n}\n'),
-    ("docs/guide.md", "---\ntitle: x\n---\nintro\n\n# Guide\ntext\n\n## Setup\n\n```\n# no heading\n```\n\n### Windows\nmore\n\n## Usage ##\nend\n\nNotes\n-----\nlast\n"),
-    ("Dockerfile", "FROM x\nRUN y\n"),
-)
+# Source files made of the documents: for each language what its text is in Spark and in the SQL.
+_TEXT = "coalesce(text, '')"
+
+
+def _swap(text: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, {a}, {b})"
+    return text
+
+
+BACKSLASH, QUOTE, APOSTROPHE, LINE, CR, TAB = ("chr(92)", "chr(34)", "chr(39)", "chr(10)", "chr(13)", "chr(9)")
+ESCAPED = _swap(_TEXT, (BACKSLASH, f"{BACKSLASH} || {BACKSLASH}"), (QUOTE, f"{BACKSLASH} || {QUOTE}"), (LINE, f"{BACKSLASH} || 'n'"), (CR, f"{BACKSLASH} || 'r'"), (TAB, f"{BACKSLASH} || 't'"))
+PLAIN = _swap(_TEXT, (BACKSLASH, "''"), (QUOTE, "''"), (APOSTROPHE, "''"), ("'$'", "''"), ("'*'", "''"), (CR, LINE))
+MARKED = _swap(_TEXT, ("'&'", "'&amp;'"), ("'<'", "'&lt;'"), ("'>'", "'&gt;'"))
+DOUBLED = _swap(_TEXT, (APOSTROPHE, f"{APOSTROPHE} || {APOSTROPHE}"))
+ID = "cast(doc_id as string)"
+
+#: Parts of a file, joined in order: a part with a name is a chunk of that kind, one without lies between chunks.
+PARTS: dict[str, list[tuple[str | None, str | None, str]]] = {
+    "JSON": [
+        (None, None, "'{' || chr(10) || '  '"),
+        ("json_property", "'id'", f"{QUOTE} || 'id' || {QUOTE} || ': ' || {ID}"),
+        (None, None, "', '"),
+        ("json_property", "'text'", f"{QUOTE} || 'te' || {BACKSLASH} || 'u0078t' || {QUOTE} || ': ' || {QUOTE} || {ESCAPED} || {QUOTE}"),
+        (None, None, "',' || chr(10)"),
+        ("json_property", "'tags'", f"{QUOTE} || 'tags' || {QUOTE} || ':' || chr(10) || '[{{}}, [' || {QUOTE} || coalesce(lang, '') || '}},' || {QUOTE} || ']]'".replace("{{", "{").replace("}}", "}")),
+        (None, None, "chr(10) || '}'"),
+    ],
+    "Node Package Configuration": [
+        (None, None, "'['"),
+        ("json_array_item", "'$[0]'", f"{QUOTE} || {ESCAPED} || {QUOTE}"),
+        (None, None, "',' || chr(10)"),
+        ("json_array_item", "'$[1]'", f"'{{' || {QUOTE} || 'a' || {QUOTE} || ': [' || {ID} || ', 2]}}'"),
+        (None, None, "']'"),
+    ],
+    "SQL": [
+        (None, None, f"'-- a; ' || {ID} || chr(10)"),
+        ("sql_insert", "coalesce(source, 'x')", f"'INSERT INTO ' || coalesce(source, 'x') || ' VALUES (' || {APOSTROPHE} || {DOUBLED} || {APOSTROPHE} || ')'"),
+        (None, None, "'; /* ; */ '"),
+        ("sql_select", None, f"'SELECT ' || {ID}"),
+        (None, None, "' -- ;' || chr(10) || ';' || chr(10)"),
+        ("sql_create_function", f"'f' || {ID}", f"'CREATE FUNCTION f' || {ID} || '() RETURNS TEXT AS $b$ ; ' || {PLAIN} || '$b$ LANGUAGE SQL'"),
+    ],
+    "TOML": [
+        (None, None, "'# [a]' || chr(10)"),
+        ("toml_property", "'id'", f"'id = ' || {ID}"),
+        (None, None, "' # b' || chr(10)"),
+        ("toml_property", "chr(34) || 'q k' || chr(34)", f"{QUOTE} || 'q k' || {QUOTE} || ' = ' || repeat({QUOTE}, 3) || chr(10) || '[no]' || {PLAIN} || chr(10) || repeat({QUOTE}, 3)"),
+        (None, None, "chr(10) || chr(10)"),
+        ("toml_table", "'meta.' || coalesce(lang, 'x')", f"'[meta.' || coalesce(lang, 'x') || ']' || chr(10) || 's = [' || {APOSTROPHE} || coalesce(source, '') || {APOSTROPHE} || ',' || chr(10) || ']'"),
+        (None, None, "chr(10)"),
+        ("toml_table_array", "'rows'", f"'[[rows]]' || chr(10) || 'n = ' || {ID}"),
+    ],
+    "YAML": [
+        (None, None, "'# a' || chr(10)"),
+        ("yaml_property", "'id'", f"'id: ' || {ID}"),
+        (None, None, "chr(10)"),
+        ("yaml_property", "'q k'", f"{QUOTE} || 'q k' || {QUOTE} || ': |' || chr(10) || '  ' || {_swap(PLAIN, (LINE, LINE + " || '  '"))} || chr(10) || '  end'"),
+        (None, None, "chr(10) || '# b' || chr(10)"),
+        ("yaml_property", "'meta'", "'meta:' || chr(10) || '  lang: ' || coalesce(lang, 'x')"),
+    ],
+    "CSS": [
+        (None, None, f"'/* {{ ; ' || {PLAIN} || ' */' || chr(10)"),
+        ("css_rule", "'.' || coalesce(lang, 'x') || ' > .a'", f"'.' || coalesce(lang, 'x') || ' > .a {{ content: ' || {QUOTE} || '}} ' || {_swap(PLAIN, (LINE, "' '"))} || {QUOTE} || '; }}'".replace("{{", "{").replace("}}", "}")),
+        (None, None, "' '"),
+        ("css_media_query", f"'@media (min-width: ' || {ID} || 'px)'", f"'@media (min-width: ' || {ID} || 'px) {{ a {{ b: c }} }}'"),
+        (None, None, "chr(10)"),
+        ("css_import", f"'@import ' || {QUOTE} || 'a;b' || {QUOTE}", f"'@import ' || {QUOTE} || 'a;b' || {QUOTE} || ';'"),
+    ],
+}
+#: XML's chunks have the root's start tag before them.
+XML_ROOT = f"'<doc id=' || {QUOTE} || {ID} || {QUOTE} || '>'"
+PARTS["XML"] = [
+    (None, None, f"'<!-- <a> -->' || chr(10) || {XML_ROOT} || chr(10)"),
+    ("xml_element", "'doc > text'", f"'<text>' || {MARKED} || '</text>'"),
+    (None, None, "chr(10) || 'between'"),
+    ("xml_element", "'doc > meta'", f"'<meta a=' || {QUOTE} || '/>' || {QUOTE} || '><b/></meta>'"),
+    (None, None, "'</doc>'"),
+]
+
+
+def made_files(s, d, language: str, where: str = "true"):
+    """Every document that ``where`` lets pass as one file of the language."""
+    text = " || ".join(part for _, _, part in PARTS[language])
+    return table(s, d, "documents").where(where).selectExpr("source as repository_id", f"{ID} as file_path", f"'{language}' as language", f"{text} as content")
+
+
+def expected(language: str, where: str = "true") -> str:
+    """SQL for the chunks of ``made_files``: what the parts say, their lines counted from those before them."""
+    rows, before = [], "''"
+    for kind, name, part in PARTS[language]:
+        if kind:
+            line = f"1 + len({before}) - len(replace({before}, chr(10), ''))"
+            own = f"{line} + len({part}) - len(replace({part}, chr(10), ''))"
+            content = f"{XML_ROOT} || chr(10) || chr(10) || {part}" if language == "XML" else part
+            rows.append(f"select {ID} as file_path, '{kind}' as chunk_type, {name or 'null::varchar'} as symbol_name, ({line})::int as symbol_start_line, ({own})::int as symbol_end_line, md5({content}) as content_md5 from documents where {where}")
+        before = f"{before} || {part}"
+    return " union all ".join(rows)
+
+
+def cut(df):
+    return df.select("file_path", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line", F.md5("content").alias("content_md5"))
+
 
+def all_files(s, d):
+    """The documents dealt out to all languages that can be made of them."""
+    return reduce(DataFrame.unionByName, [made_files(s, d, language, f"doc_id % {len(PARTS)} = {i}") for i, language in enumerate(PARTS)])
 
-def literal_files(s, d):
-    rows = [("repo_00000000", path, text) for path, text in LITERALS]
-    return s.createDataFrame(rows, "repository_id string, file_path string, content string").withColumn("language", P.language(F.col("file_path")))
+
+def pages(s, d):
+    return table(s, d, "pages").select(F.lit("repo_00000000").alias("repository_id"), F.col("page_id").cast("string").alias("file_path"), F.lit("HTML").alias("language"), F.col("html").alias("content"))
+
+
+#: The pages' own shape: what stands below html and below body, by patterns. A page with a sign that HTML's text can't hold
+#: is whole.
+HTML_SQL = r"""with p as (select page_id::varchar as file_path, html, regexp_extract(html, '<html[^>]*>') as h,
+  regexp_extract_all(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<article>.*?</article>|<footer>.*?</footer>') as parts from pages),
+e as (select file_path, html, h, unnest(parts) as part from p),
+l as (select *, (1 + len(before) - len(replace(before, chr(10), '')))::int as line from (select *, substr(html, 1, position(part in html) - 1) as before from e))
+select file_path, 'html_element' as chunk_type, 'html > ' || case when starts_with(part, '<head') then 'head' else 'body > ' || case when starts_with(part, '<div') then 'div.ad' else regexp_extract(part, '^<([a-z]+)', 1) end end as symbol_name,
+  line as symbol_start_line, (line + len(part) - len(replace(part, chr(10), '')))::int as symbol_end_line,
+  md5(h || chr(10) || chr(10) || case when starts_with(part, '<head') then '' else '<body>' || chr(10) || chr(10) end || part) as content_md5 from l"""
 
 
 def marked_documents(s, d):
@@ -42,15 +150,6 @@ def shown(df):
     return df.select("file_path", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line", F.to_json("source_ranges").alias("ranges"), F.md5("content").alias("content_md5"))
 
 
-def elements(s, d):
-    files = table(s, d, "pages").select(F.lit("repo_00000000").alias("repository_id"), F.col("page_id").cast("string").alias("file_path"), F.lit("HTML").alias("language"), F.col("html").alias("content"))
-    return C.html_elements(files)
-
-
-def only(paths, chunk):
-    return lambda s, d: shown(chunk(literal_files(s, d).where(F.col("file_path").isin(*paths))))
-
-
 QUERIES = {
     "scan_files": (lambda s, d: Files.scan(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "repo_00000000")[0].select("relative_path", "language", "size_bytes", F.md5("content").alias("content_md5")), None),
     "decode_text": (lambda s, d: Files.scan(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "repo_00000000")[1], None),
@@ -59,24 +158,32 @@ QUERIES = {
         "select doc_id::varchar as file_path, 'makefile' as chunk_type, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::int as symbol_end_line from documents where regexp_matches(text, '[^ \\t\\n\\r]')",
     ),
     "markdown_headings": (
-        lambda s, d: C.headings(marked_documents(s, d)).groupBy("file_path").agg(F.count(F.lit(1)).alias("headings"), F.sum("level").cast("long").alias("levels")),
+        lambda s, d: headings(marked_documents(s, d)).groupBy("file_path").agg(F.count(F.lit(1)).alias("headings"), F.sum("level").cast("long").alias("levels")),
         """with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
         h as (select doc_id, case when regexp_matches(line, '^[A-Z][a-z]+[.]$') then 1 when regexp_matches(line, '^[A-Z][a-z]+ [a-z]+[.]$') then 2 end as level from l)
         select doc_id::varchar as file_path, count(*) as headings, sum(level)::bigint as levels from h where level is not null group by doc_id""",
     ),
-    "chunk_markdown": (lambda s, d: shown(C.markdown(marked_documents(s, d))), None),
-    "chunk_markdown_file": (only(["docs/guide.md"], C.markdown), None),
-    "chunk_code": (only(["app/service.py", "app/Queue.java", "web/list.ts", "srv/main.go"], C.declarations), None),
-    "chunk_sql": (only(["db/schema.sql"], C.statements), None),
-    "chunk_yaml": (only(["conf/app.yaml"], C.properties), None),
-    "chunk_toml": (only(["conf/app.toml"], C.properties), None),
-    "chunk_json": (only(["conf/app.json"], C.properties), None),
-    "chunk_router": (lambda s, d: shown(C.route(literal_files(s, d))), None),
-    "chunk_html": (lambda s, d: elements(s, d).select("file_path", "place", "symbol_name"), None),
+    "chunk_markdown": (lambda s, d: shown(markdown(marked_documents(s, d))), None),
+    "chunk_json": (lambda s, d: cut(S.json(made_files(s, d, "JSON")).unionByName(S.json(made_files(s, d, "Node Package Configuration")))), f"{expected('JSON')} union all {expected('Node Package Configuration')}"),
+    "chunk_sql": (lambda s, d: cut(S.sql(made_files(s, d, "SQL"))), expected("SQL")),
+    "chunk_toml": (lambda s, d: cut(S.toml(made_files(s, d, "TOML"))), expected("TOML")),
+    "chunk_yaml": (lambda s, d: cut(S.yaml(made_files(s, d, "YAML"))), expected("YAML")),
+    "chunk_css": (lambda s, d: cut(S.stylesheet(made_files(s, d, "CSS"))), expected("CSS")),
+    "chunk_xml": (lambda s, d: cut(S.xml(made_files(s, d, "XML"))), expected("XML")),
+    "chunk_json_events": (
+        lambda s, d: S.json(table(s, d, "events").select(F.lit("r").alias("repository_id"), F.col("event_id").cast("string").alias("file_path"), F.lit("JSON").alias("language"), F.col("props").alias("content"))).select("file_path", "symbol_name", "content"),
+        """select event_id::varchar as file_path, k as symbol_name, '"' || k || '": ' || json_extract_string(props, k) as content from (select event_id, props, unnest(json_keys(props)) as k from events)""",
+    ),
+    "chunk_router": (
+        lambda s, d: C.route(all_files(s, d)).groupBy("language", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"), F.sum("symbol_start_line").cast("long").alias("starts"), F.sum("symbol_end_line").cast("long").alias("ends")),
+        " union all ".join(f"select '{language}' as language, chunk_type, count(*) as chunks, sum(symbol_start_line)::bigint as starts, sum(symbol_end_line)::bigint as ends from ({expected(language, f'doc_id % {len(PARTS)} = {i}')}) group by chunk_type" for i, language in enumerate(PARTS)),
+    ),
+    "chunk_router_windows": (lambda s, d: W.split(C.route(all_files(s, d))).select("file_path", "language", "chunk_type", "part", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5")), None),
+    "chunk_html": (lambda s, d: cut(S.html(pages(s, d))), HTML_SQL),
     "html_descriptor": (
-        lambda s, d: elements(s, d).groupBy("symbol_name").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: pages(s, d).select(F.explode(F.regexp_extract_all("content", F.lit(r"(?i)<(?:header|main|section|article|nav|footer|aside|script|style|div|form|table)\b[^>]*>"), 0)).alias("tag")).groupBy(S.descriptor(F.col("tag")).alias("symbol_name")).agg(F.count(F.lit(1)).alias("n")),
         r"""with e as (select unnest(regexp_extract_all(html, '(?i)<(?:header|main|section|article|nav|footer|aside|script|style|div|form|table)\b[^>]*>')) as tag from pages),
-        p as (select lower(regexp_extract(tag, '^<\s*([A-Za-z][A-Za-z0-9-]*)', 1)) as name, trim(regexp_extract(tag, '(?i)\sid\s*=\s*["'']([^"'']*)["'']', 1)) as id,
+        p as (select regexp_extract(tag, '^<\s*([A-Za-z][A-Za-z0-9-]*)', 1) as name, trim(regexp_extract(tag, '(?i)\sid\s*=\s*["'']([^"'']*)["'']', 1)) as id,
           list_filter(string_split_regex(regexp_extract(tag, '(?i)\sclass\s*=\s*["'']([^"'']*)["'']', 1), '\s+'), lambda x: x <> '') as classes from e)
         select name || case when id <> '' then '#' || id else '' end || array_to_string(list_transform(classes, lambda c: '.' || c), '') as symbol_name, count(*) as n from p group by 1""",
     ),

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseam.operators import chunks as C
+from lodeseam.operators import structured as S
 from lodeseam.operators import windows as W
+from lodeseam.operators.markdown import headings, markdown
 
 
 def files(spark, language, *texts):
@@ -15,7 +17,7 @@ def found(df, order="symbol_start_line"):
 
 def test_markdown(spark):
     text = "---\ntitle: x\n---\nintro\n# Guide\ntext\n\n## Setup\nrun\n### Windows\n```\n# no\n```\nmore\n## Usage\nend"
-    assert found(C.markdown(files(spark, "Markdown", text))) == [
+    assert found(markdown(files(spark, "Markdown", text))) == [
         ("markdown_preamble", None, [(1, 4)]),
         ("markdown_section", "Guide", [(5, 6)]),
         ("markdown_section", "Guide > Setup", [(5, 5), (8, 9)]),
@@ -26,14 +28,14 @@ def test_markdown(spark):
 
 def test_markdown_setext_and_plain(spark):
     text = "Project Guide\n=====\ntext\nInstallation\n----\nrun\n## C#\nend"
-    assert [n for _, n, _ in found(C.markdown(files(spark, "Markdown", text)))] == ["Project Guide", "Project Guide > Installation", "Project Guide > C#"]
-    assert found(C.markdown(files(spark, "Markdown", "a\nb\nc"))) == [("markdown_document", None, [(1, 3)])]
-    assert found(C.markdown(files(spark, "Markdown", ""))) == []
+    assert [n for _, n, _ in found(markdown(files(spark, "Markdown", text)))] == ["Project Guide", "Project Guide > Installation", "Project Guide > C#"]
+    assert found(markdown(files(spark, "Markdown", "a\nb\nc"))) == [("markdown_document", None, [(1, 3)])]
+    assert found(markdown(files(spark, "Markdown", ""))) == []
 
 
 def test_unclosed_fence_hides_the_rest(spark):
-    assert C.headings(files(spark, "Markdown", "# A\n~~~\n# B\n```\n# C")).count() == 1
-    assert C.headings(files(spark, "Markdown", "````\n# A\n```\n# B\n`````\n# C")).count() == 1
+    assert headings(files(spark, "Markdown", "# A\n~~~\n# B\n```\n# C")).count() == 1
+    assert headings(files(spark, "Markdown", "````\n# A\n```\n# B\n`````\n# C")).count() == 1
 
 
 def test_code(spark):
@@ -43,24 +45,6 @@ def test_code(spark):
     assert found(C.declarations(files(spark, "Java", text))) == [("class", "Queue", [(3, 9)]), ("method", "add", [(6, 8)])]
 
 
-def test_structured(spark):
-    assert [x[:2] for x in found(C.properties(files(spark, "YAML", "name: demo\nservices:\n  web:\n    image: x\n")))] == [("yaml_property", "name"), ("yaml_property", "services")]
-    toml = found(C.properties(files(spark, "TOML", "title = 'x'\n\n[project]\nname = 'y'\n\n[[servers]]\nhost = 'z'\n")))
-    assert toml == [("toml_property", "title", [(1, 1)]), ("toml_table", "project", [(3, 4)]), ("toml_table_array", "servers", [(6, 7)])]
-    json = found(C.properties(files(spark, "JSON", '{\n  "name": "demo",\n  "scripts": {\n    "build": "x"\n  }\n}')))
-    assert json == [("json_property", "name", [(2, 2)]), ("json_property", "scripts", [(3, 5)])]
-
-
-def test_sql(spark):
-    text = "create table users (id int);\ncreate view active_users as\n select * from users;\ninsert into users values (1);\nselect 1;\ncreate function user_count() returns int as $$\n select 1;\n$$ language sql;"
-    assert [x[:2] for x in found(C.statements(files(spark, "SQL", text)))] == [("sql_create_table", "users"), ("sql_create_view", "active_users"), ("sql_insert", "users"), ("sql_select", None), ("sql_create_function", "user_count")]
-
-
-def test_descriptor(spark):
-    got = spark.range(1).select(C.descriptor(F.lit('<main id="m" class="app  shell">')).alias("x")).first().x
-    assert got == "main#m.app.shell"
-
-
 def test_router_falls_back(spark):
     assert found(C.route(files(spark, "Dockerfile", "FROM x\nRUN y"))) == [("dockerfile", None, [(1, 2)])]
     assert found(C.route(files(spark, "JSON", "[1, 2"))) == [("json_document", None, [(1, 1)])]
@@ -107,6 +91,29 @@ def test_batches(spark):
     assert [got["k", i] for i in range(6)] == [0, 0, 1, 1, 2, 3] and got["l", 0] == 0
 
 
+@pytest.mark.parametrize(
+    "text,ranges,lines",
+    [
+        ("a\nb\n\n\nc\nd", [(10, 11), (20, 21)], [10, 11, None, None, 20, 21]),
+        ("a\n\nb\n\nc", [(1, 3), (9, 9)], [1, 2, 3, None, 9]),
+        ("a\nb\nc", [(4, 5)], [4, 5, 5]),
+        ("a", [(7, 9)], [7]),
+        ("", [], [None]),
+        ("a\n \nb\n\t\nc", [(1, 1), (5, 5), (9, 9)], [1, None, 5, None, 9]),
+    ],
+)
+def test_line_map(text, ranges, lines):
+    assert W.line_map(text, ranges) == lines
+
+
+def test_windows_of_joined_ranges():
+    """A parent's heading and a section: every window's lines come from the two ranges."""
+    text = "# Parent\n\n## Child\n" + "\n".join(f"detail {i}" for i in range(8))
+    parts = W.windows_of(text, [(1, 1), (5, 13)], 70, 10)
+    assert len(parts) > 1 and all(len(p) <= 70 for p, _ in parts)
+    assert {n for _, r in parts for a, b in r for n in range(a, b + 1)} == {1, *range(5, 14)}
+
+
 def test_ranges_of_lines(spark):
     rows = spark.createDataFrame([("a", n) for n in (1, 2, 2, 3, 7, 9, 10)], "f string, n int")
     assert sorted((r.start_line, r.end_line) for r in C.ranges_of_lines(rows, ("f",), "n").collect()) == [(1, 3), (7, 7), (9, 10)]
