@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(build: Callable[[], Column]) -> Callable[[], Column]:
+    """The same expression at every call: a long one takes a second to put together."""
+    held: dict[str, object] = {}
+
+    @wraps(build)
+    def get() -> Column:
+        if held.get("jvm") is not SparkContext._gateway:
+            held.update(jvm=SparkContext._gateway, column=build())
+        return held["column"]
+
+    return get
+
+
 def none(kind: str) -> Column:
     """An empty array."""
     return F.array().cast(f"array<{kind}>")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.functions.scan import let, none, scan
+from lodeseam.functions.scan import let, none, once, scan
 from lodeseam.operators.structured import COLUMNS, KEY, PIECE, TAG, array_of, bodies, piece
 
 # Markdown's patterns.
@@ -68,18 +68,21 @@ def _section(s: Column) -> Column:
     return F.struct(s["a"].alias("a"), s["begun"].alias("line"), s["b"].alias("b"), s["heads"].alias("heads"), s["first"].alias("first"))
 
 
-def _sections(content: Column) -> Column:
+@once
+def _sections() -> Column:
+    content = F.col("content")
     return let(_walk(content), lambda r: F.concat(r["out"], array_of(_section(r["state"]), r["state"]["b"] > r["state"]["a"], SECTION)))
 
 
 def headings(files: DataFrame) -> DataFrame:
     """ATX and setext headings outside fences and front matter: ``(line_no, level, heading)``."""
-    found = files.select(*KEY, "language", F.explode(F.filter(_sections(F.col("content")), lambda p: ~p["first"])).alias("p"))
+    found = files.select(*KEY, "language", F.explode(F.filter(_sections(), lambda p: ~p["first"])).alias("p"))
     own = F.element_at("p.heads", -1)
     return found.select(*KEY, "language", own["line"].alias("line_no"), own["level"].alias("level"), own["heading"].alias("heading"))
 
 
-def markdown(files: DataFrame) -> DataFrame:
+@once
+def _pieces() -> Column:
     content = F.col("content")
 
     def made(p: Column, body: Column, i: Column, alone: Column) -> Column:
@@ -89,6 +92,10 @@ def markdown(files: DataFrame) -> DataFrame:
         return piece(kind, name, p["line"], body, F.when(p["first"], none(TAG)).otherwise(above))
 
     even = lambda text: F.regexp_replace(text, "\r\n?", "\n")
-    pieces = let(_sections(content), lambda found: bodies(content, found, lambda p, body, i: made(p, body, i, F.size(found) == 1), even))
-    rows = files.where(content.rlike(r"(?U)\S")).select(*KEY, "language", F.explode(F.coalesce(pieces, none(PIECE))).alias("chunk"))
+    return let(_sections(), lambda found: bodies(content, found, lambda p, body, i: made(p, body, i, F.size(found) == 1), even))
+
+
+def markdown(files: DataFrame) -> DataFrame:
+    """A row for each section."""
+    rows = files.where(F.col("content").rlike(r"(?U)\S")).select(*KEY, "language", F.explode(F.coalesce(_pieces(), none(PIECE))).alias("chunk"))
     return rows.select(*KEY, "language", "chunk.*").select(*COLUMNS)

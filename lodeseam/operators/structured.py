@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.functions.scan import let, none, scan
+from lodeseam.functions.scan import let, none, once, scan
 
 KEY = ("repository_id", "file_path")
 COLUMNS = ("repository_id", "file_path", "language", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line", "source_ranges", "content")
@@ -151,32 +151,31 @@ def finished(files: DataFrame, pieces: Column, kind: Column) -> DataFrame:
     return made.select(*KEY, "language", "chunk.*").select(*COLUMNS)
 
 
-def json(files: DataFrame) -> DataFrame:
-    """A chunk for each property of the root object, its key decoded, or for each item of the root array. Comments are
-    let pass as in configuration files; other roots, empty ones and texts that don't parse stay whole."""
+@once
+def _json() -> Column:
     content = F.col("content")
     items = lexed(content, "json", {'"': '"', "//": "\n", "/*": "*/"}, ("//", "/*"), "{[", "}]", ",")
     plain = F.when(content.rlike(r"//|/\*"), F.regexp_replace(content, r"""(?s)("(?:[^"\\]|\\.)*+")|//[^\n]*+|/\*.*?\*/""", "$1")).otherwise(content)
-    root = F.substring(strip(content), 1, 1)
     key = lambda body: F.regexp_extract(body, r"""(?s)^("(?:[^"\\]|\\.)*+")""", 1)
     decoded = lambda body: F.get(F.from_json(F.concat(F.lit("["), key(body), F.lit("]")), "array<string>"), F.lit(0))
+    prop = lambda p, body, i: piece(F.lit("json_property"), decoded(body), p["line"], body)
+    item = lambda p, body, i: piece(F.lit("json_array_item"), F.concat(F.lit("$["), i.cast("string"), F.lit("]")), p["line"], body)
+    cut = lambda shut, made: bodies(content, separated(items, 1, False, shut)["out"], made)
+    good = F.try_parse_json(plain).isNotNull()
+    return F.when(content.rlike(r"(?U)^\s*\{") & good, cut("}", prop)).when(content.rlike(r"(?U)^\s*\[") & good, cut("]", item)).otherwise(none(PIECE))
 
-    def made(p: Column, body: Column, i: Column) -> Column:
-        name = F.when(root == "{", decoded(body)).otherwise(F.concat(F.lit("$["), i.cast("string"), F.lit("]")))
-        return piece(F.when(root == "{", F.lit("json_property")).otherwise(F.lit("json_array_item")), name, p["line"], body)
 
-    cut = lambda shut: separated(items, 1, False, shut)["out"]
-    spans = F.when(root == "{", cut("}")).when(root == "[", cut("]")).otherwise(none(SPAN))
-    good = root.isin("{", "[") & F.try_parse_json(plain).isNotNull()
-    return finished(files, F.when(good, bodies(content, spans, made)).otherwise(none(PIECE)), F.lit("json_document"))
+def json(files: DataFrame) -> DataFrame:
+    """A chunk for each property of the root object, its key decoded, or for each item of the root array. Comments are
+    let pass as in configuration files; other roots, empty ones and texts that don't parse stay whole."""
+    return finished(files, _json(), F.lit("json_document"))
 
 
 PIECE = f"struct<chunk_type:string,symbol_name:string,symbol_start_line:int,symbol_end_line:int,source_ranges:array<{RANGE}>,content:string>"
 
 
-def sql(files: DataFrame) -> DataFrame:
-    """A chunk for each statement, without its semicolon and the comments around it. Semicolons in strings, quoted names,
-    comments and dollar-quoted bodies end none."""
+@once
+def _sql() -> Column:
     content = F.col("content")
     items = lexed(content, "sql", {"'": "'", '"': '"', "`": "`", "--": "\n", "/*": "*/"}, ("--", "/*"), separators=";")
 
@@ -184,11 +183,17 @@ def sql(files: DataFrame) -> DataFrame:
         kind = F.coalesce(*[F.when(body.rlike(pattern), F.lit(name)) for name, pattern in STATEMENTS], F.lit("sql_statement"))
         return piece(kind, F.when(~kind.isin("sql_select", "sql_statement"), F.nullif(F.regexp_extract(body, SQL_NAME, 1), F.lit(""))), p["line"], body)
 
-    return finished(files, bodies(content, separated(items, 0, False, "")["out"], made), F.lit("sql_document"))
+    return bodies(content, separated(items, 0, False, "")["out"], made)
 
 
-def stylesheet(files: DataFrame) -> DataFrame:
-    """A chunk for each rule, at-rule and declaration at the top of a CSS or SCSS file; ``//`` comments in SCSS alone."""
+def sql(files: DataFrame) -> DataFrame:
+    """A chunk for each statement, without its semicolon and the comments around it. Semicolons in strings, quoted names,
+    comments and dollar-quoted bodies end none."""
+    return finished(files, _sql(), F.lit("sql_document"))
+
+
+@once
+def _stylesheet() -> Column:
     content, quotes = F.col("content"), {'"': '"', "'": "'", "/*": "*/"}
     of = lambda closers, comments: separated(lexed(content, "css", closers, comments, "{(", "})", ";"), 0, True, "}")["out"]
     spans = F.when(F.col("language") == "SCSS", of(quotes | {"//": "\n"}, ("/*", "//"))).otherwise(of(quotes, ("/*",)))
@@ -208,12 +213,16 @@ def stylesheet(files: DataFrame) -> DataFrame:
         )
         return piece(F.when(at != "", kind).otherwise(other), F.nullif(name, F.lit("")), p["line"], body)
 
-    return finished(files, bodies(content, spans, made), F.lit("stylesheet_document"))
+    return bodies(content, spans, made)
 
 
-def toml(files: DataFrame) -> DataFrame:
-    """A chunk for each pair before the first table, and for each table with its pairs. A pair may span lines inside its
-    strings and brackets."""
+def stylesheet(files: DataFrame) -> DataFrame:
+    """A chunk for each rule, at-rule and declaration at the top of a CSS or SCSS file; ``//`` comments in SCSS alone."""
+    return finished(files, _stylesheet(), F.lit("stylesheet_document"))
+
+
+@once
+def _toml() -> Column:
     content = F.col("content")
     closers = {'"""': '"""', "'''": "'''", '"': '"', "'": "'", "#": "\n"}
     walked = separated(lexed(content, "toml", closers, ("#",), "{[", "}]", "\n"), 0, False, "", raw=True)
@@ -237,12 +246,17 @@ def toml(files: DataFrame) -> DataFrame:
 
     wrong = lambda x: ~x["body"].startswith("[") & ~x["body"].rlike(r"""^(?:[^="']|"[^"]*"|'[^']*')+?=\s*\S""")
     spans = let(let(F.encode(content, "UTF-8"), lines), lambda rows: F.when(walked["good"] & ~F.exists(rows, wrong), tables(rows)).otherwise(none(SPAN)))
-    return finished(files, bodies(content, spans, made), F.lit("toml_document"))
+    return bodies(content, spans, made)
 
 
-def yaml(files: DataFrame) -> DataFrame:
-    """A chunk for each key of a document's mapping, or each item of its list. A file with several documents names them
-    ``doc[i].``. What is indented, and closing brackets, belong to the entry above; comments and blanks at its end don't."""
+def toml(files: DataFrame) -> DataFrame:
+    """A chunk for each pair before the first table, and for each table with its pairs. A pair may span lines inside its
+    strings and brackets."""
+    return finished(files, _toml(), F.lit("toml_document"))
+
+
+@once
+def _yaml() -> Column:
     content = F.col("content")
     rows = F.transform(F.regexp_extract_all(content, F.lit(r"[^\n]*+\n|[^\n]++$"), F.lit(0)), lambda x: F.struct(x.alias("lex"), F.octet_length(x).alias("n")))
     kind = "struct<a:int,line:int,b:int,doc:int,name:string,item:int>"
@@ -281,10 +295,16 @@ def yaml(files: DataFrame) -> DataFrame:
         return F.when(F.exists(chunks, odd), none(PIECE)).otherwise(chunks)
 
     def cut(found: Column) -> Column:
-        many = F.coalesce(F.array_max(F.transform(found, lambda p: p["doc"])), F.lit(1)) > 1
-        return bodies(content, found, lambda p, body, i: made(p, body, i, many))
+        several = F.coalesce(F.array_max(F.transform(found, lambda p: p["doc"])), F.lit(1)) > 1
+        return let(several, lambda many: bodies(content, found, lambda p, body, i: made(p, body, i, many)))
 
-    return finished(files, let(let(spans, cut), balanced), F.lit("yaml_document"))
+    return let(let(spans, cut), balanced)
+
+
+def yaml(files: DataFrame) -> DataFrame:
+    """A chunk for each key of a document's mapping, or each item of its list. A file with several documents names them
+    ``doc[i].``. What is indented, and closing brackets, belong to the entry above; comments and blanks at its end don't."""
+    return finished(files, _yaml(), F.lit("yaml_document"))
 
 
 # elements
@@ -366,9 +386,8 @@ def elements(content: Column, language: str, deepest: int) -> Column:
     return let(scan(found, zero, step, emit, ELEMENT), last)
 
 
-def html(files: DataFrame) -> DataFrame:
-    """A chunk for each element at the root, below html and below its body, named by the descriptors on its path; the start
-    tags of html and body stand before it. A body without elements is a chunk itself."""
+@once
+def _html() -> Column:
     content = F.col("content")
     is_ = lambda tag, name: F.lower(tag_name(tag)) == name
 
@@ -383,11 +402,17 @@ def html(files: DataFrame) -> DataFrame:
         name = F.array_join(F.concat(F.transform(p["up"], lambda t: descriptor(t["text"])), F.array(descriptor(p["tag"]))), " > ")
         return piece(F.lit("html_element"), name, p["line"], body, p["up"])
 
-    return finished(files, bodies(content, spans, made), F.lit("html_document"))
+    return bodies(content, spans, made)
 
 
-def xml(files: DataFrame) -> DataFrame:
-    """A chunk for each child of the root, after the root's start tag."""
+def html(files: DataFrame) -> DataFrame:
+    """A chunk for each element at the root, below html and below its body, named by the descriptors on its path; the start
+    tags of html and body stand before it. A body without elements is a chunk itself."""
+    return finished(files, _html(), F.lit("html_document"))
+
+
+@once
+def _xml() -> Column:
     content = F.col("content")
     roots = lambda out: F.size(F.filter(out, lambda p: F.size(p["up"]) == 0))
     spans = let(elements(content, "xml", 1), lambda r: F.when(r["good"] & (roots(r["out"]) == 1), F.filter(r["out"], lambda p: F.size(p["up"]) == 1)).otherwise(none(ELEMENT)))
@@ -395,4 +420,9 @@ def xml(files: DataFrame) -> DataFrame:
     def made(p: Column, body: Column, i: Column) -> Column:
         return piece(F.lit("xml_element"), F.concat(tag_name(F.get(p["up"], F.lit(0))["text"]), F.lit(" > "), tag_name(p["tag"])), p["line"], body, p["up"])
 
-    return finished(files, bodies(content, spans, made), F.lit("xml_document"))
+    return bodies(content, spans, made)
+
+
+def xml(files: DataFrame) -> DataFrame:
+    """A chunk for each child of the root, after the root's start tag."""
+    return finished(files, _xml(), F.lit("xml_document"))
