@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at a time.
@@ -115,6 +115,16 @@ def components(edges: DataFrame) -> DataFrame:
         held = settle(hung.distinct())
 
 
+def own_text() -> Column:
+    """What tells rows with one doc_id but different texts apart, beside the doc_id: a 32-bit hash of the text."""
+    return F.hash(F.col("text").cast("string"))
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs meets a helper's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of the shared checkpoint folder, for a table that outlives one plan."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import settle
+from lodeseam.llm.common import packed, settle
 
 FILTER_BITS = 1 << 27
 SLOTS_EACH = 64
@@ -63,9 +63,9 @@ def mark_exact(docs: DataFrame, filter_bits: int | None = None) -> DataFrame:
 def drop_exact(docs: DataFrame, filter_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. A row goes by its own text and doc_id, so that others with its doc_id, or
     without one, stay if their texts are kept."""
-    gone = mark_exact(docs, filter_bits).where("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_text")).distinct()
-    here = docs.withColumn("__own_text", lowered_sha())
-    return here.join(gone, (F.col("__own_text") == F.col("__gone_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")), "left_anti").drop("__own_text")
+    gone = mark_exact(docs, filter_bits).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
+    here = docs.select(packed(docs).alias("row"), lowered_sha().alias("own_text"), F.col("doc_id").cast("long").alias("own_id"))
+    return here.join(gone, (F.col("own_text") == F.col("gone_text")) & F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
 
 
 SQL = """

@@ -17,9 +17,10 @@ in 17. Of every connected group the occurrence with the smallest (doc_id, line n
 stays. Texts move only where they must: blocks travel as hashes, lines that met the same lines in several blocks travel
 once, and a Bloom filter of bound size tells which documents hold a line in question or may lose one.
 
-Nulls: a null text has no lines; lines of rows without a doc_id stay and do not count. Rows that repeat a doc_id lose the
-lines of the same numbers if any of these rows loses them; they are one document and should repeat its text. Empty input
-gives no rows.
+Nulls: a null text has no lines; lines of rows without a doc_id stay and do not count. Rows that
+repeat a doc_id with another text are documents of their own, told apart by a hash of the text; equal rows are one and keep
+or lose the same lines. Extra columns may have any name; one called as the column of removed lines makes room for it.
+Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, pieces, settle, short_batches
+from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, own_text, packed, pieces, settle, short_batches
 from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, runs
 
 LEAST_SIMILARITY = 0.8
@@ -195,7 +196,7 @@ def all_keys(lines: Lines, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line, node, size, keys)`` of the lines with a word. What a task has seen already has no keys."""
+    """``(doc_id, own, line, node, size, keys)`` of the lines with a word. What a task has seen already has no keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -212,10 +213,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
             line, key = all_keys(lines, fresh)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))
-            doc_ids = batch.column(0).take(pa.array(lines.text))
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "line", "node", "size", "keys"])
+            doc_ids, own = (batch.column(k).take(pa.array(lines.text)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([doc_ids, own, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "own", "line", "node", "size", "keys"])
 
-    return docs.mapInArrow(work, "doc_id long, line int, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text", own_text().alias("own")).mapInArrow(work, "doc_id long, own int, line int, node long, size int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -606,40 +607,41 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """``(doc_id, line, group_id, kept)`` of the lines that take part; equal group_id, same group."""
+    """``(doc_id, own, line, group_id, kept)`` of the lines that take part; equal group_id, same group. ``own`` is
+    ``common.own_text``: rows of one doc_id with different texts are different places of a line."""
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     with short_batches(docs.sparkSession):
         found = settle(occurrences(real))
         linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
-    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "line", "own")).alias("first"))
     named = nodes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_id"))
     firsts = named.groupBy("group_id").agg(F.min("first").alias("first"))
     groups = named.select("node", "group_id").join(firsts, "group_id")
-    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    return found.select("doc_id", "line", "node").join(groups, "node").select("doc_id", "line", "group_id", kept.alias("kept"))
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("own") == F.col("first.own"))
+    return found.select("doc_id", "own", "line", "node").join(groups, "node").select("doc_id", "own", "line", "group_id", kept.alias("kept"))
 
 
-def remove_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, with ``text`` less the removed lines, and a column ``removed_lines``."""
-    gone = mark_lines(docs, least).where("not kept").groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
-    gone = settle(gone)
-    names = docs.columns
-    tested = maybe_in(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", bloom_words(gone, "__doc"))
-    touched = tested.where("__maybe").join(gone, F.col("__id") == F.col("__doc"), "left").select(*names, "removed_lines")
-    passed = tested.where("not __maybe").select(*names, F.lit(None).cast("array<int>").alias("removed_lines"))
-    kind = T.StructType([*docs.schema.fields, T.StructField("removed_lines", T.ArrayType(T.IntegerType()))])
+def remove_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, name: str = "removed_lines") -> DataFrame:
+    """The rows of ``docs``, all columns, with ``text`` less the removed lines, and a column of their numbers, in whose
+    place a column of that name goes."""
+    gone = mark_lines(docs, least).where("not kept").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    gone = settle(gone.select(F.xxhash64("doc_id", "own").alias("key"), F.col("doc_id").alias("of"), F.col("own").alias("of_own"), "lines"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), own_text().alias("own"), F.col("text").cast("string").alias("text"))
+    tested = maybe_in(rows.withColumn("key", F.xxhash64("id", "own")), "key", bloom_words(gone, "key"))
+    met = tested.where("__maybe").drop("key").join(gone.drop("key"), (F.col("id") == F.col("of")) & (F.col("own") == F.col("of_own")), "left")
+    passed = tested.where("not __maybe").select("row", "text", F.lit(None).cast("array<int>").alias("lines"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            at = batch.schema.get_field_index("text")
             out = []
-            for text, lines in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            for text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text is not None and lines:
                     drop = set(lines)
                     text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop)
                 out.append(text)
-            columns = list(batch.columns)
-            columns[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["row", "text", "lines"])
 
-    return touched.mapInArrow(work, kind).unionByName(passed)
+    touched = met.select("row", "text", "lines").mapInArrow(work, T.StructType([T.StructField("row", tested.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(T.IntegerType()))]))
+    of = lambda c: F.col("text").cast(kinds[c]) if c == "text" else F.col("row")[c]
+    return touched.unionByName(passed).select(*[of(c).alias(c) for c in docs.columns if c != name], F.col("lines").alias(name))

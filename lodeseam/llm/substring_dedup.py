@@ -10,8 +10,8 @@ Minimisers above a share ``HOT_SHARE`` of a sample of the rows (fewer than 1 / H
 windows meet, never which) hand their windows to buckets by the hash of the whole window instead.
 
 A word is removed if a window covers it that also starts in a document with a smaller doc_id; windows are those of the
-input. Nulls: a null text has no words; rows without a doc_id remove nothing and lose nothing. A doc_id names one text:
-rows that repeat it repeat the text and get equal results. Texts below WINDOW words stay. Empty input gives no rows.
+input. Nulls: a null text has no words; rows without a doc_id remove nothing and lose nothing. Rows that
+repeat a doc_id with another text lose what their own windows say, and remove nothing from each other. Texts below WINDOW words stay. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import SLICE_BYTES, pieces, settle
+from lodeseam.llm.common import SLICE_BYTES, own_text, pieces, settle
 
 WINDOW = 13
 MINIMISER = 3
@@ -125,8 +125,8 @@ def _runs(flag: np.ndarray, places: np.ndarray, key: np.ndarray | None = None) -
 _SHIPPED = "bucket int, n int, block binary"
 
 
-def _block(doc: np.ndarray, start: np.ndarray, length: np.ndarray, text: bytes | None, press: zstandard.ZstdCompressor) -> bytes:
-    return press.compress(doc.astype(np.int64).tobytes() + start.astype(np.int32).tobytes() + length.astype(np.int32).tobytes() + (text or b""))
+def _block(doc: np.ndarray, own: np.ndarray, start: np.ndarray, length: np.ndarray, text: bytes | None, press: zstandard.ZstdCompressor) -> bytes:
+    return press.compress(doc.astype(np.int64).tobytes() + own.astype(np.int32).tobytes() + start.astype(np.int32).tobytes() + length.astype(np.int32).tobytes() + (text or b""))
 
 
 def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.nd
     press = zstandard.ZstdCompressor(level=3)
     turn = 0
     for batch in pieces(batches, "text", SLICE_BYTES // 2):
-        doc_ids = batch.column(0).to_numpy()
+        doc_ids, owns = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         lines = [t.encode("utf-8").split() for t in batch.column(1).to_pylist()]
         words = Words(lines)
         places = words.windows(width)
@@ -148,7 +148,7 @@ def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.nd
         a, b = _runs(owner > least, places)
         if len(a):
             turn += 1
-            out.append(((turn * 7919 + int(doc_ids[0])) % buckets, -len(a), _block(owner[a], places[a] - words.first[line[a]], places[b] - places[a] + width, None, press)))
+            out.append(((turn * 7919 + int(doc_ids[0])) % buckets, -len(a), _block(owner[a], owns[line[a]], places[a] - words.first[line[a]], places[b] - places[a] + width, None, press)))
         key = minimisers(words, width)[places]
         if len(hot):
             key = np.where(np.isin(key, hot), whole, key)
@@ -161,32 +161,33 @@ def ship(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: np.nd
         lo, hi = places[a], places[b] + width
         packed = [b" ".join(flat[i:j]) for i, j in zip(lo.tolist(), hi.tolist())]
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            out.append((int(bucket[i]), j - i, _block(owner[a[i:j]], lo[i:j] - words.first[line[a[i:j]]], hi[i:j] - lo[i:j], b"\n".join(packed[i:j]), press)))
+            out.append((int(bucket[i]), j - i, _block(owner[a[i:j]], owns[line[a[i:j]]], lo[i:j] - words.first[line[a[i:j]]], hi[i:j] - lo[i:j], b"\n".join(packed[i:j]), press)))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "n", "block"])
 
 
-def _stretches(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+def _stretches(doc: np.ndarray, own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (own, start, stop))], ["doc_id", "own", "start", "stop"])
 
 
 def sort_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (doc_id, start, stop) of words; rows come sorted by bucket."""
+    """Removed stretches (doc_id, own, start, stop) of words; rows come sorted by bucket."""
     unpress = zstandard.ZstdDecompressor()
 
     def close(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        docs, starts, lines = [], [], []
+        docs, owns, starts, lines = [], [], [], []
         for n, block in blocks:
             raw, k = unpress.decompress(block), abs(n)
-            doc, start = np.frombuffer(raw, np.int64, k), np.frombuffer(raw, np.int32, k, 8 * k)
+            doc, (own, start, length) = np.frombuffer(raw, np.int64, k), (np.frombuffer(raw, np.int32, k, m * k) for m in (8, 12, 16))
             if n < 0:
-                yield _stretches(doc, start, start + np.frombuffer(raw, np.int32, k, 12 * k))
+                yield _stretches(doc, own, start, start + length)
                 continue
             docs.append(doc)
+            owns.append(own)
             starts.append(start)
-            lines += [x.split(b" ") for x in raw[16 * k :].split(b"\n")]
+            lines += [x.split(b" ") for x in raw[20 * k :].split(b"\n")]
         if not docs:
             return
-        doc, start = np.concatenate(docs), np.concatenate(starts)
+        doc, own, start = np.concatenate(docs), np.concatenate(owns), np.concatenate(starts)
         words = Words(lines)
         places = words.windows(width)
         line = words.line[places]
@@ -195,7 +196,7 @@ def sort_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         a, b = _runs(owner > least, places)
         if len(a):
             at = start[line[a]] + places[a] - words.first[line[a]]
-            yield _stretches(owner[a], at, at + places[b] - places[a] + width)
+            yield _stretches(owner[a], own[line[a]], at, at + places[b] - places[a] + width)
 
     held, blocks = None, []
     for batch in batches:
@@ -249,14 +250,14 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     if width < MINIMISER:
         raise ValueError(f"a window has at least {MINIMISER} words")
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own_text().alias("own"))
     real = texts.where("doc_id is not null and text is not null")
     hot, windows = hot_minimisers(real, width)
     # by the size of the input: neither a bucket nor a partition grows with it
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // (BUCKETS_EACH * BUCKET_WINDOWS))
     buckets = BUCKETS_EACH * parts
     shipped = real.mapInArrow(lambda b: ship(b, width, buckets, hot), _SHIPPED)
-    stretches = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: sort_buckets(b, width), "doc_id long, start int, stop int")
+    stretches = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: sort_buckets(b, width), "doc_id long, own int, start int, stop int")
     # as many stretches as a document has words at most
-    of_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
-    return texts.join(of_doc, "doc_id", "left").select("doc_id", "text", "stretches").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    of_doc = stretches.groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
+    return texts.join(of_doc, ["doc_id", "own"], "left").select("doc_id", "text", "stretches").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
