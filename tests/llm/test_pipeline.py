@@ -122,3 +122,17 @@ def test_near_copies_of_like_shingles_go(spark, bucket):
     assert got.pop(None) is None and got == root and len(set(root.values())) < 120
     left = [r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(i for i in left if i is not None) == sorted(set(root.values())) and None in left
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    """Every text that stands nowhere else survives the stages that drop; equal rows are one."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    word = lambda a: " ".join(f"{a}{chr(97 + i % 26)}{i}" for i in range(30))
+    rows = [(1, word("common"), "en", "s"), (2, word("common"), "en", "s"), (2, word("unique"), "en", "s"), (2, word("unique"), "en", "s"), (None, word("common"), "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("removed_lines", "own", "row", "keep", "id")})
+    lines = corpus_pipeline.drop_lines(spark, df, "")
+    assert lines.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in lines.collect()) == sorted([(0, word("common")), (1, word("common")), (2, ""), (2, word("unique")), (2, word("unique"))])
+    near = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert near.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted([(0, word("common")), (1, word("common")), (2, word("unique"))])
