@@ -115,14 +115,22 @@ def components(edges: DataFrame) -> DataFrame:
         held = settle(hung.distinct())
 
 
-def own_text() -> Column:
-    """What tells rows with one doc_id but different texts apart, beside the doc_id: a 32-bit hash of the text."""
-    return F.hash(F.col("text").cast("string"))
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """A filter of the doc_ids that stand before more than one text."""
+    text = F.hash(F.col("text").cast("string"))
+    several = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    return settle(bloom_words(several, "doc_id"))
 
 
-def packed(df: DataFrame) -> Column:
-    """All columns as one, so that no name of theirs meets a helper's."""
-    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+def owned(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds ``own``, which tells rows with one doc_id but different texts apart, beside the doc_id: a hash of the text, and 0
+    where the doc_id stands before one text. ``rows`` has doc_id as a long, text, and no names of a filter's columns."""
+    return maybe_in(rows, "doc_id", repeated).withColumn("own", F.when(F.col("__maybe"), F.hash("text")).otherwise(0)).drop("__maybe")
+
+
+def packed(df: DataFrame, *but: str) -> Column:
+    """All columns but some as one, so that no name of theirs meets a helper's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns if c not in but])
 
 
 def scratch(spark: SparkSession, name: str) -> str:

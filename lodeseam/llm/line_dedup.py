@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, own_text, packed, pieces, settle, short_batches
+from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches
 from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, runs
 
 LEAST_SIMILARITY = 0.8
@@ -216,7 +216,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             doc_ids, own = (batch.column(k).take(pa.array(lines.text)) for k in (0, 2))
             yield pa.RecordBatch.from_arrays([doc_ids, own, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "own", "line", "node", "size", "keys"])
 
-    return docs.select("doc_id", "text", own_text().alias("own")).mapInArrow(work, "doc_id long, own int, line int, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text", "own" if "own" in docs.columns else F.lit(0).alias("own")).mapInArrow(work, "doc_id long, own int, line int, node long, size int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -606,10 +606,11 @@ def edits(a: str, b: str, most: int) -> int:
     return score
 
 
-def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """``(doc_id, own, line, group_id, kept)`` of the lines that take part; equal group_id, same group. ``own`` is
-    ``common.own_text``: rows of one doc_id with different texts are different places of a line."""
+def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, repeated: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, own, line, group_id, kept)`` of the lines that take part; equal group_id, same group. ``own`` is that of
+    ``common.owned``: rows of one doc_id with different texts are different places of a line."""
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    real = owned(real, repeated_ids(real) if repeated is None else repeated)
     with short_batches(docs.sparkSession):
         found = settle(occurrences(real))
         linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
@@ -624,10 +625,12 @@ def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
 def remove_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, name: str = "removed_lines") -> DataFrame:
     """The rows of ``docs``, all columns, with ``text`` less the removed lines, and a column of their numbers, in whose
     place a column of that name goes."""
-    gone = mark_lines(docs, least).where("not kept").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    repeated = repeated_ids(docs)
+    gone = mark_lines(docs, least, repeated).where("not kept").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     gone = settle(gone.select(F.xxhash64("doc_id", "own").alias("key"), F.col("doc_id").alias("of"), F.col("own").alias("of_own"), "lines"))
     kinds = {f.name: f.dataType for f in docs.schema}
-    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), own_text().alias("own"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(packed(docs, "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = owned(rows, repeated).withColumnRenamed("doc_id", "id")
     tested = maybe_in(rows.withColumn("key", F.xxhash64("id", "own")), "key", bloom_words(gone, "key"))
     met = tested.where("__maybe").drop("key").join(gone.drop("key"), (F.col("id") == F.col("of")) & (F.col("own") == F.col("of_own")), "left")
     passed = tested.where("not __maybe").select("row", "text", F.lit(None).cast("array<int>").alias("lines"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import SLICE_BYTES, own_text, pieces, settle
+from lodeseam.llm.common import SLICE_BYTES, owned, pieces, repeated_ids, settle
 
 WINDOW = 13
 MINIMISER = 3
@@ -250,7 +250,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     if width < MINIMISER:
         raise ValueError(f"a window has at least {MINIMISER} words")
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own_text().alias("own"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = owned(texts, repeated_ids(texts))
     real = texts.where("doc_id is not null and text is not null")
     hot, windows = hot_minimisers(real, width)
     # by the size of the input: neither a bucket nor a partition grows with it
