@@ -9,36 +9,10 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions.paths import CODE_LANGUAGES, COHESIVE_TYPES, literal_map
 from lodeseam.operators import structured
+from lodeseam.operators.code import declarations
 from lodeseam.operators.markdown import markdown
 from lodeseam.operators.structured import COLUMNS, KEY
 
-#: Beginnings of declarations: language family, chunk type, pattern with the name in its first group.
-DECLARATIONS = (
-    (("Python",), "class", r"^\s*class\s+(\w+)"),
-    (("Python",), "function", r"^\s*(?:async\s+)?def\s+(\w+)"),
-    (("Ruby",), "class", r"^\s*(?:class|module)\s+([\w:]+)"),
-    (("Ruby",), "method", r"^\s*def\s+(?:self\.)?([\w?!=]+)"),
-    (("Go",), "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"),
-    (("Go",), "struct", r"^type\s+(\w+)\s+struct\b"),
-    (("Go",), "interface", r"^type\s+(\w+)\s+interface\b"),
-    (("Rust",), "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"),
-    (("Rust",), "struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"),
-    (("Rust",), "enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"),
-    (("Rust",), "trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"),
-    (("Shell",), "function", r"^\s*(?:function\s+(?=[\w-]+)|(?=[\w-]+\s*\(\)))([\w-]+)"),
-    (("Kotlin", "Kotlin Script"), "function", r"^\s*(?:(?:public|private|internal|protected|override|suspend|inline|open)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)"),
-    (("Swift",), "function", r"^\s*(?:(?:public|private|internal|open|static|override|mutating|final)\s+)*func\s+(\w+)"),
-    (("PHP",), "function", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)"),
-    (("JavaScript", "JavaScript JSX", "TypeScript", "TypeScript TSX"), "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
-    (("JavaScript", "JavaScript JSX", "TypeScript", "TypeScript TSX"), "function", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-    (("TypeScript", "TypeScript TSX"), "interface", r"^\s*(?:export\s+)?interface\s+(\w+)"),
-    (("Java", "C#", "PHP", "Kotlin", "Kotlin Script", "Swift", "JavaScript", "JavaScript JSX", "TypeScript", "TypeScript TSX", "C++", "C++ Header"), "class", r"^\s*(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|open|data|partial)\s+)*class\s+(\w+)"),
-    (("Java", "C#", "PHP"), "interface", r"^\s*(?:(?:public|private|protected|internal)\s+)*interface\s+(\w+)"),
-    (("C", "C Header", "C++", "C++ Header", "C#", "Swift"), "struct", r"^\s*(?:(?:typedef|public|private|internal)\s+)*struct\s+(\w+)"),
-    (("Java", "C#", "C", "C Header", "C++", "C++ Header", "Swift", "Kotlin"), "enum", r"^\s*(?:(?:public|private|internal|typedef)\s+)*enum\s+(?:class\s+)?(\w+)"),
-    (("Java", "C#"), "method", r"^\s+(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)*[\w<>\[\],.?]+\s+(?!(?<=return )|(?<=new ))(\w+)\s*\([^;]*$"),
-    (("C", "C Header", "C++", "C++ Header"), "function", r"^(?!\s*(?:return|else|typedef|struct|enum|class)\b)[\w*&:<>]+(?:\s+[\w*&:<>]+)*[\s*&]+(\w+)\s*\([^;]*$"),
-)
 
 def lines(files: DataFrame) -> DataFrame:
     """A row for each line: ``line_no`` from 1 and ``line``."""
@@ -66,29 +40,6 @@ def whole_documents(files: DataFrame, chunk_type: str) -> DataFrame:
     return _whole(files, F.lit(chunk_type))
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """Code chunks: a declaration's line and those below it until the next line with text that is indented as little and
-    is no closing bracket. Nested declarations are chunks of their own too."""
-    rows = lines(files.where(F.col("language").isin(*CODE_LANGUAGES)))
-    indent = F.length(F.regexp_extract(F.regexp_replace("line", "\t", "    "), "^( *)", 1))
-    kind = F.coalesce(*[F.when(F.col("language").isin(*langs) & F.col("line").rlike(pattern), F.lit(name)) for langs, name, pattern in DECLARATIONS])
-    name = F.coalesce(*[F.when(F.col("language").isin(*langs) & F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)) for langs, _, pattern in DECLARATIONS])
-    seen = rows.withColumns({"indent": indent, "chunk_type": kind, "symbol_name": name, "blank": ~F.col("line").rlike("(?U)\\S"), "closing": F.col("line").rlike(r"^\s*([\]})]+[;,)]*|end)\s*$")})
-    gathered = seen.groupBy(*KEY, "language").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "indent", "blank", "closing", "chunk_type", "symbol_name"))).alias("rows"))
-    starts = gathered.select(*KEY, "language", "rows", F.explode(F.filter("rows", lambda r: r["chunk_type"].isNotNull())).alias("begin"))
-    below = F.filter("rows", lambda r: (r["line_no"] > F.col("begin.line_no")) & ~r["blank"] & (r["indent"] <= F.col("begin.indent")) & ~(r["closing"] & (r["indent"] == F.col("begin.indent"))) & ~r["line"].rlike(r"^\s*\{\s*$"))
-    bound = starts.withColumn("bound", F.coalesce(F.get(F.transform(below, lambda r: r["line_no"]), F.lit(0)), F.lit(1 << 30)))
-    inside = F.filter("rows", lambda r: (r["line_no"] >= F.col("begin.line_no")) & (r["line_no"] < F.col("bound")))
-    cut = bound.withColumn("inside", inside).withColumn("end", F.array_max(F.transform(F.filter("inside", lambda r: ~r["blank"]), lambda r: r["line_no"])))
-    body = F.array_join(F.transform(F.filter("inside", lambda r: r["line_no"] <= F.col("end")), lambda r: r["line"]), "\n")
-    outer = F.exists("rows", lambda r: r["chunk_type"].isin("class", "trait", "struct", "interface") & (r["line_no"] < F.col("begin.line_no")) & (r["indent"] < F.col("begin.indent")))
-    typed = F.when((F.col("begin.chunk_type") == "function") & outer, F.when(F.col("begin.symbol_name").isin("__init__", "constructor", "__construct", "initialize"), "constructor").otherwise("method")).otherwise(F.col("begin.chunk_type"))
-    return cut.select(
-        *KEY, "language", typed.alias("chunk_type"), F.col("begin.symbol_name").alias("symbol_name"), F.col("begin.line_no").alias("symbol_start_line"),
-        F.col("end").alias("symbol_end_line"), _range(F.col("begin.line_no"), F.col("end")).alias("source_ranges"), body.alias("content"),
-    )
-
-
 def dedupe(chunks: DataFrame, place: str) -> DataFrame:
     """The first, by ``place``, of chunks with one file, type, name and lines."""
     same = Window.partitionBy("file_path", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line").orderBy(place)
@@ -111,7 +62,7 @@ FORMATS = (
 def route(files: DataFrame) -> DataFrame:
     """Chunks of all files by language. A structured file that gives none stays whole; code that gives none, and files of
     other languages, give none. ``windows.split`` bounds their size afterwards."""
-    parts = [cohesive(files), declarations(files)] + [make(files.where(F.col("language").isin(*languages))) for make, languages in FORMATS]
+    parts = [cohesive(files), declarations(files.where(F.col("language").isin(*CODE_LANGUAGES)))] + [make(files.where(F.col("language").isin(*languages))) for make, languages in FORMATS]
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 

@@ -97,16 +97,34 @@ PARTS["XML"] = [
 ]
 
 
+#: Code: what an expected chunk's content is not the whole text of, a class, is said in CODE_SQL.
+CODE = {
+    "Java": [
+        (None, None, f"'package a;' || chr(10) || chr(10) || 'class C' || {ID} || ' {{' || chr(10) || '    String s = ' || {QUOTE} || {ESCAPED} || {QUOTE} || ';' || chr(10) || '    /* {{ ' || {PLAIN} || ' */ '".replace("{{", "{")),
+        ("method", f"'run' || {ID}", f"'int run' || {ID} || '(int a,' || chr(10) || '    int b) ' || chr(123) || ' // }}' || chr(10) || '  if (a > b) {{ f(() -> {{ return 1; }}); }}' || chr(10) || '  return ' || {QUOTE} || '}} ' || {ESCAPED} || {QUOTE} || ';' || chr(10) || '  }}'".replace("{{", "{").replace("}}", "}")),
+        (None, None, "chr(10) || '}' || chr(10)"),
+    ],
+    "Python": [
+        (None, None, "'import os' || chr(10) || chr(10)"),
+        ("function", f"'run_' || {ID}", f"'def run_' || {ID} || '(' || chr(10) || '    a,' || chr(10) || '):' || chr(10) || '    ' || repeat({QUOTE}, 3) || 'def no(): ' || {PLAIN} || repeat({QUOTE}, 3) || chr(10) || '    return a'"),
+        (None, None, "chr(10) || chr(10) || '# end' || chr(10) || 'X = 1' || chr(10)"),
+    ],
+}
+_WHOLE = " || ".join(part for _, _, part in CODE["Java"])
+CODE_SQL = f"""select {ID} as file_path, 'class_context' as chunk_type, 'C' || {ID} as symbol_name, 3 as symbol_start_line, (len({_WHOLE}) - len(replace({_WHOLE}, chr(10), '')))::int as symbol_end_line,
+  md5('class C' || {ID} || chr(10) || chr(10) || 'String s = ' || {QUOTE} || {ESCAPED} || {QUOTE}) as content_md5 from documents"""
+
+
 def made_files(s, d, language: str, where: str = "true"):
     """Every document that ``where`` lets pass as one file of the language."""
-    text = " || ".join(part for _, _, part in PARTS[language])
+    text = " || ".join(part for _, _, part in (PARTS | CODE)[language])
     return table(s, d, "documents").where(where).selectExpr("source as repository_id", f"{ID} as file_path", f"'{language}' as language", f"{text} as content")
 
 
 def expected(language: str, where: str = "true") -> str:
     """SQL for the chunks of ``made_files``: what the parts say, their lines counted from those before them."""
     rows, before = [], "''"
-    for kind, name, part in PARTS[language]:
+    for kind, name, part in (PARTS | CODE)[language]:
         if kind:
             line = f"1 + len({before}) - len(replace({before}, chr(10), ''))"
             own = f"{line} + len({part}) - len(replace({part}, chr(10), ''))"
@@ -164,6 +182,7 @@ QUERIES = {
         select doc_id::varchar as file_path, count(*) as headings, sum(level)::bigint as levels from h where level is not null group by doc_id""",
     ),
     "chunk_markdown": (lambda s, d: shown(markdown(marked_documents(s, d))), None),
+    "chunk_code": (lambda s, d: cut(C.declarations(made_files(s, d, "Java").unionByName(made_files(s, d, "Python")))), " union all ".join((CODE_SQL, expected("Java"), expected("Python")))),
     "chunk_json": (lambda s, d: cut(S.json(made_files(s, d, "JSON")).unionByName(S.json(made_files(s, d, "Node Package Configuration")))), f"{expected('JSON')} union all {expected('Node Package Configuration')}"),
     "chunk_sql": (lambda s, d: cut(S.sql(made_files(s, d, "SQL"))), expected("SQL")),
     "chunk_toml": (lambda s, d: cut(S.toml(made_files(s, d, "TOML"))), expected("TOML")),

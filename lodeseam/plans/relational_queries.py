@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodeseam.functions import metadata as M
 from lodeseam.operators import state as St
 from lodeseam.plans.base import table
+from lodeseam.sources.folders import shared
+from lodeseam.sources.vector_store import VectorStore
 
 t = table
 nations = lambda s, d: t(s, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
@@ -27,6 +29,18 @@ def deleted(s, d):
     return t(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
 
 
+def index_write(s, d):
+    """Every vector by its label's namespace; one namespace replaced, one added to, one deleted; what is read back then."""
+    store = VectorStore.open(s, shared(s, "index"), 64)
+    rows = t(s, d, "embeddings").select(F.col("label").cast("string").alias("namespace"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("values"), "vec_id")
+    times = lambda x: F.transform("values", lambda v: v * x)
+    store.write(rows.drop("vec_id"))
+    store.replace_namespace("1", rows.where("namespace = '1' and vec_id % 2 = 0").withColumn("values", times(2.0)).drop("vec_id"))
+    store.write(rows.where("namespace = '2' and vec_id % 3 = 0").withColumn("values", times(-1.0)).drop("vec_id"), replace=False)
+    store.delete("3")
+    return store.read().select("namespace", "id", F.col("values")[0].alias("first"), F.size("values").alias("dimension"), "batch")
+
+
 QUERIES = {
     "join_point_lookup": (
         lambda s, d: t(s, d, "customer").where("c_custkey = 7").join(nations(s, d), "c_nationkey").select("c_custkey", "c_name", "n_name"),
@@ -101,6 +115,13 @@ QUERIES = {
         lambda s, d: t(s, d, "embeddings").join(t(s, d, "embeddings").where("label = 3").select("label").distinct(), "label", "left_anti").select("vec_id", "label"),
         "select vec_id, label from embeddings where label <> 3 or label is null",
     ),
+    "index_write": (
+        index_write,
+        """with v as (select label::varchar as namespace, vec_id::varchar as id, vec_id, embedding[1]::double as first, len(embedding) as dimension from embeddings),
+        k as (select namespace, id, first * case when namespace = '1' then 2 when namespace = '2' and vec_id % 3 = 0 then -1 else 1 end as first, dimension from v
+          where namespace <> '3' and (namespace <> '1' or vec_id % 2 = 0))
+        select namespace, id, first, dimension::int as dimension, ((row_number() over (partition by namespace order by id) - 1) // 50)::bigint as batch from k""",
+    ),
     "index_open": (
         lambda s, d: t(s, d, "embeddings").groupBy(F.size("embedding").alias("dimension")).agg(F.count(F.lit(1)).alias("vectors")),
         "select len(embedding)::int as dimension, count(*) as vectors from embeddings group by 1",

@@ -38,11 +38,43 @@ def test_unclosed_fence_hides_the_rest(spark):
     assert headings(files(spark, "Markdown", "````\n# A\n```\n# B\n`````\n# C")).count() == 1
 
 
+CODE = (
+    ("Python", "class Service:\n    value = 1\n    def __init__(self): pass\n    async def run(self):\n        def helper(): pass\n        return helper()\n", "class_context Service, constructor __init__, method run, function helper"),
+    ("Java", "record User(int id) {} interface Api { void run(); } class App { App() {} void go() {} }", "record_context User, interface_context Api, method run, class_context App, constructor App, method go"),
+    ("JavaScript", "export const App = () => <View />;\nconst schema = new Schema({x: 1});\nconst login = function () { return true; };\nclass User { constructor() {} save() { const local = {}; } }\n", "function App, declaration schema, function login, class_context User, constructor constructor, method save"),
+    ("TypeScript", "interface User { id: number } type ID = string; export const run = (): void => {}; class A { constructor() {} m(): void {} }", "interface_context User, type_alias ID, function run, class_context A, constructor constructor, method m"),
+    ("C", "struct User { int id; }; enum Role { ADMIN }; int run(int x) { return x; }", "struct_context User, enum_context Role, function run"),
+    ("C++", "namespace api { class User { public: User() {} void run() {} }; struct Data { int x; }; }", "namespace_context api, class_context User, constructor User, method run, struct_context Data"),
+    ("C#", "namespace App; public record User(int Id); interface IRun { void Run(); } class A { A() {} void Go() {} }", "namespace_context App, record_context User, interface_context IRun, method Run, class_context A, constructor A, method Go"),
+    ("Go", "type User struct { ID int }; type Runner interface { Run() }; func NewUser() User { return User{} }; func (u User) Run() {}", "struct_context User, interface_context Runner, function NewUser, method Run"),
+    ("Rust", "mod api { trait Run { fn run(&self); } struct User { id: i32 } enum Role { Admin } impl Run for User { fn run(&self) {} } }", "module_context api, trait_context Run, struct_context User, enum_context Role, impl_context User, method run"),
+    ("PHP", "<?php namespace App; trait T { public function t() {} } interface I { public function x(); } class A { public function __construct() {} public function x() {} } function top() {}", "namespace_context App, trait_context T, method t, interface_context I, method x, class_context A, constructor __construct, method x, function top"),
+    ("Ruby", "class User\n def initialize; end\n def run; end\n def self.build; end\nend", "class_context User, constructor initialize, method run, method build"),
+    ("Kotlin", "class User { fun run() {} }\nenum class Role { ADMIN }", "class_context User, method run, enum_context Role"),
+    ("Swift", "protocol Run { func run() } struct User { init() {} func run() {} } class App { func go() {} } enum Role { case admin } extension User { func extra() {} }", "protocol_context Run, struct_context User, constructor init, method run, class_context App, method go, enum_context Role, extension_context User, method extra"),
+    ("Shell", "function build() { echo ok; }\nrun() { echo run; }", "function build, function run"),
+    ("Java", 'import x.y;\n\npublic class Queue {\n    private int rear; // Front; {\n    String s = "}";\n\n    public boolean add(Order order,\n        int n) {\n        if (n > 1) { return foo(() -> { return 1; }); }\n        return true;\n    }\n}\n', "class_context Queue, method add"),
+    ("Python", 'class Store(Base):\n    """doc\n    def no(): pass\n    """\n    size = 3\n\n    @property\n    def load(\n        self,\n    ):\n        return 1\n\n\ndef main():\n    return 2\n', "class_context Store, method load, function main"),
+    ("Go", "", ""),
+    ("Python", "x = 1\n", ""),
+)
+
+
 def test_code(spark):
-    text = "class Store:\n    size = 3\n\n    def __init__(self):\n        pass\n\n    def load(self):\n        return 1\n\n\ndef main():\n    pass\n"
-    assert found(C.declarations(files(spark, "Python", text))) == [("class", "Store", [(1, 8)]), ("constructor", "__init__", [(4, 5)]), ("method", "load", [(7, 8)]), ("function", "main", [(11, 12)])]
-    text = "package app;\n\npublic class Queue {\n    private int rear;\n\n    public boolean add(Order order) {\n        return true;\n    }\n}\n"
-    assert found(C.declarations(files(spark, "Java", text))) == [("class", "Queue", [(3, 9)]), ("method", "add", [(6, 8)])]
+    rows = [("r", f"{i:02}", language, text) for i, (language, text, _) in enumerate(CODE)]
+    df = spark.createDataFrame(rows, "repository_id string, file_path string, language string, content string")
+    got = C.declarations(df).collect()
+    for i, (_, _, wanted) in enumerate(CODE):
+        assert ", ".join(f"{r.chunk_type} {r.symbol_name}" for r in got if r.file_path == f"{i:02}") == wanted
+    of = {(r.file_path, r.symbol_name): ([tuple(x) for x in r.source_ranges], r.content) for r in got}
+    assert of["14", "Queue"] == ([(3, 3), (4, 4), (5, 5)], 'public class Queue\n\nprivate int rear\n\nString s = "}"')
+    assert of["14", "add"][0] == [(7, 11)] and of["14", "add"][1].endswith("return true;\n    }")
+    assert of["15", "Store"] == ([(1, 1), (2, 4), (5, 5)], 'class Store(Base):\n\n"""doc\n    def no(): pass\n    """\n\nsize = 3') and of["15", "load"][0] == [(8, 11)]
+
+
+def test_descriptor(spark):
+    got = spark.range(1).select(*[S.descriptor(F.lit(x)) for x in ('<main id="m" class="app  shell">', "<A href=x id=b>", "<p data-id='c'>")]).first()
+    assert tuple(got) == ("main#m.app.shell", "A#b", "p")
 
 
 def test_router_falls_back(spark):
