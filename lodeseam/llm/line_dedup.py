@@ -200,7 +200,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             lines = Lines(batch.column(1).to_pylist())
             if not len(lines.n):
                 continue
@@ -225,7 +225,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             lines = Lines(batch.column(0).to_pylist())
             nodes, once = np.unique(lines.node, return_index=True)
             hit = in_filter(held, nodes)
