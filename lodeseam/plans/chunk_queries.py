@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +13,7 @@ from lodeseam.operators import windows as W
 from lodeseam.operators.markdown import headings, markdown
 from lodeseam.plans.base import CHUNKS, chunks, table
 from lodeseam.sources import files as Files
+from lodeseam.sources.folders import shared
 
 # Source files made of the documents: for each language what its text is in Spark and in the SQL.
 _TEXT = "coalesce(text, '')"
@@ -168,9 +167,28 @@ def shown(df):
     return df.select("file_path", "chunk_type", "symbol_name", "symbol_start_line", "symbol_end_line", F.to_json("source_ranges").alias("ranges"), F.md5("content").alias("content_md5"))
 
 
+#: A file for each document: two languages, a picture, a file of a folder that is left out, a Dockerfile, and no known language.
+FILE_PATH = "'src/' || case doc_id % 6 when 0 then 'a/' || doc_id || '.py' when 1 then '.hidden/' || doc_id || '.md' when 2 then doc_id || '.png' when 3 then 'node_modules/' || doc_id || '.py' when 4 then doc_id || '/Dockerfile' else doc_id || '.txt' end"
+
+
+def folder_of_documents(s, d) -> str:
+    root = shared(s, "files").removeprefix("file://")
+    Files.write_files(table(s, d, "documents").selectExpr(f"{FILE_PATH} as relative_path", "encode(coalesce(text, ''), 'UTF-8') as data"), root)
+    return root
+
+
 QUERIES = {
-    "scan_files": (lambda s, d: Files.scan(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "repo_00000000")[0].select("relative_path", "language", "size_bytes", F.md5("content").alias("content_md5")), None),
-    "decode_text": (lambda s, d: Files.scan(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "repo_00000000")[1], None),
+    "scan_files": (
+        lambda s, d: Files.scan(s, folder_of_documents(s, d), "repo_00000000")[0].select("relative_path", "language", "size_bytes", F.md5("content").alias("content_md5")),
+        f"""with f as (select {FILE_PATH} as relative_path, doc_id % 6 as k, coalesce(text, '') as text from documents)
+        select relative_path, case k when 0 then 'Python' when 1 then 'Markdown' when 4 then 'Dockerfile' end as language, octet_length(encode(text)) as size_bytes,
+          md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) as content_md5 from f where k in (0, 1, 4) and regexp_matches(text, '[^ \\t\\n\\r]') and octet_length(encode(text)) <= 1000000""",
+    ),
+    "decode_text": (
+        lambda s, d: table(s, d, "documents").select("doc_id", Files.decoded(F.when(F.col("doc_id") % 2 == 0, F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")).otherwise(F.encode(F.regexp_replace("text", "[^\\x{0}-\\x{ff}]", "?"), "ISO-8859-1"))).alias("text")).select("doc_id", F.md5("text").alias("text_md5")),
+        r"""with t as (select doc_id, case when doc_id % 2 = 0 then replace(text, chr(10), chr(13) || chr(10)) else regexp_replace(text, '[^\x{0}-\x{ff}]', '?', 'g') end as text from documents)
+        select doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) as text_md5 from t""",
+    ),
     "chunk_cohesive": (
         lambda s, d: C.cohesive(table(s, d, "documents").select(F.col("source").alias("repository_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit("Makefile").alias("language"), F.col("text").alias("content"))).select("file_path", "chunk_type", "symbol_end_line"),
         "select doc_id::varchar as file_path, 'makefile' as chunk_type, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::int as symbol_end_line from documents where regexp_matches(text, '[^ \\t\\n\\r]')",

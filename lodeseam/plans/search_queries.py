@@ -104,8 +104,8 @@ QUERIES = {
     "validate_vectors": (lambda s, d: vectors(s, d).select("vector_id", V.valid(F.col("values"), 64).alias("valid")), "select vec_id as vector_id, len(embedding) = 64 as valid from embeddings"),
     "embed_documents": (lambda s, d: E.embed(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.transform("values", lambda x: F.round(x, 6)).alias("values")), None),
     "embedding_smoke": (
-        lambda s, d: E.embed(s.createDataFrame([("smoke test",)], "text string"), "text").select(F.size("values").cast("long").alias("dimension"), V.valid(F.col("values"), E.DIMENSION).alias("valid")),
-        None,
+        lambda s, d: E.embed(table(s, d, "benchmark").select("item_id", "text"), "text").select("item_id", F.size("values").cast("long").alias("dimension"), V.valid(F.col("values"), E.DIMENSION).alias("valid")),
+        "select item_id, 64::bigint as dimension, true as valid from benchmark",
     ),
     "token_capacity": (
         lambda s, d: table(s, d, "benchmark").select("item_id", E.within_capacity(F.col("text")).alias("n_tokens")),

@@ -10,7 +10,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.functions import paths as P
@@ -27,6 +27,27 @@ def decode(data: bytes) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def decoded(data: Column) -> Column:
+    """``decode`` of a column of bytes, in columns."""
+    text = data.cast("string")
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(data, "ISO-8859-1")), "\r\n?", "\n")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``(relative_path, data)`` below a folder that every task can reach, and return how many files there are."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["relative_path"], batch["data"]):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as file:
+                    file.write(data)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("relative_path", "data").mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(relative_path, size_bytes)`` of the files below a folder that every task can reach."""
 
