@@ -127,10 +127,12 @@ QUERIES = {
         "select len(embedding)::int as dimension, count(*) as vectors from embeddings group by 1",
     ),
     "job_current": (
-        lambda s, d: St.current(status_events(s, d), "job_id", ["ts", "event_id"], ("chunk_count",)).select("job_id", "status", "event_id", F.coalesce(St.progress(F.col("status")), F.lit(0)).alias("progress"), "chunk_count"),
+        lambda s, d: St.current(status_events(s, d).withColumn("progress", St.progress(F.col("status"))), "job_id", ["ts", "event_id"], ("chunk_count", "progress")).select("job_id", "status", "event_id", F.coalesce("progress", F.lit(0)).alias("progress"), "chunk_count"),
         f"""with {EVENTS}, r as (select *, sum(case when status = 'queued' then 1 else 0 end) over (partition by job_id order by ts, event_id) as epoch from ev),
-        k as (select *, last_value(chunk_count ignore nulls) over (partition by job_id, epoch order by ts, event_id) as kept, row_number() over (partition by job_id order by ts desc, event_id desc) as n from r)
-        select job_id, status, event_id, coalesce(MAP {{'queued': 0, 'scanning': 25, 'embedding': 60, 'ready': 100}}[status], 0) as progress, kept as chunk_count from k where n = 1""",
+        p as (select *, MAP {{'queued': 0, 'scanning': 25, 'embedding': 60, 'ready': 100}}[status] as shown from r),
+        k as (select *, last_value(chunk_count ignore nulls) over (partition by job_id, epoch order by ts, event_id) as kept,
+          last_value(shown ignore nulls) over (partition by job_id, epoch order by ts, event_id) as progressed, row_number() over (partition by job_id order by ts desc, event_id desc) as n from p)
+        select job_id, status, event_id, coalesce(progressed, 0) as progress, kept as chunk_count from k where n = 1""",
     ),
     "job_history": (
         lambda s, d: St.history(status_events(s, d), "job_id", ["ts", "event_id"], ("chunk_count",)).select("job_id", "event_id", "epoch", "chunk_count"),

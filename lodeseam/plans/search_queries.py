@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import vectors as V
 from lodeseam.operators import embed as E
+from lodeseam.operators import answer as A
 from lodeseam.operators import search as S
 from lodeseam.operators import windows as W
 from lodeseam.plans.base import CHUNKS, FIRST, QUESTION, SCORED, chunks, first_vector, table, vectors
@@ -68,6 +69,12 @@ def sized(s, d):
     return chunks(s, d).select(F.col("repository_id"), "doc_id", F.octet_length("content").cast("long").alias("bytes"))
 
 
+def evidence_of_all(s, d):
+    short = table(s, d, "documents").where("n_chars < 400").groupBy((F.col("doc_id") % 100).alias("item_id"))
+    marked = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.concat(F.lit("[D"), x["doc_id"].cast("string"), F.lit("] "), F.regexp_replace(x["text"], "[\r\n]+", " ")))
+    return table(s, d, "benchmark").select("item_id", F.col("text").alias("question")).join(short.agg(F.array_join(marked, "\n").alias("evidence")), "item_id", "left")
+
+
 QUERIES = {
     "vector_topk_cosine": (top("cosine"), top_sql("list_cosine_similarity", "desc")),
     "vector_topk_dot": (top("dotproduct"), top_sql("list_dot_product", "desc")),
@@ -101,6 +108,12 @@ QUERIES = {
         lambda s, d: chosen(s, d).groupBy("question_id").agg(F.concat(F.lit("See "), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("["), F.col("citation_id"), F.lit("]")))), ", ")).alias("answer")),
         None,
     ),
+    "answer_all": (
+        # every benchmark text is a question; its evidence are the short documents dealt to it, for some none
+        lambda s, d: A.answer(evidence_of_all(s, d)).select("item_id", "answer"),
+        f"""with e as (select doc_id % 100 as item_id, string_agg('[D' || doc_id || ']', ', ' order by doc_id) as found from documents where n_chars < 400 group by 1)
+        select b.item_id, coalesce('See ' || found, '{S.NO_EVIDENCE}') as answer from benchmark b left join e using (item_id)""",
+    ),
     "validate_vectors": (lambda s, d: vectors(s, d).select("vector_id", V.valid(F.col("values"), 64).alias("valid")), "select vec_id as vector_id, len(embedding) = 64 as valid from embeddings"),
     "embed_documents": (lambda s, d: E.embed(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.transform("values", lambda x: F.round(x, 6)).alias("values")), None),
     "embedding_smoke": (
