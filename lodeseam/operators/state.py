@@ -63,18 +63,31 @@ def add_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
     return messages.unionByName(checked)
 
 
+def _checked(new: DataFrame, guards: list[tuple[DataFrame, str]]) -> DataFrame:
+    """``new``, if each of its keys is there, given once and free in its table; any that isn't stops what reads any key.
+
+    New rows are counted by key together with the old ones' keys, so one shuffle on a key decides."""
+    met, free, message = new, F.lit(True), F.lit("key exists already: ")
+    for i, (old, key) in enumerate(guards):
+        marks = old.select(key, F.lit(1).alias("n")).unionByName(new.select(key, F.lit(1).alias("n")))
+        seen = marks.groupBy(F.col(key).alias(f"__key{i}")).agg(F.sum("n").alias(f"__n{i}"))
+        met = met.join(seen, F.col(key).eqNullSafe(F.col(f"__key{i}")), "left")
+        free = free & F.col(key).isNotNull() & (F.col(f"__n{i}") == 1)
+        message = F.concat(message, F.lit(" " * bool(i)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    guarded = {key: F.when(free, F.col(key)).otherwise(F.raise_error(message).cast(new.schema[key].dataType)) for _, key in guards}
+    return met.withColumns(guarded).select(*new.columns)
+
+
 def create(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` and the rows of ``new``; a key that is null, taken or given twice stops the query.
-
-    New rows are counted by key together with the old ones' keys, so one shuffle on the key decides."""
-    marks = old.select(key, F.lit(1).alias("n")).unionByName(new.select(key, F.lit(1).alias("n")))
-    clash = marks.groupBy(key).agg(F.sum("n").alias("__n"))
-    seen = clash.select(F.col(key).alias("__key"), "__n")
-    guarded = new.join(seen, F.col(key).eqNullSafe(F.col("__key")), "left")
-    free = F.col(key).isNotNull() & (F.col("__n") == 1)
-    message = F.concat(F.lit("key exists already: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    checked = guarded.withColumn(key, F.when(free, F.col(key)).otherwise(F.raise_error(message).cast(new.schema[key].dataType)))
-    return old.unionByName(checked.select(*new.columns))
+    """``old`` and the rows of ``new``; a key that is null, taken or given twice stops the query."""
+    return old.unionByName(_checked(new, [(old, key)]))
+
+
+def create_with_chat(jobs: DataFrame, chats: DataFrame, new: DataFrame, job: str = "job_id", chat: str = "chat_id") -> tuple[DataFrame, DataFrame]:
+    """Jobs and chats with a row more in each for every row of ``new``. Both stand under one guard: if a job's or a chat's key
+    is null, taken or given twice, neither table can be read, so that both are written or none."""
+    checked = _checked(new, [(jobs, job), (chats, chat)])
+    return jobs.unionByName(checked.select(*jobs.columns)), chats.unionByName(checked.select(*chats.columns))
 
 
 def ready(asked: DataFrame, jobs: DataFrame, key: str) -> DataFrame:

@@ -29,6 +29,14 @@ def deleted(s, d):
     return t(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
 
 
+def created_together(s, d):
+    jobs = status_events(s, d).select("job_id").distinct().withColumn("status", F.lit("ready"))
+    chats = jobs.select((F.col("job_id") * 10).alias("chat_id"), "job_id")
+    new = t(s, d, "customer").select((-F.col("c_custkey") - 1).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.lit("queued").alias("status"))
+    made, talked = St.create_with_chat(jobs, chats, new.withColumn("chat_id", F.col("job_id") * 10))
+    return made.join(talked, "job_id").select("job_id", "chat_id", "status")
+
+
 def index_write(s, d):
     """Every vector by its label's namespace; one namespace replaced, one added to, one deleted; what is read back then."""
     store = VectorStore.open(s, shared(s, "index"), 64)
@@ -153,6 +161,12 @@ QUERIES = {
         f"""with {EVENTS}, k as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as n from ev)
         select job_id, status from k where n = 1 union all select distinct -job_id - 1 as job_id, 'queued' as status from ev""",
     ),
+    "job_chat_create": (
+        # every user's job gets a chat, and every customer without one a job and a chat, told by what both tables hold then
+        lambda s, d: created_together(s, d),
+        f"""with {EVENTS}, j as (select distinct job_id from ev), n as (select -c_custkey - 1 as job_id from customer)
+        select job_id, job_id * 10 as chat_id, 'ready' as status from j union all select job_id, job_id * 10 as chat_id, 'queued' as status from n""",
+    ),
     "ready_gate": (
         lambda s, d: St.ready(t(s, d, "documents").select("doc_id", F.col("doc_id").alias("job_id")), St.current(status_events(s, d), "job_id", ["ts", "event_id"]).select("job_id", "status"), "job_id").select("doc_id", "allowed"),
         f"""with {EVENTS}, k as (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as n from ev)
