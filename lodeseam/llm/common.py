@@ -51,7 +51,7 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column)).nbytes
