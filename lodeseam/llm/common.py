@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -52,7 +53,24 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``limit`` bytes of ``column``, or one row."""
+    """Cut Arrow batches so that each holds about ``limit`` bytes of ``column``, or one row. Between tasks a Python worker
+    gives back what it no longer uses, as workers live on and Spark counts all of them to their executor."""
+    give_back()
+    try:
+        yield from cut(batches, column, limit)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Hand free memory of Arrow and of the C library back to the system, where the latter can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def cut(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column)).nbytes
         if sizes <= limit or batch.num_rows <= 1:
@@ -116,15 +134,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
-    """A filter of the doc_ids that stand before more than one text."""
-    text = F.hash(F.col("text").cast("string"))
-    several = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    """A filter of the doc_ids that stand before more than one row; only they are read."""
+    several = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return settle(bloom_words(several, "doc_id"))
 
 
 def owned(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     """Adds ``own``, which tells rows with one doc_id but different texts apart, beside the doc_id: a hash of the text, and 0
-    where the doc_id stands before one text. ``rows`` has doc_id as a long, text, and no names of a filter's columns."""
+    where the doc_id stands before one row. ``rows`` has doc_id as a long, text, and no names of a filter's columns."""
     return maybe_in(rows, "doc_id", repeated).withColumn("own", F.when(F.col("__maybe"), F.hash("text")).otherwise(0)).drop("__maybe")
 
 

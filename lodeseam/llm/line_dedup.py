@@ -14,7 +14,7 @@ neighbouring words) are verified by edit similarity (1 - edits / longer length,
 normalised lines. FAR is measured: of the pairs of similarity 0.8 on sf0.01 99 in 100 lie within 19 bits, and of lines in
 which a fifth of the words was changed 96 in 100 within 24; unrelated lines that share a block lie further apart 16 times
 in 17. Of every connected group the occurrence with the smallest (doc_id, line number)
-stays. Texts move only where they must: blocks travel as hashes, lines that met the same lines in several blocks travel
+stays. Texts move only where they must: blocks travel as hashes, packed by the task that sorts them, lines that met the same lines in several blocks travel
 once, and a Bloom filter of bound size tells which documents hold a line in question or may lose one.
 
 Nulls: a null text has no lines; lines of rows without a doc_id stay and do not count. Rows that
@@ -31,12 +31,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches
-from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, runs
+from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, large_buckets, runs
 
 LEAST_SIMILARITY = 0.8
 #: Lines that meet are verified if their whole SimHashes differ in at most so many of 64 bits.
@@ -47,6 +48,8 @@ LEAST_CHARS = 32
 WIDTHS = ((2, LEAST_UNITS), (3, 8), (4, 20), (8, 40), (16, 80), (32, 160), (64, 320), (128, 640), (160, 1280))
 #: Rows that a task sorts at a time when it looks for lines that meet.
 TASK_ROWS = 2_000_000
+#: Keys that are packed into blocks together, and blocks that a task is handed at a time.
+BLOCK_KEYS, BLOCK_ROWS = 200_000, 64
 _TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256))
 _LOW = np.uint64(0x0101010101010101)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -237,6 +240,53 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.first("normal").alias("normal"), F.first("fp").alias("fp"))
 
 
+def flat_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, node and size of each key of a batch ``(node, size, keys)``."""
+    node, size, keys = batch.columns
+    n = pc.list_value_length(keys).fill_null(0).to_numpy(zero_copy_only=False)
+    return keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.repeat(node.to_numpy(), n), np.repeat(size.to_numpy(), n).astype(np.int32)
+
+
+def key_blocks(batches: Iterator[pa.RecordBatch], parts: int, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(part, block)``: the keys that are in no large bucket, with their lines, as a packed block for each part. Keys are
+    near random numbers, so that what Spark would do row by row would cost more than the sort."""
+    held, count = [], 0
+    for batch in chain(batches, (None,)):
+        if batch is not None and batch.num_rows:
+            bucket, node, size = flat_keys(batch)
+            small = ~in_filter(large, bucket)
+            held.append((bucket[small], node[small], size[small]))
+            count += len(held[-1][0])
+        if not count or (batch is not None and count < BLOCK_KEYS):
+            continue
+        bucket, node, size = (np.concatenate(x) for x in zip(*held))
+        part = (bucket.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, bucket, node, size = part[order], bucket[order], node[order], size[order]
+        cuts = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)])).tolist()
+        blocks = [bucket[a:b].tobytes() + node[a:b].tobytes() + size[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blocks, pa.binary())], ["part", "block"])
+        held, count = [], 0
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(bucket, node, size)`` of packed blocks."""
+    for batch in batches:
+        for block in batch.column(1).to_pylist():
+            n = len(block) // 20
+            columns = [np.frombuffer(block, np.int64, n), np.frombuffer(block, np.int64, n, 8 * n), np.frombuffer(block, np.int32, n, 16 * n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node", "size"])
+
+
+def filtered_keys(batches: Iterator[pa.RecordBatch], large: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(node, size, bucket)`` of the keys that may be in a large bucket."""
+    for batch in batches:
+        bucket, node, size = flat_keys(batch)
+        hit = in_filter(large, bucket)
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(size[hit]), pa.array(bucket[hit])], ["node", "size", "bucket"])
+
+
 def meetings(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """``(home, bucket, node, size)`` of the lines that have a partner of like length in a bucket; in order of size, a
     partner is next to a line. Buckets take the name of their lines, so that those with the same lines become one. Small
@@ -506,12 +556,21 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
 
 def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links ``(a, b)`` between nodes of ``found(node, size, keys)``: enough to reach all that verified pairs reach."""
+    spark = docs.sparkSession
     rows = found.select("node", "size", F.explode("keys").alias("bucket"))
     count = found.agg(F.sum(F.size("keys"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_ROWS))
-    named = dealt(rows, "node", count, bucket).select(F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part")).alias("bucket"), "node", "size")
-    met = named.repartition(parts, "bucket").mapInArrow(lambda b: meetings(b, least), "home long, bucket long, node long, size int")
-    met = settle(met.distinct())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_ROWS))
+    large = settle(large_buckets(rows, "node", count, bucket))
+    bits = spark.sparkContext.broadcast(filter_bits(large, "bucket"))
+    kind = "home long, bucket long, node long, size int"
+    with short_batches(spark, BLOCK_ROWS):
+        blocks = found.select("node", "size", "keys").mapInArrow(lambda b: key_blocks(b, parts, bits.value), "part int, block binary")
+        met = blocks.repartitionById(parts, "part").mapInArrow(lambda b: meetings(opened(b), least), kind)
+        if bits.value.any():
+            rest = found.select("node", "size", "keys").mapInArrow(lambda b: filtered_keys(b, bits.value), "node long, size int, bucket long")
+            named = dealt(rest, "node", count, bucket, large).select(F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part")).alias("bucket"), "node", "size")
+            met = met.unionByName(named.repartition(parts, "bucket").mapInArrow(lambda b: meetings(b, least), kind))
+        met = settle(met.distinct())
     texts = texts_of(docs, met.select("node").distinct())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

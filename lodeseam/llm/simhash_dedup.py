@@ -209,12 +209,16 @@ def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFram
     return parted(rows, codes.count() * len(pairs), bucket)
 
 
-def dealt(rows: DataFrame, by: str, count: int, bucket: int) -> DataFrame:
+def large_buckets(rows: DataFrame, by: str, count: int, bucket: int) -> DataFrame:
+    """``(bucket, about)`` of the buckets that have more than about ``bucket`` of the rows; about LARGE of them at most."""
+    seen = rows.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
+    return seen.where(F.col("about") >= max(bucket, count / LARGE))
+
+
+def dealt(rows: DataFrame, by: str, count: int, bucket: int, large: DataFrame | None = None) -> DataFrame:
     """``rows``, of about that count, with a column ``part``: 0, or for a bucket of more than about ``bucket`` rows each
     pair of parts that a row belongs to by the hash of column ``by``, so that any two rows of a bucket share one."""
-    least = max(bucket, count / LARGE)
-    seen = rows.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
-    large = F.broadcast(seen.where(F.col("about") >= least))
+    large = F.broadcast(large_buckets(rows, by, count, bucket) if large is None else large)
     own = F.pmod(F.hash(by), F.col("parts"))
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other).cast("long") * F.lit(1 << 31) + F.greatest(own, other) + 1)
     marked = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("about") / bucket), F.lit(1)).cast("int"))

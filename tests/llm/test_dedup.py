@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -381,3 +382,24 @@ def test_edits(spark):
         x, y = " ".join(x.split()), " ".join(y.split())
         assert min(plain(x, y), 21) <= line_dedup.rough_edits(x, y, 20)
     assert line_dedup.edits("x" * 30000, "x" * 15000 + "y" + "x" * 14999, 10) == 1
+
+
+def test_packed_keys_are_all_keys():
+    """Blocks and what goes row by row hold each key once, whatever counts as large; empty and null lists hold none."""
+    rng = np.random.default_rng(5)
+    keys = [rng.integers(-(2**63), 2**63 - 1, rng.integers(0, 9)).tolist() + [7] for _ in range(3000)] + [[], None]
+    node, size = rng.integers(0, 2**62, len(keys)), rng.integers(1, 90, len(keys))
+    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
+    wanted = sorted((k, n, s) for n, s, own in zip(node.tolist(), size.tolist(), keys) for k in own or ())
+    for large in ([], [7], [keys[0][0], 7]):
+        held = np.zeros(1 << 18, np.int64)
+        for k in large:
+            slot = k & ((1 << 24) - 1)
+            held[slot >> 6] |= np.int64(1) << np.int64(slot & 63)
+        blocks = list(line_dedup.key_blocks(iter([batch.slice(0, 1000), batch.slice(1000)]), 5, held))
+        assert len({p for b in blocks for p in b.column(0).to_pylist()}) == 5
+        rows = [r for b in line_dedup.opened(iter(blocks)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        rest = [r for b in line_dedup.filtered_keys(iter([batch]), held) for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "node", "size")))]
+        assert sorted(rows + rest) == wanted
+        assert {k for k, _, _ in rest} >= set(large) and not {k for k, _, _ in rows} & set(large)
+    assert not list(line_dedup.key_blocks(iter([batch.slice(len(keys) - 2)]), 5, held))
