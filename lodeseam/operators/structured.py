@@ -334,13 +334,13 @@ def elements(content: Column, language: str, deepest: int) -> Column:
     """``(good, out)``: the elements up to a depth in order, each with its start tag and those of its ancestors.
 
     A stack of open elements goes along. In HTML an end tag ends what is still open inside its element, some start tags
-    end what can't hold them, an end tag of nothing open is let pass, and html, head and body may end with the text; in
-    XML end tags must fit. Comments, scripts and styles are one lexeme each."""
+    end what can't hold them, an end tag of nothing open is let pass, html, head and body may end with the text, and an
+    ampersand may stand alone; in XML end tags must fit. Comments, scripts and styles are one lexeme each."""
     html = language == "html"
     kind = lambda x: (
         F.when(x.rlike(r"^<[!?]"), 0).when(x.rlike("^</"), 2).when(x.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$") if html else F.lit(False), 3)
         .when(F.lower(tag_name(x)).isin(*VOID) if html else F.lit(False), 3).when(x.rlike(r"(?s)^<[^<].*/>$"), 3).when(x.rlike("^<."), 1).when(x == "<", -1)
-        .when(x.rlike(r"(?i)>|&(?!#x[0-9a-f]{1,6}|#[0-9]{1,5}|[a-z]{1,30})") if html else x.rlike("&(?!#?[A-Za-z0-9_:.-]+;)"), -1).otherwise(0)
+        .when(x.contains(">") if html else x.rlike("&(?!#?[A-Za-z0-9_:.-]+;)"), -1).otherwise(0)
     )
     fold = F.lower if html else lambda x: x
 

@@ -149,6 +149,12 @@ def test_html(spark):
         assert found(S.html(files(spark, "HTML", whole))) == [("html_document", None, [(1, 1)])]
 
 
+def test_html_lets_a_lone_ampersand_pass(spark):
+    text = "<html><head><title>a&amp;&</title></head><body><p>b & c &; d&</p></body></html>"
+    assert [x[:2] for x in found(S.html(files(spark, "HTML", text)))] == [("html_element", "html > head"), ("html_element", "html > body > p")]
+    assert [x[0] for x in found(S.xml(files(spark, "XML", "<a><b>c & d</b></a>")))] == ["xml_document"]
+
+
 @pytest.mark.parametrize("make", [S.json, S.sql, S.toml, S.yaml, S.xml, S.html, S.stylesheet])
 def test_odd_files(spark, make):
     """Blank and null texts, files without a repository, and repeated paths."""
