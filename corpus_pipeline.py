@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import common, line_dedup, packing, secret_scan, shingle_dedup, toxicity
+from lodeseam.llm import common, line_dedup, packing, secret_scan, shingle_dedup, simhash_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7, by similarity of five-word shingles. The smallest doc_id of each group stays. A document is a doc_id and a
-    text: rows that repeat a doc_id with another text are judged by their own."""
+    """Operator 7: fingerprints at most two bits apart are linked through the index over their Gray order. Texts of like
+    five-word shingles, which fingerprints tell less surely, are linked besides. The smallest doc_id of all that links reach
+    stays. A document is a doc_id and a text: rows that repeat a doc_id with another text are judged by their own."""
     named = docs.where("doc_id is not null").select(common.packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("own"), "text")
-    groups = shingle_dedup.groups(named.select(F.col("own").alias("doc_id"), "text")).distinct()
+    texts = named.select(F.col("own").alias("doc_id"), "text")
+    found = [operator.groups(texts).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b") for operator in (simhash_dedup, shingle_dedup)]
+    groups = common.components(found[0].unionByName(found[1]))
     ids = named.select("own", "id").distinct()
-    firsts = groups.join(ids, groups["doc_id"] == ids["own"]).groupBy("component_id").agg(F.min(F.struct("id", "own")).alias("first"))
+    firsts = ids.join(groups, ids["own"] == groups["node"], "left").groupBy(F.coalesce("component", "own").alias("group")).agg(F.min(F.struct("id", "own")).alias("first"))
     keep = firsts.select(F.col("first.own").alias("keep"))
     one = named.join(keep, F.col("own") == F.col("keep"), "left_semi").dropDuplicates(["own"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))

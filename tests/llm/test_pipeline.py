@@ -124,6 +124,18 @@ def test_near_copies_of_like_shingles_go(spark, bucket):
     assert sorted(i for i in left if i is not None) == sorted(set(root.values())) and None in left
 
 
+def test_near_copies_by_fingerprints_go(spark):
+    """Texts whose fingerprints are at most two bits apart are linked, though their shingles are not alike."""
+    phrase = "one phrase of a few words stands here often".split() * 30
+    long, found = ([*phrase, *(f"{sign}{i}" for i in range(12))] for sign in "ab")
+    assert (brute_fingerprint(" ".join(found)) ^ brute_fingerprint(" ".join(long))).bit_count() <= 2
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (long, found)]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < shingle_dedup.LEAST
+    rows = [(3, " ".join(long)), (5, " ".join(found)), (9, "another text of a few words that is like none")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [3, 9]
+
+
 def test_rows_that_repeat_an_id_with_another_text(spark):
     """Every text that stands nowhere else survives the stages that drop; equal rows are one."""
     import corpus_pipeline
