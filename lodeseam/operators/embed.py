@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseam.functions.batches import sliced
 from lodeseam.functions.text import token_sequence
 
 DIMENSION = 64
@@ -34,16 +35,17 @@ def hashing_embedder(dimension: int = DIMENSION) -> Embedder:
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder | None = None, dimension: int = DIMENSION) -> DataFrame:
-    """Adds ``values``; the embedder is made once for each task and gets Arrow batches."""
+    """Adds ``values``; the embedder is made once for each task and gets a few MB of tokens at a time."""
     kind = T.StructType([*[f for f in rows.schema.fields], T.StructField("values", T.ArrayType(T.DoubleType()))])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = embedder or hashing_embedder(dimension)
-        for batch in batches:
-            tokens = batch.pop("__tokens")
-            yield batch.assign(values=list(model([list(t) for t in tokens])))
+        for batch in sliced(batches):
+            tokens = batch.column(batch.num_columns - 1).to_pylist()
+            values = pa.array(list(model([t or [] for t in tokens])), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], "values"])
 
-    return rows.withColumn("__tokens", token_sequence(text)).mapInPandas(work, kind)
+    return rows.withColumn("__tokens", token_sequence(text)).mapInArrow(work, kind)
 
 
 def within_capacity(text: Column, capacity: int = TOKEN_CAPACITY) -> Column:
