@@ -73,7 +73,15 @@ HOLDERS = ("class_context", "interface_context", "trait_context", "struct_contex
 #: Languages whose statements end with the line.
 BY_LINE = ("Go", "Swift", "Shell", *_KOTLIN, *_JS)
 BY_INDENT = ("Python", "Ruby")
-LEXEMES = r"""(?s)\\.|\"{3}|'(?:[^'\\\n]|\\[^\n][^'\n]{0,9})'|["'`{}();\n]|//|/\*|\*/|#|(?:[^\\"'`{}();\n/*#]|/(?![/*])|\*(?!/))++|."""
+#: Strings and comments as one lexeme each, for languages whose apostrophe begins no string and whose strings end with the
+#: line; a string that doesn't end goes up to the line's end.
+_QUOTED = r"""\"{3}(?:[^"\\]++|\\.|"(?!""))*+\"{3}|"(?!"")(?:[^"\\\n]++|\\.)*+["\n]|`(?:[^`\\]++|\\.)*+`|//(?:[^\n\\]++|\\.?+)*+|/\*.*?\*/|"""
+_HASHED = r"#(?:[^\n\\]++|\\.?+)*+|"
+_SIGNS = r"""\\.|\"{3}|'(?:[^'\\\n]|\\[^\n][^'\n]{0,9})'|["'`{}();\n]|//|/\*|\*/|#|(?:[^\\"'`{}();\n/*#]|/(?![/*])|\*(?!/))++|."""
+
+LEXEMES = "(?s)" + _SIGNS
+WHOLE = "(?s)" + _QUOTED + _SIGNS
+WHOLE_C = "(?s)" + _HASHED + WHOLE.removeprefix("(?s)")
 
 FOUND = f"struct<a:int,b:int,line:int,kind:string,name:string,parent:int,brace:int,brace_line:int>"
 FRAME = "struct<a:int,line:int,kind:string,name:string,parens:int,brace:int,brace_line:int,head:int,head_line:int>"
@@ -106,9 +114,10 @@ def _braces() -> Column:
     hashes = language.isin("PHP", "Shell", *_C)
     quoted = language.isin("PHP", "Shell", *_JS)
 
-    def lexeme(x: Column) -> Column:
+    def lexeme(x: Column, whole: bool = False) -> Column:
         closer = F.when(x.isin('"', "`", '"""'), x).when((x == "'") & quoted, x).when((x == "//") & (language != "Shell"), F.lit("\n")).when(x == "/*", F.lit("*/")).when((x == "#") & hashes, F.lit("\n")).otherwise(F.lit(""))
-        return F.struct(x.alias("lex"), F.octet_length(x).alias("n"), newlines(x).alias("nl"), (~x.rlike(r"(?U)\S")).alias("blank"), closer.alias("closer"), x.isin("//", "/*", "#").alias("comment"))
+        comment = (closer != "") & x.isin("//", "/*", "#") | (closer == "") & (x.rlike("^(?://.|/[*].|#.)") if whole else F.lit(False))
+        return F.struct(x.alias("lex"), F.octet_length(x).alias("n"), newlines(x).alias("nl"), (~x.rlike(r"(?U)\S")).alias("blank"), closer.alias("closer"), comment.alias("comment"))
 
     def walked(raw: Column) -> Column:
         nothing = F.lit(None).cast(FOUND)
@@ -120,7 +129,7 @@ def _braces() -> Column:
 
         def step(s: Column, x: Column) -> Column:
             quiet = s["open"] == ""
-            comment = F.when(quiet, x["comment"] & (x["closer"] != "")).otherwise(s["comment"])
+            comment = F.when(quiet, x["comment"]).otherwise(s["comment"])
             closes = (s["open"] == x["lex"]) | (s["open"].isin('"', "'") & (x["lex"] == "\n") & ~language.isin("PHP", "Shell", "Rust"))
             live = quiet & (x["closer"] == "")
             opens, shuts = live & (x["lex"] == "{"), live & (x["lex"] == "}")
@@ -162,7 +171,9 @@ def _braces() -> Column:
 
             return let(body, lambda text: let(found(text), lambda t: let(top, lambda h: let(_named(t, h), lambda told: moved(told)))))
 
-        items = F.concat(F.transform(F.regexp_extract_all(content, F.lit(LEXEMES), F.lit(0)), lexeme), F.array(lexeme(F.lit("\n")), F.struct(F.lit(";").alias("lex"), F.lit(0).alias("n"), F.lit(0).alias("nl"), F.lit(False).alias("blank"), F.lit("").alias("closer"), F.lit(False).alias("comment"))))
+        cut = lambda pattern, whole: F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), lambda x: lexeme(x, whole))
+        lexed = F.when(quoted | (language == "Rust"), cut(LEXEMES, False)).when(hashes, cut(WHOLE_C, True)).otherwise(cut(WHOLE, True))
+        items = F.concat(lexed, F.array(lexeme(F.lit("\n")), F.struct(F.lit(";").alias("lex"), F.lit(0).alias("n"), F.lit(0).alias("nl"), F.lit(False).alias("blank"), F.lit("").alias("closer"), F.lit(False).alias("comment"))))
         given = lambda s, x, now: F.concat(array_of(now["bare"], now["bare"].isNotNull(), FOUND), array_of(now["gone"], now["gone"].isNotNull(), FOUND))
         return scan(items, zero, step, given, FOUND)["out"]
 
