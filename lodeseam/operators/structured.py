@@ -1,6 +1,6 @@
 """JSON, SQL, stylesheets, TOML, YAML, XML and HTML to chunks, by a pass over a file's lexemes inside its row.
 
-A pattern cuts the text into lexemes that cover it. ``functions.scan`` walks them with a small state: what is open (a
+A pattern cuts the text into lexemes that cover it; a string or a comment that ends is one. ``functions.scan`` walks them with a small state: what is open (a
 string, a comment, a dollar-quoted body), how deep the brackets are, or which elements are open. What stands in a string
 or a comment therefore separates nothing. Pieces are places in the text's bytes; their texts, names, types and lines are
 columns. Nothing is shuffled, no file leaves its row, and the cost of a file grows with its lexemes times about their
@@ -17,6 +17,8 @@ one document, and YAML is judged by its top-level lines alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +52,22 @@ VOID = "area base basefont bgsound br col command embed frame hr image img input
 NO_PARAGRAPH = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section".split()
 ENDS = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "optgroup": ["optgroup"]} | {x: ["p"] for x in NO_PARAGRAPH}
 
+# Strings and comments that end are one lexeme each, before all else; one that doesn't is told by its opening sign.
+_DOUBLE, _SINGLE, _BLOCK = r""""(?:[^"\\]++|\\.)*+"|""", r"""'(?:[^'\\]++|\\.)*+'|""", r"/\*.*?\*/|"
+_IN_SCSS = r"""(?:[^%s\\#]++|\\.|#\{[^{}]*+\}|#)*+"""
 LEXEMES = {
-    "json": r"""(?s)\\.|["{}\[\],\n]|//|/\*|\*/|[^\\"{}\[\],/*\n]+|.""",
-    "sql": r"""(?s)--|/\*|\*/|\$\w*\$|['"`;\n]|[^\-/*$'"`;\n]+|.""",
-    "css": r"""(?s)\\.|#\{[^{}]*\}|url\([^)"'\n]*\)|/\*|\*/|//|["'{}();\n]|(?:[^\\#/*"'{}();\nu]|u(?!rl\())++|.""",
-    "toml": r'''(?s)"""|\'\'\'|\\.|["'{}\[\]#\n]|[^\\"'{}\[\]#\n]+|.''',
+    "json": r"(?s)" + _DOUBLE + r"//[^\n]*+|" + _BLOCK + r"""\\.|["{}\[\],\n]|//|/\*|\*/|[^\\"{}\[\],/*\n]+|.""",
+    "sql": r"""(?s)"[^"]*+"|'[^']*+'|`[^`]*+`|--[^\n]*+|/\*.*?\*/|(\$\w*+\$).*?\1|--|/\*|\*/|\$\w*\$|['"`;\n]|[^\-/*$'"`;\n]+|.""",
+    "css": r"(?s)" + f'"{_IN_SCSS % chr(34)}"|' + f"'{_IN_SCSS % chr(39)}'|" + _BLOCK + r"""\\.|#\{[^{}]*\}|url\([^)"'\n]*\)|/\*|\*/|//|["'{}();\n]|(?:[^\\#/*"'{}();\nu]|u(?!rl\())++|.""",
+    "toml": r'''(?s)"""(?:[^"\\]++|\\.|"(?!""))*+"""|\'\'\'.*?\'\'\'|"(?!"")(?:[^"\\]++|\\.)*+"|'(?!\'\')[^']*+'|#[^\n]*+|"""|\'\'\'|\\.|["'{}\[\]#\n]|[^\\"'{}\[\]#\n]+|.''',
     "xml": r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>|</?[A-Za-z_:][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+|<""",
     "html": r"""(?is)<!--.*?-->|<![^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>|</?[A-Za-z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+|<""",
 }
 
 
+LEXEMES["scss"] = LEXEMES["css"].replace("(?s)", r"(?s)//[^\n]*+|", 1)
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -85,7 +93,7 @@ def lexed(content: Column, language: str, closers: dict[str, str], comments: tup
         if language == "sql":
             closer = F.when(x.rlike(r"^\$\w*\$$"), x).otherwise(closer)
         return F.struct(
-            x.alias("lex"), F.octet_length(x).alias("n"), newlines(x).alias("nl"), (~x.rlike(r"(?U)\S")).alias("blank"), closer.alias("closer"), x.isin(*comments).alias("comment") if comments else F.lit(False).alias("comment"),
+            x.alias("lex"), F.octet_length(x).alias("n"), newlines(x).alias("nl"), (~x.rlike(r"(?U)\S")).alias("blank"), closer.alias("closer"), reduce(or_, [x.startswith(c) for c in comments], F.lit(False)).alias("comment"),
             F.when(x.isin(*opens), 1).when(x.isin(*shuts), -1).otherwise(0).alias("step") if opens else F.lit(0).alias("step"), x.isin(*separators).alias("separates"),
         )
 
@@ -195,8 +203,8 @@ def sql(files: DataFrame) -> DataFrame:
 @once
 def _stylesheet() -> Column:
     content, quotes = F.col("content"), {'"': '"', "'": "'", "/*": "*/"}
-    of = lambda closers, comments: separated(lexed(content, "css", closers, comments, "{(", "})", ";"), 0, True, "}")["out"]
-    spans = F.when(F.col("language") == "SCSS", of(quotes | {"//": "\n"}, ("/*", "//"))).otherwise(of(quotes, ("/*",)))
+    of = lambda kind, closers, comments: separated(lexed(content, kind, closers, comments, "{(", "})", ";"), 0, True, "}")["out"]
+    spans = F.when(F.col("language") == "SCSS", of("scss", quotes | {"//": "\n"}, ("/*", "//"))).otherwise(of("css", quotes, ("/*",)))
 
     def made(p: Column, body: Column, i: Column) -> Column:
         at = F.lower(F.regexp_extract(body, r"^@([\w-]+)", 1))

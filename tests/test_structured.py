@@ -149,6 +149,20 @@ def test_html(spark):
         assert found(S.html(files(spark, "HTML", whole))) == [("html_document", None, [(1, 1)])]
 
 
+@pytest.mark.parametrize("kind,text", [("json", '"a, [b]: {\\\\" // c'), ("sql", "'a; b\n\"-- c"), ("css", '"a; {b} /* c'), ("scss", "// a; don't {b}"), ("toml", '"""a [b]\n c = d # e')])
+def test_strings_and_comments_are_one_lexeme(spark, kind, text):
+    """However long: the number of lexemes does not grow with what stands in them."""
+    end = "\n" if text.startswith("//") else '"""' if text.startswith('"""') else text[0]
+    df = spark.createDataFrame([(text + " a; [b], {c}" * n + end,) for n in (1, 5000)], "content string")
+    ran = df.select(F.size(F.regexp_extract_all("content", F.lit(S.LEXEMES[kind]), F.lit(0))).alias("n")).collect()
+    assert [r.n for r in ran] == [2, 2] if end == "\n" else [1, 1]
+
+
+def test_apostrophes_in_scss_comments(spark):
+    text = "// don't\na { b: c }\n/* isn't */ d { content: 'x' }"
+    assert [x[1] for x in found(S.stylesheet(files(spark, "SCSS", text)))] == ["a", "d"]
+
+
 def test_html_lets_a_lone_ampersand_pass(spark):
     text = "<html><head><title>a&amp;&</title></head><body><p>b & c &; d&</p></body></html>"
     assert [x[:2] for x in found(S.html(files(spark, "HTML", text)))] == [("html_element", "html > head"), ("html_element", "html > body > p")]
