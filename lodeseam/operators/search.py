@@ -2,7 +2,7 @@
 
 Questions are rows, so that one plan answers many. A question's candidates are at most ``MOST_CANDIDATES``; each window
 below runs inside one question. Up to ``MOST_QUESTIONS`` questions are broadcast against the vectors; more are cut into
-blocks of about as many, and each block meets each partition of the vectors in a task of its own.
+parts of about as many, and each part meets each partition of the vectors in a task of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lodeseam.functions import nearest as N
 from lodeseam.functions import text as T
 from lodeseam.functions import vectors as V
 from lodeseam.functions.metadata import line_description
@@ -68,19 +70,29 @@ def topk(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
 
 
 def topk_each(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """The k nearest of ``vectors(vector_id, values)`` for each of ``questions(question_id, wanted)``.
+    """The k nearest of ``vectors(vector_id, values)`` for each of ``questions(question_id, wanted)``; all columns but the
+    vectors stay.
 
-    Each task keeps its own k best of each question before anything is shuffled."""
-    blocks = -(-questions.count() // MOST_QUESTIONS)
-    asked = F.broadcast(questions) if blocks <= 1 else questions.repartition(blocks, "question_id").hint("shuffle_replicate_nl")
-    measure, largest = V.METRICS[metric]
-    scored = vectors.join(asked).withColumn("vector_score", measure(F.col("values"), F.col("wanted")))
+    All pairs are compared, as products of blocks of both. Each task keeps its own k best of each question before anything is
+    shuffled."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    _, largest = V.METRICS[metric]
+    numbers = lambda rows, name: rows.withColumn(name, F.col(name).cast("array<double>"))
+    vectors, questions = numbers(vectors, "values"), numbers(questions, "wanted")
+    parts, size = -(-questions.count() // MOST_QUESTIONS), N.BLOCK_BYTES
+    asked = questions.repartition(max(parts, 1)).mapInArrow(lambda rows: N.blocks(rows, "wanted", size), "at long, block binary").select("at", F.col("block").alias("asked"))
+    held = vectors.mapInArrow(lambda rows: N.blocks(rows, "values", size, "vector_id", k), "at long, block binary").select("block")
+    if parts <= 1:
+        pairs = held.join(F.broadcast(asked))
+    else:
+        # read anew for each part of the questions, so written before
+        pairs = held.repartition(vectors.sparkSession.sparkContext.defaultParallelism).join(asked.hint("shuffle_replicate_nl"))
+    fields = [f for rows, name in ((vectors, "values"), (questions, "wanted")) for f in rows.schema if f.name != name]
+    found = pairs.mapInArrow(lambda b: N.search(b, k, metric, largest, "vector_id", "values", "wanted"), StructType([*fields, StructField("vector_score", DoubleType())]))
     signed = F.col("vector_score") if largest else -F.col("vector_score")
-    parts = scored.withColumn("part", F.spark_partition_id()).drop("values", "wanted").withColumn("signed", signed)
-    order = [F.desc_nulls_last("signed"), F.asc("vector_id")]
-    kept = parts.withColumn("n", F.row_number().over(Window.partitionBy("question_id", "part").orderBy(*order))).where(F.col("n") <= k)
-    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
-    return best.drop("n", "part", "signed")
+    best = Window.partitionBy("question_id").orderBy(F.desc_nulls_last(signed), F.asc("vector_id"))
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
 def with_scores(candidates: DataFrame, question: Column, semantic: float = SEMANTIC_WEIGHT, exact: float = EXACT_BOOST, structural: float = STRUCTURAL_BOOST) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeseam.operators import embed as E
@@ -109,3 +110,36 @@ def test_topk_each_answers_any_number_of_questions(spark, monkeypatch):
     length = lambda x: sum(a * a for a in x) ** 0.5
     cosine = lambda x, y: sum(a * b for a, b in zip(x, y)) / (length(x) * length(y))
     assert got == {q: [v for v, _ in sorted(rows, key=lambda r: -cosine(r[1], wanted))[:4]] for q, wanted in rows if q % 2 == 0}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dotproduct", "euclidean"])
+def test_topk_each_scores_as_columns_do(spark, monkeypatch, metric):
+    """Products of blocks give the scores, ties and nulls of the columns, in several blocks and parts, for copies, multiples
+    and vectors that no product takes."""
+    rng = random.Random(5)
+    plain = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(150)]
+    odd = [None, [], [0.0] * 5, [float("nan")] * 5, [float("inf"), 1.0, 1.0, 1.0, 1.0], [1e-170] * 5, [1e170] * 5, [1.0, None, 1.0, 1.0, 1.0], [1.0, 2.0], [-0.0] * 5]
+    values = plain + plain[:30] + [[3 * x for x in v] for v in plain[:20]] + [plain[7]] * 40 + odd + odd
+    rng.shuffle(values)
+    rows = spark.createDataFrame([(i, f"n{i}", v) for i, v in enumerate(values)], "vector_id long, name string, values array<double>").repartition(3)
+    questions = rows.where("vector_id % 3 = 0").select(F.col("vector_id").alias("question_id"), F.col("values").alias("wanted"), F.col("name").alias("asked"))
+    monkeypatch.setattr(S, "MOST_QUESTIONS", 40)
+    monkeypatch.setattr(S.N, "BLOCK_BYTES", 1000)
+    measure, largest = S.V.METRICS[metric]
+    score = measure(F.col("values"), F.col("wanted"))
+    order = Window.partitionBy("question_id").orderBy(F.desc_nulls_last("vector_score" if largest else -F.col("vector_score")), "vector_id")
+    pairs = rows.crossJoin(questions).withColumn("vector_score", score)
+    wanted = pairs.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6").drop("values", "wanted")
+    got = S.topk_each(rows, questions, 6, metric)
+    assert got.columns == wanted.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_topk_each_multiplies_blocks(spark):
+    """The plan holds no comparison of one row and one question; each vector finds itself."""
+    rows = spark.range(20_000).select(F.col("id").alias("vector_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i + i)).alias("values"))
+    questions = rows.where("vector_id % 50 = 0").select(F.col("vector_id").alias("question_id"), F.col("values").alias("wanted"))
+    plan = S.topk_each(rows, questions, 5)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
+    first = S.topk_each(rows, questions, 5).where("rank = 1").selectExpr("count(*)", "count_if(vector_id = question_id or vector_score > 0.999999)").first()
+    assert tuple(first) == (400, 400)
