@@ -40,16 +40,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``settle``, for rows that are read several times, each time in few of their columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
-def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """What is planned meanwhile hands its Python tasks batches of so many rows, as texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+def short_batches(spark: SparkSession, rows: int = 2000, size: int | None = None) -> Iterator[None]:
+    """What is planned meanwhile hands its Python tasks batches of so many rows, as texts may be long, and of about so many
+    bytes, if given."""
+    name, other = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, bytes_before = spark.conf.get(name), spark.conf.get(other)
     spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    if size is not None:
+        spark.conf.set(other, size)
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        spark.conf.set(other, bytes_before)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:

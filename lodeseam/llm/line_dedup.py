@@ -26,7 +26,7 @@ Empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches
+from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches, stored
 from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, large_buckets, runs
 
 LEAST_SIMILARITY = 0.8
@@ -48,8 +48,10 @@ LEAST_CHARS = 32
 WIDTHS = ((2, LEAST_UNITS), (3, 8), (4, 20), (8, 40), (16, 80), (32, 160), (64, 320), (128, 640), (160, 1280))
 #: Rows that a task sorts at a time when it looks for lines that meet.
 TASK_ROWS = 2_000_000
-#: Keys that are packed into blocks together, and blocks that a task is handed at a time.
-BLOCK_KEYS, BLOCK_ROWS = 200_000, 64
+#: Nodes that a task remembers, so as not to tell them again.
+SEEN = 200_000
+#: Keys that are packed into blocks together, and rows and bytes of blocks that a task is handed at a time.
+BLOCK_KEYS, BLOCK_ROWS, BLOCK_BYTES = 200_000, 2000, 8 << 20
 _TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256))
 _LOW = np.uint64(0x0101010101010101)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -100,20 +102,30 @@ class Lines:
         new[1:] = line_of[1:] != line_of[:-1]
         self.first = np.flatnonzero(new)
         self.n = np.diff(np.concatenate((self.first, [len(line_of)])))
-        line = line_of[self.first]
-        # a text of k lines has k - 1 line ends, and one more parts it from the next
-        breaks = np.cumsum([len(x) + 1 for x in whole])
-        self.text = np.searchsorted(breaks, self.start[self.first], side="right")
-        before = np.concatenate(([0], breaks))[self.text]
-        self.number = line - np.searchsorted(ends, before)
         self.node = (run_hashes(self.words, self.first, self.first + self.n) >> np.uint64(1)).view(np.int64)
-        letters = np.concatenate(([0], np.cumsum(black & ((code & 0xC0) != 0x80))))
-        self.size = letters[self.stop[self.first + self.n - 1]] - letters[self.start[self.first]] + self.n - 1
+        self.line, self.ends, self.bytes = line_of[self.first], ends, [len(x) for x in whole]
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        # a text of k lines has k - 1 line ends, and one more parts it from the next
+        return np.searchsorted(np.cumsum(self.bytes) + np.arange(1, len(self.bytes) + 1), self.start[self.first], side="right")
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        before = np.concatenate(([0], np.cumsum(self.bytes) + np.arange(1, len(self.bytes) + 1)))[self.text]
+        return self.line - np.searchsorted(self.ends, before)
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        """Characters of the normalised lines."""
+        code = np.frombuffer(self.data, np.uint8)
+        letters = np.concatenate(([0], np.cumsum((code != 32) & (code != 10) & ((code & 0xC0) != 0x80))))
+        return letters[self.stop[self.first + self.n - 1]] - letters[self.start[self.first]] + self.n - 1
 
     def normal(self, k: int) -> str:
         """The normalised text of a line."""
         span = self.data[self.start[self.first[k]] : self.stop[self.first[k] + self.n[k] - 1]]
-        return b" ".join(x for x in span.split(b" ") if x).decode("utf-8", "replace")
+        return b" ".join(span.split()).decode("utf-8", "replace")
 
 
 def whole_prints(lines: Lines, rows: np.ndarray) -> np.ndarray:
@@ -211,7 +223,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             fresh = np.zeros(len(lines.n), bool)
             fresh[[k for node, k in zip(nodes.tolist(), once.tolist()) if node not in seen]] = True
             seen.update(nodes.tolist())
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             line, key = all_keys(lines, fresh)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
@@ -228,11 +240,17 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
+        seen: set[int] = set()
         for batch in pieces(batches, "text", 1 << 19):
             lines = Lines(batch.column(0).to_pylist())
-            nodes, once = np.unique(lines.node, return_index=True)
-            hit = in_filter(held, nodes)
+            asked = np.flatnonzero(in_filter(held, lines.node))
+            nodes, once = np.unique(lines.node[asked], return_index=True)
+            once = asked[once]
+            hit = np.array([node not in seen for node in nodes.tolist()], bool)
             if hit.any():
+                seen.update(nodes[hit].tolist())
+                if len(seen) > SEEN:
+                    seen.clear()
                 normal = pa.array([lines.normal(k) for k in once[hit].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), normal, pa.array(whole_prints(lines, once[hit]))], ["node", "normal", "fp"])
 
@@ -486,9 +504,12 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
     first = np.full(len(known), -1)
     first[name[::-1]] = np.arange(len(texts))[::-1]
     most = (size * (1 - least) + 1e-9).astype(np.int64)
+    allowed, length = most.tolist(), [len(t) for t in texts]
 
     def test(a: int, b: int, exact: bool) -> bool:
-        limit = int(max(most[a], most[b]))
+        limit = max(allowed[a], allowed[b])
+        if abs(length[a] - length[b]) > limit:
+            return False
         return rough_edits(texts[a], texts[b], limit) <= limit or (exact and edits(texts[a], texts[b], limit) <= limit)
 
     cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
@@ -563,14 +584,14 @@ def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMIL
     large = settle(large_buckets(rows, "node", count, bucket))
     bits = spark.sparkContext.broadcast(filter_bits(large, "bucket"))
     kind = "home long, bucket long, node long, size int"
-    with short_batches(spark, BLOCK_ROWS):
+    with short_batches(spark, BLOCK_ROWS, BLOCK_BYTES):
         blocks = found.select("node", "size", "keys").mapInArrow(lambda b: key_blocks(b, parts, bits.value), "part int, block binary")
         met = blocks.repartitionById(parts, "part").mapInArrow(lambda b: meetings(opened(b), least), kind)
         if bits.value.any():
             rest = found.select("node", "size", "keys").mapInArrow(lambda b: filtered_keys(b, bits.value), "node long, size int, bucket long")
             named = dealt(rest, "node", count, bucket, large).select(F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part")).alias("bucket"), "node", "size")
             met = met.unionByName(named.repartition(parts, "bucket").mapInArrow(lambda b: meetings(b, least), kind))
-        met = settle(met.distinct())
+        met = stored(met.distinct(), "meetings")
     texts = texts_of(docs, met.select("node").distinct())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -650,19 +671,19 @@ def edits(a: str, b: str, most: int) -> int:
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        same = places.get(c, 0)
+    full = (1 << len(a)) - 1
+    up, down, held = full, 0, places.get
+    for t, c in enumerate(b, 1):
+        same = held(c, 0)
         x = same | down
+        # bits above the last are cut off once, at the end of a step
         y = (((same & up) + up) ^ up) | same
-        rise, fall = down | (full & ~(y | up)), up & y
-        score += bool(rise & top) - bool(fall & top)
-        if score - left > most:
+        rise, fall = (down | ~(y | up)) << 1 | 1, (up & y) << 1
+        up, down = (fall | ~(x | rise)) & full, rise & x
+        # the last cell of the column is its first and what it rises and falls on the way
+        if not t & 63 and t + up.bit_count() - down.bit_count() - (len(b) - t) > most:
             return most + 1
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
-        up, down = fall | (full & ~(x | rise)), rise & x
-    return score
+    return min(len(b) + up.bit_count() - down.bit_count(), most + 1)
 
 
 def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, repeated: DataFrame | None = None) -> DataFrame:
@@ -671,14 +692,20 @@ def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, repeated: DataF
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     real = owned(real, repeated_ids(real) if repeated is None else repeated)
     with short_batches(docs.sparkSession):
-        found = settle(occurrences(real))
+        found = stored(occurrences(real), "lines")
         linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
-    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "line", "own")).alias("first"))
+    linked = settle(linked)
+    # a line that is neither repeated nor linked is its own group
+    several = found.groupBy("node").count().where("count > 1").select("node").unionByName(linked.select("node"))
+    tested = maybe_in(found.select("doc_id", "own", "line", "node"), "node", settle(bloom_words(several, "node")))
+    alone = tested.where("not __maybe").select("doc_id", "own", "line", F.col("node").alias("group_id"), F.lit(True).alias("kept"))
+    rows = stored(tested.where("__maybe").drop("__maybe"), "grouped")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "line", "own")).alias("first"))
     named = nodes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_id"))
     firsts = named.groupBy("group_id").agg(F.min("first").alias("first"))
     groups = named.select("node", "group_id").join(firsts, "group_id")
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("own") == F.col("first.own"))
-    return found.select("doc_id", "own", "line", "node").join(groups, "node").select("doc_id", "own", "line", "group_id", kept.alias("kept"))
+    return rows.join(groups, "node").select("doc_id", "own", "line", "group_id", kept.alias("kept")).unionByName(alone)
 
 
 def remove_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, name: str = "removed_lines") -> DataFrame:

@@ -403,3 +403,15 @@ def test_packed_keys_are_all_keys():
         assert sorted(rows + rest) == wanted
         assert {k for k, _, _ in rest} >= set(large) and not {k for k, _, _ in rows} & set(large)
     assert not list(line_dedup.key_blocks(iter([batch.slice(len(keys) - 2)]), 5, held))
+
+
+def test_only_repeated_or_linked_lines_are_grouped(spark, monkeypatch):
+    """A line that stands once and has no like goes through no grouping, and is told all the same."""
+    kept = {}
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: kept.setdefault(name, line_dedup.settle(df)))
+    once = [f"line {chr(97 + i) * 5} of its own {chr(98 + i) * 7} kind" for i in range(20)]
+    near = "a long line that stands here with a few words more than others have in it"
+    rows = [(1, "\n".join(once)), (2, "twice it is\n" + near), (3, near.replace("others", "brothers") + "\ntwice it is")]
+    got = {(r.doc_id, r.line): r.kept for r in line_dedup.mark_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, i): True for i in range(20)} | {(2, 0): True, (2, 1): True, (3, 0): False, (3, 1): False}
+    assert {(r.doc_id, r.line) for r in kept["grouped"].collect()} == {(2, 0), (2, 1), (3, 0), (3, 1)}
