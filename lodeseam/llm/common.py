@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -73,6 +73,16 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         give_back()
 
 
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, whose worker gives memory back once all that the task kept is gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def give_back() -> None:
     """Hand free memory of Arrow and of the C library back to the system, where the latter can."""
     pa.default_memory_pool().release_unused()
@@ -119,17 +129,18 @@ def local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars)], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stars: bool = False) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; component is the least node of the group.
 
     Large-star and small-star steps take turns: every node's larger neighbours are hung to the least node that its
     smaller neighbours offer, then its smaller neighbours and itself to the least of them, until only stars around the
     groups' least nodes are left. The rounds grow with the logarithm of a group's size (a test bounds them on shuffled
     paths). Minima are summed up before they move, and what a join reads goes on by another key, so that Spark splits a
-    hot node's rows; two sums a round reach the driver. Null ends and loops are left out; no edges give no rows.
+    hot node's rows; two sums a round reach the driver. Null ends and loops are left out; no edges give no rows. ``stars``: the
+    edges went through ``local_forest`` in the task that found them, which spares a second Python worker beside its own.
     """
     real = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    held = settle(real.mapInArrow(local_forest, "a long, b long").distinct())
+    held = settle((real if stars else real.mapInArrow(local_forest, "a long, b long")).distinct())
     before = None
     while True:
         sums = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")).first()

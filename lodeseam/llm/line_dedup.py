@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseam.llm.common import bloom_words, components, filter_bits, in_filter, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches, stored
+from lodeseam.llm.common import bloom_words, components, filter_bits, freed, in_filter, local_forest, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches, stored
 from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, large_buckets, runs
 
 LEAST_SIMILARITY = 0.8
@@ -66,9 +66,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODES = mix(mix(np.arange(1, 257, dtype=np.uint64)))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64 and of its inverse; read only."""
+    """Powers of an odd number modulo 2**64 and of its inverse; read only. Workers live on, so one table is kept."""
     with np.errstate(over="ignore"):
         up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _MULT))))
         down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(_MULT), -1, 1 << 64))))))
@@ -77,7 +77,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of the runs values[start:stop]: polynomials modulo 2**64, taken as differences of running sums."""
-    up, down = _powers(1 << max(16, len(values).bit_length()))
+    up, down = _powers(1 << max(19, len(values).bit_length()))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
@@ -231,7 +231,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             doc_ids, own = (batch.column(k).take(pa.array(lines.text)) for k in (0, 2))
             yield pa.RecordBatch.from_arrays([doc_ids, own, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "own", "line", "node", "size", "keys"])
 
-    return docs.select("doc_id", "text", "own" if "own" in docs.columns else F.lit(0).alias("own")).mapInArrow(work, "doc_id long, own int, line int, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text", "own" if "own" in docs.columns else F.lit(0).alias("own")).mapInArrow(freed(work), "doc_id long, own int, line int, node long, size int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 normal = pa.array([lines.normal(k) for k in once[hit].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), normal, pa.array(whole_prints(lines, once[hit]))], ["node", "normal", "fp"])
 
-    made = docs.select("text").mapInArrow(work, "node long, normal string, fp long").join(nodes, "node", "left_semi")
+    made = docs.select("text").mapInArrow(freed(work), "node long, normal string, fp long").join(nodes, "node", "left_semi")
     return made.groupBy("node").agg(F.first("normal").alias("normal"), F.first("fp").alias("fp"))
 
 
@@ -607,10 +607,10 @@ def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMIL
                         yield int(node[x]), int(node[y])
                     held, count = [], 0
 
-        yield from edge_batches(pairs())
+        yield from local_forest(edge_batches(pairs()))
 
     held = met.join(texts, "node").select("home", "bucket", F.lit(0).cast("long").alias("part"), "node", "size", "fp", "normal")
-    return held.repartition("home").sortWithinPartitions("home", "bucket").mapInArrow(work, "a long, b long")
+    return held.repartition("home").sortWithinPartitions("home", "bucket").mapInArrow(freed(work), "a long, b long")
 
 
 #: Words that one line has over another where the two run together again, nearest first.
@@ -693,7 +693,7 @@ def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, repeated: DataF
     real = owned(real, repeated_ids(real) if repeated is None else repeated)
     with short_batches(docs.sparkSession):
         found = stored(occurrences(real), "lines")
-        linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least))
+        linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least), stars=True)
     linked = settle(linked)
     # a line that is neither repeated nor linked is its own group
     several = found.groupBy("node").count().where("count > 1").select("node").unionByName(linked.select("node"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import pieces, settle
+from lodeseam.llm.common import freed, pieces, settle
 
 SIZE = 1024
 END_ID = 0
@@ -119,7 +119,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(work, "doc_id long, key long, n long, held binary").withColumn("row", F.monotonically_increasing_id())
+    return texts.mapInArrow(freed(work), "doc_id long, key long, n long, held binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def places(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
 
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     joined = held.select("row", "doc_id", "n", "held").join(where, "row").select("doc_id", "n", "held", "at")
-    return joined.mapInArrow(work, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return joined.mapInArrow(freed(work), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import pieces, settle
+from lodeseam.llm.common import freed, pieces, settle
 
 TRAIN_DOCS = 20_000
 TRAIN_WINDOWS = 4_000
@@ -353,7 +353,7 @@ def train(docs: DataFrame, docs_bound: int = TRAIN_DOCS, windows_bound: int = TR
             yield pa.RecordBatch.from_pylist([{"doc_id": d, "n": n, "positive": p, "features": f, "tags": t} for d, n, p, f, t in rows], schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("positive", pa.int32()), ("features", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32()))])
-    made = settle(chosen.mapInArrow(windows, "doc_id long, n int, positive int, features array<int>, tags array<int>"))
+    made = settle(chosen.mapInArrow(freed(windows), "doc_id long, n int, positive int, features array<int>, tags array<int>"))
     # half with secrets and half without, each by a hash and about as many as the bound, which is never passed
     rows, half = [], windows_bound // 2
     counted = {r.positive: r["count"] for r in made.groupBy("positive").count().collect()}
@@ -376,7 +376,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(work, "doc_id long, text string, found array<struct<start:long,end:long,kind:string>>")
+    return texts.mapInArrow(freed(work), "doc_id long, text string, found array<struct<start:long,end:long,kind:string>>")
 
 
 def redact(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -403,4 +403,4 @@ def redact(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]")
             columns[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.select(names).mapInArrow(work, docs.schema)
+    return docs.select(names).mapInArrow(freed(work), docs.schema)

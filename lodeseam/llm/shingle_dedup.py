@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import components, pieces, settle
+from lodeseam.llm.common import components, local_forest, pieces, settle
 from lodeseam.llm.simhash_dedup import BUCKET, edge_batches, parted, runs
 
 SHINGLE = 5
@@ -133,7 +133,7 @@ def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = codes.select("node", F.col("name").alias("fp"), "size", F.explode("bands").alias("bucket"))
     met = settle(parted(rows, codes.count() * BANDS, bucket).mapInArrow(partnered, "bucket long, part long, fp long, node long, size int"))
     named = met.join(sets_of(texts, met.select("node").distinct()), "node").select("bucket", "part", "node", "size", "held")
-    links = named.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(verified, "a long, b long")
-    joined = codes.join(components(links), "node", "left").select("name", F.coalesce("component", "node").alias("component_id"))
+    links = named.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(lambda batches: local_forest(verified(batches)), "a long, b long")
+    joined = codes.join(components(links, stars=True), "node", "left").select("name", F.coalesce("component", "node").alias("component_id"))
     out = marked.join(joined, "name", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

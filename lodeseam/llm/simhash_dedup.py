@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.common import components, pieces, settle
+from lodeseam.llm.common import components, local_forest, pieces, settle
 
 SEED = 42
 BITS = 2
@@ -236,13 +236,13 @@ def near_links(codes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> Data
     reachable by steps of at most ``bits`` (2 at most) differing bits."""
     if not 0 <= bits <= 2:
         raise ValueError("four blocks of 16 bits find at most two differing bits")
-    return bucketed(codes.select("node", "fp", F.lit(1).alias("size")), (16, 16, 16, 16), bucket).mapInArrow(lambda batches: bucket_links(batches, bits), "a long, b long")
+    return bucketed(codes.select("node", "fp", F.lit(1).alias("size")), (16, 16, 16, 16), bucket).mapInArrow(lambda batches: local_forest(bucket_links(batches, bits)), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; component_id is the least doc_id reachable over links."""
     marked = settle(fingerprints(docs, shingle))
     codes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    linked = components(near_links(codes.where("node is not null"), bits, bucket))
+    linked = components(near_links(codes.where("node is not null"), bits, bucket), stars=True)
     named = codes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
