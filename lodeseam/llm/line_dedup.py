@@ -48,6 +48,8 @@ LEAST_CHARS = 32
 WIDTHS = ((2, LEAST_UNITS), (3, 8), (4, 20), (8, 40), (16, 80), (32, 160), (64, 320), (128, 640), (160, 1280))
 #: Rows that a task sorts at a time when it looks for lines that meet.
 TASK_ROWS = 2_000_000
+#: Bytes of text whose lines are told together; what is made of them stays in a core's cache.
+SLICE = 1 << 18
 #: Nodes that a task remembers, so as not to tell them again.
 SEEN = 200_000
 #: Keys that are packed into blocks together, and rows and bytes of blocks that a task is handed at a time.
@@ -97,7 +99,7 @@ class Lines:
         self.start, self.stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.words = run_hashes(_CODES[code], self.start, self.stop)
         ends = np.flatnonzero(newline)
-        line_of = np.searchsorted(ends, self.start)
+        line_of = np.repeat(np.arange(len(ends) + 1), np.diff(np.searchsorted(self.start, ends), prepend=0, append=len(self.start)))
         new = np.ones(len(line_of), bool)
         new[1:] = line_of[1:] != line_of[:-1]
         self.first = np.flatnonzero(new)
@@ -118,6 +120,8 @@ class Lines:
     @cached_property
     def size(self) -> np.ndarray:
         """Characters of the normalised lines."""
+        if self.data.isascii():
+            return np.add.reduceat(self.stop - self.start, self.first) + self.n - 1 if len(self.first) else self.n
         code = np.frombuffer(self.data, np.uint8)
         letters = np.concatenate(([0], np.cumsum((code != 32) & (code != 10) & ((code & 0xC0) != 0x80))))
         return letters[self.stop[self.first + self.n - 1]] - letters[self.start[self.first]] + self.n - 1
@@ -132,19 +136,31 @@ def whole_prints(lines: Lines, rows: np.ndarray) -> np.ndarray:
     """SimHashes of some whole lines by their distinct pairs of neighbouring words, or of characters where blocks are cut
     by these."""
     pairs = lines.words[:-1] * _MULT + lines.words[1:]
-    features = []
-    for k in rows.tolist():
-        first, n = lines.first[k], lines.n[k]
-        if n >= LEAST_UNITS:
-            own = pairs[first : first + n - 1]
-        else:
-            letters = np.frombuffer(lines.normal(k).encode("utf-32-le"), np.uint32).astype(np.uint64)
-            own = letters[:-1] * _MULT + letters[1:] if len(letters) > 1 else letters
-        features.append(np.unique(own))
-    n = np.array([len(x) for x in features])
-    bits = np.unpackbits(mix(mix(np.concatenate(features))).view(np.uint8).reshape(-1, 8), axis=1)
-    counts = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > n[:, None], axis=1).view(np.int64).ravel()
+    words = lines.n[rows] >= LEAST_UNITS
+    order = np.concatenate((np.flatnonzero(words), np.flatnonzero(~words)))
+    count = lines.n[rows[words]] - 1
+    features = [pairs[np.repeat(lines.first[rows[words]], count) + _ramp(count)]]
+    for k in rows[~words].tolist():
+        letters = np.frombuffer(lines.normal(k).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        features.append(letters[:-1] * _MULT + letters[1:] if len(letters) > 1 else letters)
+    line = np.repeat(order, np.concatenate((count, [len(x) for x in features[1:]])).astype(np.int64))
+    hashes = np.concatenate(features)
+    # a feature that a line has twice counts once; marks of equal features of a line are equal
+    mark = mix(mix(hashes + line.astype(np.uint64) * _CODES[0]))
+    by = np.argsort(mark)
+    again = by[1:][(mark[by[1:]] == mark[by[:-1]]) & (line[by[1:]] == line[by[:-1]])]
+    hashes, line = mix(mix(np.delete(hashes, again))), np.delete(line, again)
+    n = np.bincount(line, minlength=len(rows))[order]
+    stop, out = np.cumsum(n), np.zeros(len(n), np.int64)
+    few = n <= 255
+    # what is counted in bytes is put back into the order of unpackbits
+    sums = bit_sums(hashes)
+    counts = (sums[stop[few]] - sums[stop[few] - n[few]]).view(np.uint8).reshape(-1, 8, 8)
+    out[order[few]] = np.packbits((counts.transpose(0, 2, 1)[:, :, ::-1] > (n[few] // 2)[:, None, None]).reshape(-1, 64), axis=1).view(np.int64).ravel()
+    for k in np.flatnonzero(~few).tolist():
+        bits = np.unpackbits(hashes[stop[k] - n[k] : stop[k]].view(np.uint8).reshape(-1, 8), axis=1)
+        out[order[k]] = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n[k]).view(np.int64)[0]
+    return out
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -215,7 +231,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches, "text", 1 << 19):
+        for batch in pieces(batches, "text", SLICE):
             lines = Lines(batch.column(1).to_pylist())
             if not len(lines.n):
                 continue
@@ -241,7 +257,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
         seen: set[int] = set()
-        for batch in pieces(batches, "text", 1 << 19):
+        for batch in pieces(batches, "text", SLICE):
             lines = Lines(batch.column(0).to_pylist())
             asked = np.flatnonzero(in_filter(held, lines.node))
             nodes, once = np.unique(lines.node[asked], return_index=True)
@@ -550,7 +566,7 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
             i += step
             apart = np.array([find(a) != find(b) for a, b in zip(x.tolist(), y.tolist())])
             x, y = x[apart], y[apart]
-            if step > FIRST and len(x):
+            if len(x):
                 near = held.near(place[x], place[y], np.maximum(most[x], most[y]))
                 x, y = x[near], y[near]
             tests = hits = 0
@@ -644,6 +660,9 @@ def rough_edits(a: str, b: str, most: int) -> int:
         i, j = i + same, j + same
         if i >= len(x) or j >= len(y):
             break
+        # they can only run together again at a word that both have near by, or at both ends
+        if (i + 6 < len(x) or j + 6 < len(y)) and set(x[i : i + 7]).isdisjoint(y[j : j + 7]):
+            return most + 1
         for s, t in SHIFTS:
             far = 1 if s == t else 2
             if i + s <= len(x) and j + t <= len(y) and x[i + s : i + s + far] == y[j + t : j + t + far]:
@@ -659,6 +678,21 @@ def rough_edits(a: str, b: str, most: int) -> int:
     return min(cost + rest, most + 1)
 
 
+def beyond(up: int, down: int, t: int, n: int, m: int, most: int) -> bool:
+    """Whether no cell of column t of the table of n and m letters can lead to at most ``most`` edits. A cell is the first of
+    its column and what rises and falls on the way, and leads to no fewer than itself and what the letters left differ in
+    number. Neighbours differ by two in this sum at most, so that each sixteenth cell, less 16, stands for those around it."""
+    at = n - (m - t)
+    low, high = max(0, at - most), min(n, at + most)
+    if low > high:
+        return True
+    for i in (min(max(at, low), high), *range(low, high, 16), high):
+        below = (1 << i) - 1
+        if t + (up & below).bit_count() - (down & below).bit_count() + abs(at - i) <= most + 16:
+            return False
+    return True
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance, or any number above ``most`` if it is above. A row of the table is two numbers of len(a) bits, so
     that long lines cost their length times a sixty-fourth of it."""
@@ -673,15 +707,15 @@ def edits(a: str, b: str, most: int) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1
     up, down, held = full, 0, places.get
-    for t, c in enumerate(b, 1):
-        same = held(c, 0)
-        x = same | down
-        # bits above the last are cut off once, at the end of a step
-        y = (((same & up) + up) ^ up) | same
-        rise, fall = (down | ~(y | up)) << 1 | 1, (up & y) << 1
-        up, down = (fall | ~(x | rise)) & full, rise & x
-        # the last cell of the column is its first and what it rises and falls on the way
-        if not t & 63 and t + up.bit_count() - down.bit_count() - (len(b) - t) > most:
+    for t in range(0, len(b), 32):
+        for c in b[t : t + 32]:
+            same = held(c, 0)
+            x = same | down
+            # bits above the last are cut off once, at the end of a step
+            y = (((same & up) + up) ^ up) | same
+            rise, fall = (down | ~(y | up)) << 1 | 1, (up & y) << 1
+            up, down = (fall | ~(x | rise)) & full, rise & x
+        if beyond(up, down, min(t + 32, len(b)), len(a), len(b), most):
             return most + 1
     return min(len(b) + up.bit_count() - down.bit_count(), most + 1)
 
