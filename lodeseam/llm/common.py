@@ -41,9 +41,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As ``settle``, for rows that are read several times, each time in few of their columns."""
+    """As ``settle``, for rows that are read several times, each time in few of their columns. Hashes fill dictionaries in
+    vain, so that none are made."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

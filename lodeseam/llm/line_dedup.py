@@ -25,7 +25,7 @@ Empty input gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 from functools import cached_property, lru_cache
 from itertools import chain
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseam.llm.common import bloom_words, components, filter_bits, freed, in_filter, local_forest, maybe_in, owned, packed, pieces, repeated_ids, settle, short_batches, stored
-from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, large_buckets, runs
+from lodeseam.llm.simhash_dedup import BUCKET, dealt, edge_batches, large_buckets, sampled
 
 LEAST_SIMILARITY = 0.8
 #: Lines that meet are verified if their whole SimHashes differ in at most so many of 64 bits.
@@ -46,6 +46,8 @@ LEAST_UNITS = 4
 LEAST_CHARS = 32
 #: Widths of blocks, and the number of words from which each is used.
 WIDTHS = ((2, LEAST_UNITS), (3, 8), (4, 20), (8, 40), (16, 80), (32, 160), (64, 320), (128, 640), (160, 1280))
+#: How many of them are narrow: their blocks are told word by word, those of wider ones from running sums.
+NARROW = 5
 #: Rows that a task sorts at a time when it looks for lines that meet.
 TASK_ROWS = 2_000_000
 #: Bytes of text whose lines are told together; what is made of them stays in a core's cache.
@@ -155,7 +157,7 @@ def whole_prints(lines: Lines, rows: np.ndarray) -> np.ndarray:
     few = n <= 255
     # what is counted in bytes is put back into the order of unpackbits
     sums = bit_sums(hashes)
-    counts = (sums[stop[few]] - sums[stop[few] - n[few]]).view(np.uint8).reshape(-1, 8, 8)
+    counts = np.ascontiguousarray(sums[stop[few]] - sums[stop[few] - n[few]]).view(np.uint8).reshape(-1, 8, 8)
     out[order[few]] = np.packbits((counts.transpose(0, 2, 1)[:, :, ::-1] > (n[few] // 2)[:, None, None]).reshape(-1, 64), axis=1).view(np.int64).ravel()
     for k in np.flatnonzero(~few).tolist():
         bits = np.unpackbits(hashes[stop[k] - n[k] : stop[k]].view(np.uint8).reshape(-1, 8), axis=1)
@@ -166,10 +168,10 @@ def whole_prints(lines: Lines, rows: np.ndarray) -> np.ndarray:
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
     """Running sums: number k of a row holds how often bits k, 8 + k, ... were set, in a byte each. The sum over up to 255
     words is the difference of two rows, as what overflows cancels out."""
-    out = np.zeros((len(hashes) + 1, 8), np.uint64)
+    out = np.zeros((8, len(hashes) + 1), np.uint64)
     for k in range(8):
-        np.cumsum((hashes >> np.uint64(k)) & _LOW, out=out[1:, k])
-    return out
+        np.cumsum((hashes >> np.uint64(k)) & _LOW, out=out[k, 1:])
+    return out.T
 
 
 def simhash(sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -178,6 +180,26 @@ def simhash(sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(counts > width // 2, axis=1).view(np.uint64).ravel()
 
 
+def majority(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """As ``simhash``, in another order of bits: all bits are counted at once, number k of the planes holds the bits of
+    weight 2**k of their counts. For small widths far less than running sums."""
+    planes: list[np.ndarray] = []
+    for t in range(width):
+        carry = hashes[starts + t]
+        for k, plane in enumerate(planes):
+            planes[k], carry = plane ^ carry, plane & carry
+        if t & (t + 1) == 0:
+            planes.append(carry)
+    more, equal = np.zeros(len(starts), np.uint64), np.full(len(starts), ~np.uint64(0))
+    for k, plane in reversed(list(enumerate(planes))):
+        if width // 2 >> k & 1:
+            equal &= plane
+        else:
+            more |= equal & plane
+            equal &= ~plane
+    return more
+
+
 def width_class(n: np.ndarray) -> np.ndarray:
     """The place in WIDTHS of lines of n words, -1 for those without blocks."""
     return np.searchsorted([least for _, least in WIDTHS], n, side="right") - 1
@@ -188,10 +210,15 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def block_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of all blocks of lines of n words that begin at first, by line."""
     own, other = width_class(n), width_class(-(-n * 4 // 5))
     lines, keys = [], []
+    # running sums are made of the lines of wide blocks alone
+    wide = np.flatnonzero(n >= WIDTHS[NARROW][1])
+    place = np.zeros(len(n), np.int64)
+    place[wide] = np.cumsum(n[wide]) - n[wide]
+    sums = bit_sums(words[np.repeat(first[wide], n[wide]) + _ramp(n[wide])]) if len(wide) else None
     for c, (width, _) in enumerate(WIDTHS):
         at = np.flatnonzero((n >= max(LEAST_UNITS, width)) & ((own == c) | (other == c)))
         if not len(at):
@@ -199,11 +226,12 @@ def block_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.n
         front = (n[at] + 1) // 2
         for sign, half in ((1, front), (-1, n[at] - front)):
             count = np.minimum(-(-half // width), n[at] // width)
-            line, place = np.repeat(at, count), _ramp(count)
-            start = first[line] + (place * width if sign > 0 else n[line] - (place + 1) * width)
-            tag = ((place * 2 + (sign > 0)) * len(WIDTHS) + c + 1).astype(np.uint64)
+            line, step = np.repeat(at, count), _ramp(count)
+            start = step * width if sign > 0 else n[line] - (step + 1) * width
+            prints = majority(words, first[line] + start, width) if c < NARROW else simhash(sums, place[line] + start, width)
+            tag = ((step * 2 + (sign > 0)) * len(WIDTHS) + c + 1).astype(np.uint64)
             lines.append(line)
-            keys.append(mix(simhash(sums, start, width) + mix(tag * _MULT)))
+            keys.append(mix(prints + mix(tag * _MULT)))
     if not lines:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     line, key = np.concatenate(lines), np.concatenate(keys)
@@ -214,12 +242,12 @@ def block_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.n
 def all_keys(lines: Lines, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the blocks of the lines that are flagged, by line."""
     own = np.where(fresh & (lines.n >= LEAST_UNITS), lines.n, 0)
-    line, key = block_keys(bit_sums(lines.words), lines.first, own)
+    line, key = block_keys(lines.words, lines.first, own)
     few = np.flatnonzero(fresh & (lines.n < LEAST_UNITS) & (lines.size >= LEAST_CHARS))
     if len(few):
         letters = [np.frombuffer(lines.normal(k).encode("utf-32-le"), np.uint32).astype(np.uint64) for k in few]
         n = np.array([len(x) for x in letters])
-        at, more = block_keys(bit_sums(mix(mix(np.concatenate(letters) + np.uint64(1)))), np.cumsum(n) - n, n)
+        at, more = block_keys(mix(mix(np.concatenate(letters) + np.uint64(1))), np.cumsum(n) - n, n)
         line, key = np.concatenate((line, few[at])), np.concatenate((key, more))
         order = np.argsort(line, kind="stable")
         line, key = line[order], key[order]
@@ -227,7 +255,8 @@ def all_keys(lines: Lines, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, own, line, node, size, keys)`` of the lines with a word. What a task has seen already has no keys."""
+    """``(doc_id, own, line, node, size, keys)`` of the lines with a word; keys are the bytes of longs. What a task has seen
+    already has none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -242,16 +271,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             line, key = all_keys(lines, fresh)
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))
+            cuts = np.concatenate(([0], 8 * np.cumsum(np.bincount(line, minlength=len(fresh))))).astype(np.int32)
+            keys = pa.Array.from_buffers(pa.binary(), len(fresh), [None, pa.py_buffer(cuts), pa.py_buffer(key.tobytes())])
             doc_ids, own = (batch.column(k).take(pa.array(lines.text)) for k in (0, 2))
             yield pa.RecordBatch.from_arrays([doc_ids, own, pa.array(lines.number, pa.int32()), pa.array(lines.node), pa.array(lines.size, pa.int32()), keys], ["doc_id", "own", "line", "node", "size", "keys"])
 
-    return docs.select("doc_id", "text", "own" if "own" in docs.columns else F.lit(0).alias("own")).mapInArrow(freed(work), "doc_id long, own int, line int, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text", "own" if "own" in docs.columns else F.lit(0).alias("own")).mapInArrow(freed(work), "doc_id long, own int, line int, node long, size int, keys binary")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, normal, fp)`` of some nodes; fp is the SimHash of the whole line. The filter that tells which lines may be meant is of a bound size."""
+    """``(node, normal, fp)`` of some nodes, which may repeat, and of few others; fp is the SimHash of the whole line. The filter
+    that tells which lines may be meant is of a bound size."""
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(nodes, "node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +300,19 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 normal = pa.array([lines.normal(k) for k in once[hit].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), normal, pa.array(whole_prints(lines, once[hit]))], ["node", "normal", "fp"])
 
-    made = docs.select("text").mapInArrow(freed(work), "node long, normal string, fp long").join(nodes, "node", "left_semi")
+    made = docs.select("text").mapInArrow(freed(work), "node long, normal string, fp long")
     return made.groupBy("node").agg(F.first("normal").alias("normal"), F.first("fp").alias("fp"))
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, size, keys)`` with keys as lists. Spark carries them as bytes, as it would take the longs of a list one by one."""
+    for batch in batches:
+        node, size, keys = batch.columns
+        cuts = np.concatenate(([0], np.cumsum(pc.binary_length(keys).fill_null(0).to_numpy(zero_copy_only=False) // 8))).astype(np.int32)
+        values = np.frombuffer(b"".join(k for k in keys.to_pylist() if k), np.int64)
+        yield pa.RecordBatch.from_arrays([node, size, pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["node", "size", "keys"])
+
+
 def flat_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, node and size of each key of a batch ``(node, size, keys)``."""
     node, size, keys = batch.columns
@@ -372,14 +411,19 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ones, threes
 
 
+#: Bytes of lines that are verified together, and what a line takes for its bags.
+LINE_BYTES, ROW_BYTES = 48 << 20, 1200
 #: Pairs that are looked at together, and characters that are counted together.
 PAIRS = 8192
 SLICE_CHARS = 1 << 19
-#: Pairs that go through the table of edits together, and bytes of their masks.
+#: Pairs that go through the table of edits together, bytes of their masks, and how much longer than the first the last may be.
 STRIPE = 4096
 MASK_BYTES = 1 << 26
+LIKE_LENGTH = 1.25
 #: Pairs whose exact test tells whether most pairs that follow are alike.
 FIRST = 32
+#: Lines of a bucket up to which buckets of one size are looked at together.
+SMALL = 64
 _WORD = 64
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
@@ -460,6 +504,8 @@ class Texts:
         self.ones, self.threes = (np.concatenate([m[k] for m in made]) for k in (0, 1))
         self.codes = np.concatenate([m[2] for m in made] + [np.zeros(1, np.uint8)])
         self.held = self.threes.sum(axis=1, dtype=np.int64)
+        #: texts of characters that have a byte of their own in ``codes``
+        self.plain = np.array([t.isascii() or max(t) < "\xff" for t in texts], bool)
 
     @staticmethod
     def slice_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -473,18 +519,36 @@ class Texts:
         return self.codes[np.where(inside, self.start[k][:, None] + place, len(self.codes) - 1)]
 
     def near(self, q: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Which pairs may be at most ``most`` edits apart. An edit takes one character away and puts one in at most, and
-        three runs of three characters; pairs that pass go through the table of edits, in which characters that share a
-        byte count as equal, which finds fewer edits and never more."""
-        more = self.ones[q] - self.ones[j]
-        at = np.flatnonzero(np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most)
-        union = np.maximum(self.threes[q[at]], self.threes[j[at]]).sum(axis=1, dtype=np.int64)
-        at = at[np.maximum(union - self.held[q[at]], union - self.held[j[at]]) <= 3 * most[at]]
+        """Which pairs may be at most ``most`` edits apart."""
+        at = self.like(q, j, most)
         out = np.zeros(len(q), bool)
-        at = at[np.argsort(self.length[j[at]], kind="stable")]
+        out[at] = self.few(q[at], j[at], most[at])[0]
+        return out
+
+    def like(self, q: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Places of the pairs whose characters allow ``most`` edits: an edit takes one away and puts one in at most, and
+        three runs of three."""
+        kept = []
+        for i in range(0, len(q), PAIRS):
+            x, y, edits_ = q[i : i + PAIRS], j[i : i + PAIRS], most[i : i + PAIRS]
+            more = self.ones[x] - self.ones[y]
+            # what one has more is half of all differences and of what it is longer by
+            over = np.abs(more).sum(axis=1) + np.abs(self.length[x] - self.length[y])
+            at = np.flatnonzero(over <= 2 * edits_)
+            union = np.maximum(self.threes[x[at]], self.threes[y[at]]).sum(axis=1, dtype=np.int64)
+            kept.append(i + at[union - np.minimum(self.held[x[at]], self.held[y[at]]) <= 3 * edits_[at]])
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+    def few(self, q: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs may be at most ``most`` edits apart by the table of edits, and which are for certain. Characters that
+        share a byte count as equal there, which finds fewer edits and never more; in texts of ``plain`` ones none do."""
+        out, sure = np.zeros(len(q), bool), np.zeros(len(q), bool)
+        at = np.argsort(self.length[j], kind="stable")
         start = 0
         while start < len(at):
             part = at[start : start + STRIPE]
+            # texts of like length, as the longest tell how much of the table is kept
+            part = part[: np.searchsorted(self.length[j[part]], LIKE_LENGTH * self.length[j[part[0]]] + _WORD // 2, side="right")]
             words = -(-int(self.length[q[part]].max()) // _WORD)
             part = part[: max(1, MASK_BYTES // (8 * 256 * words))]
             start += len(part)
@@ -495,7 +559,8 @@ class Texts:
                 continue
             own, which = np.unique(q[part], return_inverse=True)
             out[part] = few_edits(*self.table(own, which), self.length[q[part]], self.part(j[part], 0 * part, int(self.length[j[part]].max())), self.length[j[part]], most[part])
-        return out
+            sure[part] = out[part] & self.plain[q[part]] & self.plain[j[part]]
+        return out, sure
 
     def table(self, own: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Masks of some texts, and where those of each pair begin."""
@@ -526,7 +591,8 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
         limit = max(allowed[a], allowed[b])
         if abs(length[a] - length[b]) > limit:
             return False
-        return rough_edits(texts[a], texts[b], limit) <= limit or (exact and edits(texts[a], texts[b], limit) <= limit)
+        rough = not parted_early(texts[a], texts[b]) and rough_edits(texts[a], texts[b], limit) <= limit
+        return rough or (exact and edits(texts[a], texts[b], limit) <= limit)
 
     cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
     every = [sorted(set(first[name[a:b]].tolist()), key=lambda k: texts[k]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -541,17 +607,26 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
     place[needed] = np.arange(len(needed))
     held = Texts([texts[k] for k in needed]) if needed else None
 
+    def groups() -> np.ndarray:
+        return np.array([find(k) for k in range(len(texts))])
+
     def open_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # buckets of one size go together if they are small
+        sized: dict[int, list[list[int]]] = {}
         for rows in every:
-            own, rows = rows, np.array(rows)
-            step = max(1, PAIRS // len(rows))
-            for i in range(0, len(rows), step):
-                # what was joined meanwhile needs no test
-                group = np.array([find(k) for k in own])
-                q, j = np.nonzero((group[i : i + step, None] != group) & (np.arange(i, min(i + step, len(rows)))[:, None] > np.arange(len(rows))))
-                q, j = rows[q + i], rows[j]
-                alike = (np.bitwise_count(prints[q] ^ prints[j]) <= far) & (np.minimum(size[q], size[j]) >= least * np.maximum(size[q], size[j]))
-                yield q[alike], j[alike]
+            sized.setdefault(len(rows), []).append(rows)
+        for n, own in sized.items():
+            rows, (left, right) = np.array(own), np.tril_indices(n, -1) if n <= SMALL else (None, None)
+            if n <= SMALL:
+                step = max(1, PAIRS // len(left))
+                for i in range(0, len(rows), step):
+                    yield rows[i : i + step, left].ravel(), rows[i : i + step, right].ravel()
+                continue
+            step = max(1, PAIRS // n)
+            for one in rows:
+                for i in range(0, n, step):
+                    q, j = np.nonzero(np.arange(i, min(i + step, n))[:, None] > np.arange(n))
+                    yield one[q + i], one[j]
 
     def tried(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
         q, j = (np.concatenate(x) for x in zip(*parts))
@@ -560,68 +635,103 @@ def alike_links(bucket: np.ndarray, size: np.ndarray, prints: np.ndarray, texts:
         # the likeliest first, as they leave less to test
         order = np.argsort(np.bitwise_count(prints[q] ^ prints[j]), kind="stable")
         q, j = q[order], j[order]
-        i, step = 0, FIRST
-        while i < len(q):
-            x, y = q[i : i + step], j[i : i + step]
-            i += step
-            apart = np.array([find(a) != find(b) for a, b in zip(x.tolist(), y.tolist())])
-            x, y = x[apart], y[apart]
-            if len(x):
-                near = held.near(place[x], place[y], np.maximum(most[x], most[y]))
-                x, y = x[near], y[near]
-            tests = hits = 0
-            for a, b in zip(x.tolist(), y.tolist()):
-                if find(a) != find(b):
-                    tests += 1
-                    if test(a, b, True):
-                        hits += 1
-                        root[find(a)] = find(b)
-                        yield a, b
-            # where most are alike, they soon are one group and need no bounds
-            step = FIRST if step == FIRST and 4 * hits >= tests > 0 else min(PAIRS, 4 * step)
-
-    parts, count = [], 0
-    for pair in open_pairs():
-        parts.append(pair)
-        count += len(pair[0])
-        if count >= 4 * PAIRS:
+        # where most are alike, they soon are one group and need no bounds
+        hits, tests = 1, 1
+        while len(q) and 4 * hits >= tests:
+            hits, tests = yield from proven(q[:FIRST], j[:FIRST], True)
+            q, j = q[FIRST:], j[FIRST:]
+        group = groups()
+        at = np.flatnonzero(group[q] != group[j])
+        at = at[held.like(place[q[at]], place[j[at]], np.maximum(most[q[at]], most[j[at]]))]
+        q, j, step = q[at], j[at], STRIPE // 8
+        while len(q):
+            hits, tests = yield from proven(q[:step], j[:step], False)
+            q, j = q[step:], j[step:]
+            if 4 * hits < tests:
+                step = 4 * STRIPE
+            group = groups()
+            at = group[q] != group[j]
+            q, j = q[at], j[at]
+
+    def proven(q: np.ndarray, j: np.ndarray, bounds: bool) -> Generator[tuple[int, int], None, tuple[int, int]]:
+        """The links among some pairs; how many pairs of those that were tested are alike."""
+        apart = np.array([find(a) != find(b) for a, b in zip(q.tolist(), j.tolist())], bool)
+        q, j = q[apart], j[apart]
+        limit = np.maximum(most[q], most[j])
+        if bounds:
+            like = held.like(place[q], place[j], limit)
+            q, j, limit = q[like], j[like], limit[like]
+        near, sure = held.few(place[q], place[j], limit)
+        hits, tests = int(sure.sum()), len(q)
+        for a, b, certain in zip(q[near].tolist(), j[near].tolist(), sure[near].tolist()):
+            if find(a) == find(b):
+                tests -= not certain
+            elif certain or test(a, b, True):
+                hits += not certain
+                root[find(a)] = find(b)
+                yield a, b
+        return hits, tests
+
+    parts, count, group = [], 0, groups()
+    for q, j in open_pairs():
+        # what was joined meanwhile needs no test
+        alike = (group[q] != group[j]) & (np.bitwise_count(prints[q] ^ prints[j]) <= far) & (np.minimum(size[q], size[j]) >= least * np.maximum(size[q], size[j]))
+        parts.append((q[alike], j[alike]))
+        count += len(parts[-1][0])
+        if count >= 16 * PAIRS:
             yield from tried(parts)
-            parts, count = [], 0
+            parts, count, group = [], 0, groups()
     if parts:
         yield from tried(parts)
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """About so many bytes of rows at a time, and all of each bucket, whose rows stand together."""
+    held, count, goal = [], 0, size
+    for batch in chain(batches, (None,)):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            count += batch.nbytes + ROW_BYTES * batch.num_rows
+        if not held or (batch is not None and count < goal):
+            continue
+        table = pa.Table.from_batches(held)
+        bucket = table.column("bucket").to_numpy()
+        ended = np.flatnonzero(bucket != bucket[-1])
+        stop = len(bucket) if batch is None else int(ended[-1]) + 1 if len(ended) else 0
+        if stop:
+            yield table.slice(0, stop)
+        held = [b for b in table.slice(stop).to_batches() if b.num_rows]
+        count = sum(b.nbytes + ROW_BYTES * b.num_rows for b in held)
+        goal = max(size, 2 * count)
+
+
 def verified_links(docs: DataFrame, found: DataFrame, least: float = LEAST_SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links ``(a, b)`` between nodes of ``found(node, size, keys)``: enough to reach all that verified pairs reach."""
     spark = docs.sparkSession
-    rows = found.select("node", "size", F.explode("keys").alias("bucket"))
-    count = found.agg(F.sum(F.size("keys"))).first()[0] or 0
+    found = found.select("node", "size", "keys")
+    count = (found.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_ROWS))
-    large = settle(large_buckets(rows, "node", count, bucket))
+    kind, row = "home long, bucket long, node long, size int", "node long, size int, bucket long"
+    # what goes row by row: the keys of the nodes from which large buckets are told
+    told = found.where(sampled("node")).mapInArrow(lambda b: filtered_keys(listed(b), np.full(1, -1)), row)
+    large = settle(large_buckets(told, "node", count, bucket))
     bits = spark.sparkContext.broadcast(filter_bits(large, "bucket"))
-    kind = "home long, bucket long, node long, size int"
     with short_batches(spark, BLOCK_ROWS, BLOCK_BYTES):
-        blocks = found.select("node", "size", "keys").mapInArrow(lambda b: key_blocks(b, parts, bits.value), "part int, block binary")
+        blocks = found.mapInArrow(lambda b: key_blocks(listed(b), parts, bits.value), "part int, block binary")
         met = blocks.repartitionById(parts, "part").mapInArrow(lambda b: meetings(opened(b), least), kind)
         if bits.value.any():
-            rest = found.select("node", "size", "keys").mapInArrow(lambda b: filtered_keys(b, bits.value), "node long, size int, bucket long")
+            rest = found.mapInArrow(lambda b: filtered_keys(listed(b), bits.value), row)
             named = dealt(rest, "node", count, bucket, large).select(F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part")).alias("bucket"), "node", "size")
             met = met.unionByName(named.repartition(parts, "bucket").mapInArrow(lambda b: meetings(b, least), kind))
         met = stored(met.distinct(), "meetings")
-    texts = texts_of(docs, met.select("node").distinct())
+    texts = texts_of(docs, met.select("node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
-            held, count = [], 0
-            for run in chain(runs(batches), (None,)):
-                if run is not None:
-                    held.append(run)
-                    count += len(run["node"])
-                if held and (run is None or count >= PAIRS):
-                    bucket, node, size, fp, normal = (np.concatenate([r[c] for r in held]) for c in ("bucket", "node", "size", "fp", "normal"))
-                    for x, y in alike_links(bucket, size, fp.view(np.uint64), normal.tolist(), least):
-                        yield int(node[x]), int(node[y])
-                    held, count = [], 0
+            for table in whole_buckets(batches, LINE_BYTES):
+                bucket, node, size, fp = (table.column(c).to_numpy() for c in ("bucket", "node", "size", "fp"))
+                for x, y in alike_links(bucket, size, fp.view(np.uint64), table.column("normal").to_pylist(), least):
+                    yield int(node[x]), int(node[y])
 
         yield from local_forest(edge_batches(pairs()))
 
@@ -651,6 +761,14 @@ def common(a: Sequence, i: int, b: Sequence, j: int) -> int:
     return low
 
 
+def parted_early(a: str, b: str) -> bool:
+    """Whether ``rough_edits`` gives two lines up where they first differ; looks at no word beyond."""
+    same = common(a, 0, b, 0)
+    start = a.rfind(" ", 0, same) + 1
+    x, y = a[start:].split(" ", 7), b[start:].split(" ", 7)
+    return (len(x) > 6 or len(y) > 6) and set(x[:7]).isdisjoint(y[:7])
+
+
 def rough_edits(a: str, b: str, most: int) -> int:
     """An upper bound of the edit distance by a walk over words, at most ``most + 1``; enough where few words differ."""
     x, y = a.split(" "), b.split(" ")
@@ -727,7 +845,7 @@ def mark_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, repeated: DataF
     real = owned(real, repeated_ids(real) if repeated is None else repeated)
     with short_batches(docs.sparkSession):
         found = stored(occurrences(real), "lines")
-        linked = components(verified_links(real, found.where("size(keys) > 0").select("node", "size", "keys"), least), stars=True)
+        linked = components(verified_links(real, found.where("octet_length(keys) > 0"), least), stars=True)
     linked = settle(linked)
     # a line that is neither repeated nor linked is its own group
     several = found.groupBy("node").count().where("count > 1").select("node").unionByName(linked.select("node"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.llm.common import components, local_forest, pieces, settle
@@ -209,9 +209,13 @@ def bucketed(codes: DataFrame, widths: tuple[int, ...], bucket: int) -> DataFram
     return parted(rows, codes.count() * len(pairs), bucket)
 
 
+def sampled(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0
+
+
 def large_buckets(rows: DataFrame, by: str, count: int, bucket: int) -> DataFrame:
     """``(bucket, about)`` of the buckets that have more than about ``bucket`` of the rows; about LARGE of them at most."""
-    seen = rows.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
+    seen = rows.where(sampled(by)).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("about"))
     return seen.where(F.col("about") >= max(bucket, count / LARGE))
 
 

@@ -320,6 +320,60 @@ def test_lower_bounds_of_edits():
     assert not held.near(q, j, np.maximum(real // 4, 1))[real > 8].all()
 
 
+def test_long_lines_send_no_short_ones_to_the_exact_test():
+    """Pairs go through the table of edits by like lengths; what it says of plain texts is exact, and joins without a test."""
+    rng = random.Random(15)
+    words = ["".join(rng.sample("abcdefgh", 6)) for _ in range(40)]
+    texts = [" ".join(rng.sample(words, 9)) for _ in range(30)] + [" ".join(rng.choice(words) for _ in range(1200)) for _ in range(3)]
+    texts += [t[:-1] + "z" for t in texts[:5]] + [texts[0][:-1] + "\u0161"]
+    held = line_dedup.Texts(texts)
+    q, j = np.nonzero(np.abs(held.length[:, None] - held.length[None]) < 10)
+    q, j = q[q > j], j[q > j]
+    most = (0.2 * np.maximum(held.length[q], held.length[j])).astype(np.int64)
+    near, sure = held.few(q, j, most)
+    short = held.length[q] < 100
+    real = np.array([line_dedup.edits(texts[a], texts[b], int(m)) <= m for a, b, m in zip(q[short].tolist(), j[short].tolist(), most[short].tolist())])
+    assert 0 < real.sum() < len(real) and (near[short] == real).all() and near[~short].all() and not sure[~short].any()
+    odd = np.array(["\u0161" in texts[a] + texts[b] for a, b in zip(q[short].tolist(), j[short].tolist())])
+    assert (sure[short] == (real & ~odd)).all() and (real & odd).any()
+    assert not held.near(q, j, most)[short][~real].any()
+
+
+def test_early_parting_is_that_of_the_walk():
+    rng = random.Random(16)
+    words = [w for a in "abc" for w in (a, a * 2, a + "b")]
+    seen = set()
+    for _ in range(3000):
+        a = [rng.choice(words) for _ in range(rng.randrange(1, 12))]
+        b = a[: rng.randrange(len(a) + 1)] + [rng.choice("xyz") if rng.random() < 0.8 else rng.choice(words) for _ in range(rng.randrange(1, 10))]
+        early = line_dedup.parted_early(" ".join(a), " ".join(b))
+        seen.add(early)
+        assert not early or line_dedup.rough_edits(" ".join(a), " ".join(b), 10**6) == 10**6 + 1
+    assert len(seen) == 2
+
+
+def test_whole_buckets():
+    bucket = np.repeat(np.arange(60), [1, 2, 3, 300, 5, 1] * 10)
+    table = pa.table({"bucket": bucket, "row": np.arange(len(bucket))})
+    for size in (1, line_dedup.ROW_BYTES * 50, 1 << 40):
+        got = list(line_dedup.whole_buckets(iter(table.to_batches(max_chunksize=7)), size))
+        assert pa.concat_tables(got).column("row").to_pylist() == list(range(len(bucket)))
+        each = [set(t.column("bucket").to_pylist()) for t in got]
+        assert sum(map(len, each)) == 60 and len(got) == 1 or size < 1 << 40 and len(got) > 10
+    assert not list(line_dedup.whole_buckets(iter([]), 1))
+
+
+def test_keys_travel_as_bytes(spark):
+    """The bytes are those of the blocks' keys, by line; lines without blocks and null keys have none."""
+    texts = ["one two three four five six\n\nshort", "seven eight nine ten eleven twelve thirteen fourteen"]
+    rows = line_dedup.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "line").collect()
+    wanted = [sorted(x) for t in texts for x in keys_of([t])]
+    assert [sorted(np.frombuffer(r.keys, np.uint64).tolist()) for r in rows] == wanted and wanted[0] and not wanted[1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array([bytes(rows[0].keys), None, b""], pa.binary())], ["node", "size", "keys"])
+    (out,) = line_dedup.listed(iter([batch]))
+    assert out.column(2).to_pylist() == [np.frombuffer(rows[0].keys, np.int64).tolist(), [], []]
+
+
 @pytest.mark.parametrize("bucket", [8, 4096])
 def test_groups_of_lines(spark, bucket):
     """Against all pairs by edit similarity: no wrong link, and nine in ten of the groups' links at least; with copies of
